@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricecast import config
 from pricecast.functions import randomness
@@ -44,7 +45,7 @@ def skewed(point: Column, std: Column, key: Column, seed: int, count: int, shape
     return _draws(count, one)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _inverse_truncated(u: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     """Quantiles of the standard normal between two standardised bounds."""
     unit = NormalDist()

@@ -220,9 +220,8 @@ def value_ranges(df: DataFrame, limits: dict[str, tuple[float, float, float]] |
     point = F.col("point_forecast")
     text = F.lit("outside the allowed range")
     product, ts = F.col("product"), F.col("timestamp")
-    bad_point = F.when(~inside(point), F.array(_row("plausibility", "point_range", product, ts, point, text)))
-    empty = F.array_remove(F.array(_row("plausibility", "", product, ts, point, text)), F.lit(None))
-    cells = F.coalesce(bad_point, F.slice(empty, 1, 0))
+    bad_point = _row("plausibility", "point_range", product, ts, point, text)
+    cells = F.filter(F.array(bad_point), lambda _: ~inside(point))
     if "samples" in df.columns:
         numbered = F.transform("samples", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
         bad = F.filter(numbered, lambda s: ~inside(s["x"]))

@@ -1 +1,497 @@
+"""Linear models, uncertainty and samples."""
+
+from pyspark.sql import functions as F
+
+from pricecast.config import RunSettings
+from pricecast.operators import models, sampling, uncertainty
+from pricecast.plans import daily
+from pricecast.plans.inputs import FUELS, PRODUCTS
+from pricecast.plans.registry import query, rounded
+from pricecast.sources import store
+
+_FEATURES = ["l_quantity", "l_discount"]
+_GROUPS = ["l_returnflag", "l_linestatus"]
+
+
+def _trained(i, features=tuple(_FEATURES), groups=tuple(_GROUPS)):
+    return models.train(i.table("lineitem"), list(features), "l_extendedprice", list(groups))
+
+
+# Two features have a closed solution in the covariances.
+_FIT = """
+    SELECT {groups}, n, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1,
+           (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2, my, m1, m2, cyy, c1y, c2y
+    FROM (SELECT {groups}, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
+            covar_pop({x1}, {x1}) AS c11, covar_pop({x2}, {x2}) AS c22, covar_pop({x1}, {x2}) AS c12,
+            covar_pop({x1}, {y}) AS c1y, covar_pop({x2}, {y}) AS c2y, covar_pop({y}, {y}) AS cyy
+          FROM {source} GROUP BY {groups})"""
+_LINE_FIT = _FIT.format(
+    groups="l_returnflag, l_linestatus", x1="l_quantity", x2="l_discount", y="l_extendedprice", source="lineitem"
+)
+
+
+@query(
+    "models_two_features",
+    "M-01",
+    sql=f"""
+    SELECT l_returnflag, l_linestatus, n AS row_count, round(b1, 3) AS b1, round(b2, 3) AS b2,
+           round(my - b1 * m1 - b2 * m2, 3) AS intercept, round(sqrt(cyy - b1 * c1y - b2 * c2y), 3) AS rmse,
+           round((b1 * c1y + b2 * c2y) / cyy, 6) AS r2 FROM ({_LINE_FIT})""",
+)
+def _(i):
+    fitted = _trained(i)
+    return fitted.select(
+        *_GROUPS,
+        "row_count",
+        F.round(F.col("coefficients")[0], 3).alias("b1"),
+        F.round(F.col("coefficients")[1], 3).alias("b2"),
+        F.round("intercept", 3).alias("intercept"),
+        F.round(F.col("metrics")["rmse"], 3).alias("rmse"),
+        F.col("metrics")["r2"].alias("r2"),
+    )
+
+
+@query(
+    "models_one_feature",
+    "M-01",
+    sql="""
+    SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 3) AS coefficient,
+           round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+           round(sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2)
+             / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 3) AS rmse
+    FROM lineitem GROUP BY l_suppkey""",
+)
+def _(i):
+    fitted = models.train_single(i.table("lineitem"), "l_quantity", "l_extendedprice", ["l_suppkey"])
+    return rounded(fitted, "coefficient", "intercept", "rmse", digits=3)
+
+
+@query("models_many_features", "M-01")
+def _(i):
+    fitted = _trained(i, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], ["l_suppkey"])
+    return models.coefficient_report(fitted, ["l_suppkey"])
+
+
+@query(
+    "predictions",
+    "M-02",
+    "J-10",
+    sql=f"""
+    SELECT l_orderkey, l_linenumber, round(my + b1 * (l_quantity - m1) + b2 * (l_discount - m2), 3) AS point_forecast
+    FROM lineitem JOIN ({_LINE_FIT}) USING (l_returnflag, l_linestatus)""",
+)
+def _(i):
+    scored = models.predict(i.table("lineitem"), _trained(i), _FEATURES, _GROUPS)
+    return rounded(scored.select("l_orderkey", "l_linenumber", "point_forecast"), "point_forecast", digits=3)
+
+
+@query(
+    "coefficient_report",
+    "M-03",
+    sql=f"""
+    SELECT l_returnflag, l_linestatus, feature, round(b, 3) AS coefficient, round(abs(b), 3) AS importance,
+           round(my - b1 * m1 - b2 * m2, 3) AS intercept
+    FROM (SELECT *, unnest(['l_quantity', 'l_discount']) AS feature, unnest([b1, b2]) AS b FROM ({_LINE_FIT}))""",
+)
+def _(i):
+    report = models.coefficient_report(_trained(i), _GROUPS)
+    return rounded(report, "coefficient", "importance", "intercept", digits=3)
+
+
+_SPLIT_FIT = _FIT.format(
+    groups="l_returnflag",
+    x1="l_quantity",
+    x2="l_discount",
+    y="l_extendedprice",
+    source="(SELECT * FROM lineitem WHERE l_orderkey % 4 <> 0)",
+)
+
+
+@query(
+    "models_evaluated",
+    "M-04",
+    sql=f"""
+    SELECT l_returnflag, round(sqrt(avg(power(y - f, 2))), 3) AS rmse, round(1 - sum(power(y - f, 2)) / (var_pop(y) * count(*)), 6) AS r2
+    FROM (SELECT l_returnflag, l_extendedprice AS y, my + b1 * (l_quantity - m1) + b2 * (l_discount - m2) AS f
+          FROM (SELECT * FROM lineitem WHERE l_orderkey % 4 = 0) JOIN ({_SPLIT_FIT}) USING (l_returnflag))
+    GROUP BY l_returnflag""",
+)
+def _(i):
+    # Every row is used: three quarters of the orders to learn, one quarter to test.
+    rows = i.table("lineitem")
+    fitted = models.train(
+        rows.where("l_orderkey % 4 <> 0"), _FEATURES, "l_extendedprice", ["l_returnflag"]
+    )
+    held = rows.where("l_orderkey % 4 = 0")
+    scored = models.evaluate(held, fitted, _FEATURES, "l_extendedprice", ["l_returnflag"])
+    return rounded(scored, "rmse", digits=3)
+
+
+# --- the model table ---------------------------------------------------------------------------
+
+
+def _history(i):
+    """Model entries over time: one per product, hour and day, with the day's mean as coefficient."""
+    return i.hourly.select(
+        "product",
+        F.hour("timestamp").alias("hour"),
+        F.array(F.lit("hour")).alias("feature_names"),
+        F.array("price").alias("coefficients"),
+        F.lit(0.0).alias("intercept"),
+        F.create_map(F.lit("rmse"), F.col("price") / 10).alias("metrics"),
+        F.col("timestamp").alias("created_at"),
+    )
+
+
+@query(
+    "models_latest",
+    "M-05",
+    sql="""
+    SELECT product, hour(timestamp) AS hour, 1::BIGINT AS feature_count, round(price / 10, 6) AS rmse, timestamp AS created_at
+    FROM v_hourly QUALIFY row_number() OVER (PARTITION BY product, hour(timestamp) ORDER BY timestamp DESC) = 1""",
+)
+def _(i):
+    entries = models.info(models.latest(_history(i)))
+    return entries.select(
+        "product", "hour", "feature_count", F.col("metrics")["rmse"].alias("rmse"), "created_at"
+    )
+
+
+@query(
+    "models_registered",
+    "M-05",
+    sql="""
+    SELECT product, hour, max(t) AS created_at FROM (
+      SELECT product, hour(timestamp) AS hour, max(timestamp) FILTER (timestamp < TIMESTAMP '2024-01-16') AS a,
+             max(timestamp) FILTER (timestamp >= TIMESTAMP '2024-01-16' AND product <> 'RRS') AS b,
+             coalesce(b, a) AS t FROM v_hourly GROUP BY product, hour(timestamp))
+    WHERE t IS NOT NULL AND hour <> 5 GROUP BY product, hour""",
+)
+def _(i):
+    history = _history(i)
+    middle = F.lit("2024-01-16").cast("timestamp")
+    old = models.latest(history.where(F.col("created_at") < middle))
+    new = models.latest(history.where((F.col("created_at") >= middle) & (F.col("product") != "RRS")))
+    kept = models.delete(models.register(old, new), old.where("hour = 5"))
+    return kept.select("product", "hour", "created_at")
+
+
+@query(
+    "models_available",
+    "M-05",
+    sql="""
+    SELECT w.product, w.hour, m.product IS NOT NULL AS available
+    FROM (SELECT DISTINCT product, hour(timestamp) AS hour FROM v_sampled) w
+    LEFT JOIN (SELECT DISTINCT product, hour(timestamp) AS hour FROM v_hourly) m USING (product, hour)""",
+)
+def _(i):
+    wanted = i.sampled.select("product", F.hour("timestamp").alias("hour")).distinct()
+    return models.has(wanted, _history(i))
+
+
+@query(
+    "models_saved",
+    "M-06",
+    sql="""
+    SELECT l_returnflag, l_linestatus, 2::BIGINT AS feature_count FROM lineitem GROUP BY ALL""",
+)
+def _(i):
+    path = f"{store.shared_folder(i.spark)}/models-{i.spark.sparkContext.applicationId}"
+    models.save(_trained(i), path)
+    return models.info(models.load(i.spark, path), _GROUPS).select(*_GROUPS, "feature_count")
+
+
+# --- residuals and uncertainty -----------------------------------------------------------------
+
+_RESIDUALS = """
+    SELECT product, hour(timestamp) AS hour, timestamp, actual - forecast AS residual,
+           (actual - forecast) / nullif(forecast, 0) AS pct_error FROM v_pairs"""
+_SUMMARY = f"""
+    SELECT * FROM (SELECT product, hour, avg(residual) AS res_mean, stddev_pop(residual) AS res_std,
+        avg(pct_error) AS pct_mean, stddev_pop(pct_error) AS pct_std, count(residual) AS errors
+      FROM ({_RESIDUALS}) GROUP BY product, hour)
+    LEFT JOIN (SELECT product, hour, avg(abs(residual)) FILTER (r <= 3) AS recent_abs,
+        avg(abs(residual)) FILTER (r > 3 AND r <= 6) AS older_abs
+      FROM (SELECT *, row_number() OVER (PARTITION BY product, hour ORDER BY timestamp DESC) AS r FROM ({_RESIDUALS}))
+      GROUP BY product, hour) USING (product, hour)"""
+
+
+def _summary(i):
+    return models.residual_summary(models.residuals(i.pairs))
+
+
+@query("residual_history", "M-07", sql=_RESIDUALS, doubles="residual pct_error")
+def _(i):
+    return models.residuals(i.pairs)
+
+
+@query(
+    "residual_summary",
+    "M-07",
+    sql=_SUMMARY,
+    doubles="res_mean res_std pct_mean pct_std recent_abs older_abs",
+)
+def _(i):
+    return _summary(i)
+
+
+# Point forecasts: the price of each hour; products without history get the defaults.
+_POINTS = """
+    SELECT product, timestamp, hour(timestamp) AS hour, point_forecast FROM v_shown
+    UNION ALL SELECT product, timestamp, hour(timestamp), point_forecast FROM v_sampled"""
+_FACTOR = """CASE product WHEN 'RTLMP' THEN 1.2 WHEN 'RegUp' THEN 0.8 WHEN 'RegDown' THEN 0.8 WHEN 'RRS' THEN 0.7
+    WHEN 'NSRS' THEN 0.7 ELSE 1.0 END::DOUBLE"""
+_FIXED = """CASE product WHEN 'DALMP' THEN 5 WHEN 'RTLMP' THEN 8 WHEN 'RegUp' THEN 3 WHEN 'RegDown' THEN 3
+    WHEN 'RRS' THEN 2.5 WHEN 'NSRS' THEN 2 ELSE 5 END::DOUBLE"""
+_RES_STD = """CASE WHEN res_std IS NULL THEN abs(point_forecast) * 0.1::DOUBLE
+    ELSE greatest(res_std, abs(point_forecast) * 0.05::DOUBLE) END"""
+_TREND = """CASE WHEN errors < 3 OR older_abs IS NULL THEN 0
+    ELSE greatest(0, (recent_abs - older_abs) / greatest(older_abs, 1)) END"""
+_SPREADS = {
+    "residuals": ("point_forecast + coalesce(res_mean, 0)", _RES_STD),
+    "percentage": (
+        "point_forecast * (1 + coalesce(pct_mean, 0))",
+        """abs(point_forecast) * CASE WHEN pct_std IS NULL THEN 0.1::DOUBLE ELSE greatest(pct_std, 0.05::DOUBLE) END""",
+    ),
+    "fixed": ("point_forecast", _FIXED),
+    "adaptive": (
+        "point_forecast + coalesce(res_mean, 0)",
+        f"CASE WHEN recent_abs IS NULL THEN {_RES_STD} ELSE {_RES_STD} * (1 + {_TREND}) END",
+    ),
+}
+
+
+def _points(i):
+    hour = F.hour("timestamp").alias("hour")
+    both = [x.select("product", "timestamp", hour, "point_forecast") for x in (i.shown, i.sampled)]
+    return both[0].unionByName(both[1])
+
+
+def _spread_sql(method):
+    mean, std = _SPREADS[method]
+    return f"""
+    SELECT p.product, timestamp, point_forecast, {mean} AS mean, ({std}) * {_FACTOR} AS std
+    FROM ({_POINTS}) p LEFT JOIN ({_SUMMARY}) s ON s.product = p.product AND s.hour = p.hour""".replace(
+        "CASE product", "CASE p.product"
+    )
+
+
+for _method, _row in {"residuals": "U-01", "percentage": "U-02", "fixed": "U-03", "adaptive": "U-04"}.items():
+
+    @query(f"spread_by_{_method}", _row, "U-05", sql=_spread_sql(_method), doubles="point_forecast mean std")
+    def _(i, method=_method):
+        return uncertainty.estimate(_points(i), _summary(i), default=method).drop("hour")
+
+
+_CHOSEN = {"DALMP": "percentage", "RRS": "fixed", "RegUp": "no such method"}
+
+
+@query(
+    "spread_by_product_choice",
+    "U-06",
+    "Y-03",
+    sql=f"""
+    SELECT p.product, timestamp, point_forecast, CASE p.product WHEN 'DALMP' THEN {_SPREADS["percentage"][0]}
+        WHEN 'RRS' THEN {_SPREADS["fixed"][0]} ELSE {_SPREADS["residuals"][0]} END AS mean,
+      CASE p.product WHEN 'DALMP' THEN {_SPREADS["percentage"][1]} WHEN 'RRS' THEN 2.5::DOUBLE
+        ELSE {_SPREADS["residuals"][1]} END * {_FACTOR.replace("CASE product", "CASE p.product")} AS std
+    FROM ({_POINTS}) p LEFT JOIN ({_SUMMARY}) s ON s.product = p.product AND s.hour = p.hour""",
+    doubles="point_forecast mean std",
+)
+def _(i):
+    return uncertainty.estimate(_points(i), _summary(i), _CHOSEN).drop("hour")
+
+
+@query(
+    "spread_by_own_method",
+    "Y-02",
+    sql=f"""
+    SELECT product, timestamp, round(point_forecast, 6) AS point_forecast, round(point_forecast, 6) AS mean,
+           round((1 + abs(point_forecast) / 50) * {_FACTOR}, 6) AS std FROM ({_POINTS})""",
+)
+def _(i):
+    own = uncertainty.with_method("linear", lambda p: (p, 1 + F.abs(p) / 50))
+    return uncertainty.estimate(_points(i), _summary(i), default="linear", methods=own).drop("hour")
+
+
+# --- samples -----------------------------------------------------------------------------------
+
+_COUNT = 16
+_HASH = "md5('7|' || product || '|' || strftime(timestamp, '%Y-%m-%d %H:%M') || '{extra}|' || i)"
+
+
+def _unit(digest, start):
+    return f"((('0x' || substr({digest}, {start}, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def _z(extra=""):
+    h = _HASH.format(extra=extra)
+    return f"(sqrt(-2.0::DOUBLE * ln({_unit(h, 1)})) * cos(2.0::DOUBLE * pi() * {_unit(h, 14)}))"
+
+
+_SHAPE = 2 / 5**0.5
+_DRAWS = {
+    "normal": f"point_forecast + std * {_z()}",
+    "lognormal": f"exp(ln(CASE WHEN point_forecast <= 0 THEN 0.01::DOUBLE ELSE point_forecast END) - ln(1 + 0.1::DOUBLE * 0.1::DOUBLE) / 2 + sqrt(ln(1 + 0.1::DOUBLE * 0.1::DOUBLE)) * {_z()})",
+    "skewed_normal": f"point_forecast + std * ({_SHAPE!r}::DOUBLE * abs({_z()}) + {(1 - _SHAPE**2) ** 0.5!r}::DOUBLE * {_z('|b')})",
+}
+
+
+def _held(x, low=None, high=None):
+    x = f"CASE WHEN product IN ('RegUp', 'RegDown', 'RRS', 'NSRS') THEN greatest({x}, 0) ELSE {x} END"
+    x = x if low is None else f"greatest({x}, {low})"
+    return x if high is None else f"least({x}, {high})"
+
+
+def _draw_sql(expression):
+    return f"""
+    SELECT product, timestamp, i, round({_held("x")}, 4) AS x FROM (
+      SELECT product, timestamp, i, {expression} AS x
+      FROM (SELECT product, timestamp, point_forecast, 8::DOUBLE AS std FROM v_shown), (SELECT unnest(range(1, {_COUNT + 1})) AS i))"""
+
+
+def _drawn(i, **options):
+    rows = i.shown.select("product", "timestamp", "point_forecast", F.lit(8.0).alias("std"))
+    drawn = sampling.draw(rows, _COUNT, 7, **options)
+    return drawn.select("product", "timestamp", F.posexplode("samples").alias("i", "x")).select(
+        "product", "timestamp", (F.col("i") + 1).alias("i"), F.round("x", 4).alias("x")
+    )
+
+
+for _name, _row in {"normal": "D-N", "lognormal": "D-L", "skewed_normal": "D-S"}.items():
+
+    @query(f"samples_{_name}", _row, "D-C", sql=_draw_sql(_DRAWS[_name]))
+    def _(i, name=_name):
+        return _drawn(i, default=name)
+
+
+@query("samples_truncated_normal", "D-T")
+def _(i):
+    return _drawn(i, default="truncated_normal")
+
+
+@query(
+    "samples_bounded",
+    "D-C",
+    "Y-03",
+    sql=f"""
+    SELECT product, timestamp, i, round(CASE product WHEN 'DALMP' THEN {_held("x", 10, 90)} WHEN 'RRS' THEN {_held("x", None, 60)} ELSE {_held("x")} END, 4) AS x
+    FROM (SELECT product, timestamp, i, CASE product WHEN 'RTLMP' THEN {_DRAWS["lognormal"]} ELSE {_DRAWS["normal"]} END AS x
+      FROM (SELECT product, timestamp, point_forecast, 8::DOUBLE AS std FROM v_shown), (SELECT unnest(range(1, {_COUNT + 1})) AS i))""",
+)
+def _(i):
+    bounds = {"DALMP": (10.0, 90.0), "RRS": (None, 60.0)}
+    return _drawn(i, chosen={"RTLMP": "lognormal"}, bounds=bounds)
+
+
+@query(
+    "samples_own_distribution",
+    "Y-01",
+    sql=_draw_sql(f"point_forecast + std * (2 * {_unit(_HASH.format(extra=''), 1)} - 1)"),
+)
+def _(i):
+    from pricecast.functions import randomness
+
+    def even(point, std, key, seed, count):
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(count)), lambda n: point + std * (2 * randomness.uniform(seed, key, n) - 1)
+        )
+
+    return _drawn(i, default="even", distributions=sampling.with_distribution("even", even))
+
+
+@query(
+    "sampling_inputs_rejected",
+    "D-V",
+    sql="""
+    SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'point not finite' WHEN event_id % 23 = 0 THEN 'std not finite'
+      WHEN price <= 5 THEN 'std not positive' WHEN event_id % 29 = 0 THEN 'unknown product' END AS reason
+    FROM v_ticks WHERE event_id % 19 = 0 OR event_id % 23 = 0 OR price <= 5 OR event_id % 29 = 0""",
+)
+def _(i):
+    e = F.col("event_id")
+    rows = i.ticks.select(
+        "event_id",
+        F.when(e % 19 == 0, F.lit(float("nan"))).otherwise(F.col("price")).alias("point_forecast"),
+        F.when(e % 23 == 0, F.lit(float("inf"))).otherwise(F.col("price") - 5).alias("std"),
+        F.when(e % 29 == 0, "Unknown").otherwise(F.col("product")).alias("product"),
+    )
+    return sampling.split_inputs(rows)[1].select("event_id", "reason")
+
+
+# --- whole forecasts ---------------------------------------------------------------------------
+
+_SETTINGS = RunSettings(products=PRODUCTS, fuels=FUELS, sample_count=32)
+_NAMES = ["load_mw", "total_generation"]
+
+
+def _runs(i):
+    """One run at 07:00 of each day that the feeds cover with its horizon."""
+    days = i.ticks.select(F.date_trunc("day", "timestamp").alias("day")).distinct()
+    last = i.ticks.select(F.max(F.date_trunc("day", "timestamp")).alias("last"))
+    return days.withColumn("_last", last.scalar()).where("day <= _last - interval 3 days").select(
+        (F.col("day") + F.expr("interval 7 hours")).alias("run_time")
+    )
+
+
+def _feeds(i):
+    return daily.Feeds(i.system_load, i.ticks.select("timestamp", "product", "price"), i.system_generation)
+
+
+def all_forecasts(i, runs=None):
+    table = daily.feature_table(_feeds(i), _SETTINGS)
+    trained = daily.train(table, _NAMES, _SETTINGS)
+    return daily.forecasts(_runs(i) if runs is None else runs, table, trained, _summary(i), _NAMES, _SETTINGS)
+
+
+@query(
+    "model_forecast_points",
+    "M-08",
+    "M-09",
+    sql=f"""
+    WITH wide AS (SELECT timestamp, hour(timestamp) AS hour, load_mw FROM v_system_load),
+    rows AS (SELECT h.product, w.hour, w.load_mw, f.generation_mw AS generation_wind, h.price FROM v_hourly h
+             JOIN wide w USING (timestamp) JOIN v_system_generation f ON f.timestamp = h.timestamp AND f.fuel_type = 'wind'),
+    fit AS ({_FIT.format(groups="product, hour", x1="load_mw", x2="generation_wind", y="price", source="rows")}),
+    runs AS (SELECT DISTINCT date_trunc('day', timestamp) + INTERVAL 7 HOUR AS run_time FROM v_ticks
+             WHERE date_trunc('day', timestamp) <= (SELECT max(date_trunc('day', timestamp)) FROM v_ticks) - INTERVAL 3 DAY)
+    SELECT run_time, timestamp, product, round(my + b1 * (load_mw - m1) + b2 * (generation_mw - m2), 4) AS point_forecast
+    FROM (SELECT run_time, date_trunc('day', run_time) + INTERVAL 1 DAY + h.h * INTERVAL 1 HOUR AS timestamp FROM runs, range(72) h(h)) t
+    JOIN wide w USING (timestamp) JOIN v_system_generation g ON g.timestamp = t.timestamp AND g.fuel_type = 'wind'
+    JOIN fit f ON f.hour = w.hour""",
+)
+def _(i):
+    wind = i.system_generation.where("fuel_type = 'wind'").select("timestamp", F.col("generation_mw").alias("generation_wind"))
+    inputs = i.system_load.join(wind, "timestamp")
+    names = ["load_mw", "generation_wind"]
+    rows = i.hourly.join(inputs, "timestamp").withColumn("hour", F.hour("timestamp"))
+    trained = models.train(rows, names, "price")
+    points = daily.point_forecasts(_runs(i), inputs, trained, names, _SETTINGS)
+    known = points.where("point_forecast is not null")
+    return rounded(known.select("run_time", "timestamp", "product", "point_forecast"), "point_forecast")
+
+
+@query("forecast_backfill", "R-02", "M-08", "M-09")
+def _(i):
+    made = all_forecasts(i)
+    return made.select(
+        "forecast_date",
+        "timestamp",
+        "product",
+        "point_forecast",
+        F.size("samples").alias("sample_count"),
+        F.array_min("samples").alias("least_sample"),
+        F.array_max("samples").alias("greatest_sample"),
+    )
+
+
+@query("forecast_daily_run", "R-01", "S-11")
+def _(i):
+    table = daily.feature_table(_feeds(i), _SETTINGS)
+    trained = daily.train(table, _NAMES, _SETTINGS)
+    path = f"{store.shared_folder(i.spark)}/run-{i.spark.sparkContext.applicationId}"
+    last = _runs(i).agg(F.max("run_time").alias("run_time"))
+    as_of = F.lit("2024-02-01").cast("timestamp")
+    return daily.run(i.spark, path, last, _feeds(i), trained, _summary(i), _NAMES, _SETTINGS, as_of)
+
 

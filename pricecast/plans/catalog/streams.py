@@ -1 +1,76 @@
+"""Streams over the event files, run to completion."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pricecast.plans.inputs import PRODUCTS, _named
+from pricecast.plans.registry import query
+from pricecast.sources.store import shared_folder
+from pricecast.streaming import feeds
+
+_EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
+
+
+def _stream(i):
+    rows = feeds.read(i.spark, i.folder, _EVENTS, "events.parquet")
+    return rows.select(
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        _named("event_type", PRODUCTS).alias("product"),
+        F.col("value").alias("price"),
+        F.concat(F.lit("HB_"), F.col("user_id") % 3).alias("node"),
+        "event_id",
+    )
+
+
+def _scratch(i, name):
+    """A new folder per run: a stream starts from its own checkpoint."""
+    import uuid
+
+    return f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "stream_hourly_prices",
+    "K-02",
+    sql="""
+    SELECT product, timestamp, round(avg(price), 6) AS mean, min(price) AS least, max(price) AS greatest, count(*) AS row_count
+    FROM v_ticks WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v_ticks) - INTERVAL 2 HOUR GROUP BY ALL""",
+)
+def _(i):
+    out = _scratch(i, "hourly")
+    hourly = feeds.hourly(_stream(i), "price", ["product"])
+    feeds.write_table(hourly, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return i.spark.read.schema(hourly.schema).parquet(f"{out}/table")
+
+
+@query(
+    "stream_feed_landing",
+    "K-01",
+    sql="""
+    SELECT CASE WHEN event_id % 89 = 0 THEN 'unknown product' ELSE 'accepted' END AS outcome, count(*) AS row_count,
+           round(sum(price), 6) AS total FROM v_ticks GROUP BY ALL""",
+)
+def _(i):
+    out = _scratch(i, "landing")
+    rows = _stream(i)
+    # Every record arrives twice; the second copy is dropped in the stream.
+    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    marked = twice.withColumn("product", F.when(F.col("event_id") % 89 == 0, "Other").otherwise(F.col("product")))
+    good, bad = f"{out}/good", f"{out}/bad"
+    feeds.land(marked, "price", ["event_id"], good, bad, f"{out}/checkpoint").awaitTermination()
+    schema = "timestamp timestamp, product string, price double, node string, event_id long, reason string"
+    both = [i.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(p) for p in (good, bad)]
+    return (
+        both[0]
+        .unionByName(both[1])
+        .groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.sum("price").alias("total"))
+    )
