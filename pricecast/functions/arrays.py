@@ -26,13 +26,13 @@ def sorted_percentile(ordered: Column, q: float) -> Column:
 
 
 def percentile(items: Column, q: float) -> Column:
-    return sorted_percentile(F.array_sort(items), q)
+    return sorted_percentile(F.sort_array(items), q)
 
 
 def interval(items: Column, level: float) -> tuple[Column, Column]:
     """Central interval of the samples at a confidence level."""
     tail = (1.0 - level) / 2.0
-    ordered = F.array_sort(items)
+    ordered = F.sort_array(items)
     return sorted_percentile(ordered, tail), sorted_percentile(ordered, 1.0 - tail)
 
 
@@ -40,7 +40,7 @@ def step_quantile(items: Column, q: float) -> Column:
     """The sample at index int(q·n) of the sorted samples, without interpolation."""
     n = F.size(items)
     place = F.least((n * F.lit(float(q))).cast("int"), n - 1)
-    return F.get(F.array_sort(items), place)
+    return F.get(F.sort_array(items), place)
 
 
 def _moment(items: Column, centre: Column, power: int) -> Column:

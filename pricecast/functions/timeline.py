@@ -1,9 +1,9 @@
 """Ordered operations on long series, split by time so that no series has to fit one task.
 
 A plain ``Window.partitionBy(key)`` sorts a whole series in one task. Here every
-series is cut into time chunks (or blocks of row positions); a chunk gets what it
-needs from its past either as a one-row summary per earlier chunk (fills, row
-numbers) or as copies of the rows just before it (trailing windows, lags). Results
+series is cut into time chunks; a chunk gets what it
+needs from its past either as a one-row summary per earlier chunk (fills) or as
+copies of the rows just before it (trailing windows, lags). Results
 are those of the unsplit window.
 
 Contract: key columns are not null, and ``ts`` orders the rows of a key.
@@ -147,52 +147,55 @@ def _own_and_next(near_end: Column) -> Column:
     return F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)))
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    ties: Sequence[str] = (),
-    name: str = "position",
-    chunk_seconds: int = CHUNK_SECONDS,
-) -> DataFrame:
-    """Position of each row in its series, from 0: number within the chunk plus rows in earlier chunks."""
-    base = _chunked(df, ts, chunk_seconds)
-    local = [*keys, "_chunk"]
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = base.groupBy(*local).count().select(*local, F.sum("count").over(before).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy(*local).orderBy("_t", *ties)) - 1
-    numbered = base.withColumn("_inside", inside).join(offsets, local)
-    place = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_inside")
-    return numbered.select(*df.columns, place.alias(name))
-
-
 def row_windows(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     rows_back: int,
     exprs: Callable[[Callable], dict[str, Column]],
+    columns: Sequence[str],
     ties: Sequence[str] = (),
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """Lags and row frames that look at most ``rows_back`` rows back.
+    """Lags and row frames that look at most ``rows_back`` rows back, over ``columns``.
 
-    ``exprs`` gets a function ``w``: ``w()`` is the ordered window for ``lag``,
-    ``w(n)`` its frame of the current and the n − 1 rows before it.
+    ``exprs`` gets a function ``w``: ``w()`` is the ordered window for ``lag``, ``w(n)`` its frame of
+    the current and the n − 1 rows before it.
+
+    Each chunk is preceded by the last rows of the chunks before it: the rows themselves are
+    shuffled once, and only ``rows_back`` rows of each chunk travel again.
     """
-    length = BLOCK_LOOKBACKS * rows_back
-    placed = number_rows(df, keys, ts, ties, "_position").withColumn(
-        "_home", F.floor(F.col("_position") / F.lit(length))
+    base = _chunked(df, ts, chunk_seconds)
+    local = [*keys, "_chunk"]
+    used = list(dict.fromkeys([*keys, "_t", "_chunk", *ties, *columns]))
+    latest_first = W.partitionBy(*local).orderBy(F.desc("_t"), *[F.desc(c) for c in ties])
+    # Spark keeps only the wanted rows of each chunk before this shuffle.
+    tails = (
+        base.select(*used).withColumn("_r", F.row_number().over(latest_first)).where(F.col("_r") <= rows_back).drop("_r")
     )
-    near_end = F.col("_position") >= (F.col("_home") + 1) * length - rows_back
-    copied = placed.withColumn("_block", _own_and_next(near_end))
-    ordered = W.partitionBy(*keys, "_block").orderBy("_position")
+    # Which earlier chunks hold the last rows before a chunk: known from the sizes of the tails alone.
+    series = W.partitionBy(*keys)
+    by_end = series.orderBy("_end")
+    sizes = tails.groupBy(*local).agg(F.count(F.lit(1)).alias("_n"))
+    sources = (
+        sizes.withColumn("_end", F.sum("_n").over(series.orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_sources", F.collect_list("_chunk").over(by_end.rangeBetween(-(rows_back - 1), 0)))
+        .withColumn("_into", F.lead("_chunk").over(by_end))
+        .where("_into is not null")
+        .select(*keys, "_into", F.explode("_sources").alias("_chunk"))
+    )
+    brought = tails.join(sources, local).drop("_chunk").withColumnRenamed("_into", "_chunk")
+    line = base.withColumn("_own", F.lit(True)).unionByName(
+        brought.withColumn("_own", F.lit(False)), allowMissingColumns=True
+    )
+    ordered = W.partitionBy(*local).orderBy("_t", *ties)
 
     def w(rows: int | None = None):
         return ordered if rows is None else ordered.rowsBetween(-(rows - 1), 0)
 
     added = exprs(w)
     kept = [c for c in df.columns if c not in added]
-    return copied.withColumns(added).where("_block = _home").select(*kept, *added)
+    return line.withColumns(added).where("_own").select(*kept, *added)
 
 
 def shift_rows(
@@ -200,6 +203,7 @@ def shift_rows(
 ) -> DataFrame:
     """``{new: (column, k)}``: the value k rows earlier in the series."""
     reach = max(k for _, k in shifts.values())
+    columns = list(dict.fromkeys(c for c, _ in shifts.values()))
     return row_windows(
-        df, keys, ts, reach, lambda w: {new: F.lag(c, k).over(w()) for new, (c, k) in shifts.items()}, ties
+        df, keys, ts, reach, lambda w: {new: F.lag(c, k).over(w()) for new, (c, k) in shifts.items()}, columns, ties
     )

@@ -14,13 +14,19 @@ from pricecast.functions.timeline import trailing
 from pricecast.operators import align, topk
 
 
-def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+# Rows of figures that are broadcast without asking: about a megabyte.
+BROADCAST_ROWS = 10_000
+
+
+def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
     """Put per-key figures on the rows of each key.
 
-    No broadcast hint: the number of keys is not known here. At run time the summary's
-    real size decides between a broadcast and a join that splits skewed keys.
+    ``at_most`` is a bound on the rows of the summary that holds by construction, such as the length of a
+    list the keys were filtered by. Only then is it broadcast by hint; otherwise its size at run time
+    decides between a broadcast and a join that splits skewed keys.
     """
-    return df.join(summary, list(keys))
+    small = at_most is not None and at_most <= BROADCAST_ROWS
+    return df.join(F.broadcast(summary) if small else summary, list(keys))
 
 
 def total_generation(df: DataFrame, keys: Sequence[str] = ("timestamp",)) -> DataFrame:

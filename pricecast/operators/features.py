@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast import config
-from pricecast.functions.timeline import DAY, fill, row_windows, shift_rows, trailing
+from pricecast.functions.timeline import DAY, fill, neighbours, row_windows, shift_rows, trailing
 from pricecast.operators import reshape
 from pricecast.operators.joins import merge_features
 
@@ -42,8 +42,9 @@ def quotient(a: Column, b: Column) -> Column:
 def load_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Change against the row before, and the share of the day's peak and mean; gaps filled back, then forward."""
     made = ["load_rate_of_change", "load_daily_peak", "load_daily_average"]
-    known = fill(df.withColumn("_known", F.col("load_mw")), keys, "timestamp", ["_known"])
-    lagged = shift_rows(known, keys, "timestamp", {"_before": ("_known", 1)})
+    # The change is taken between known values: a gap repeats the value before it.
+    lagged = neighbours(df, keys, "timestamp", ["load_mw"], backward=False, strict=True)
+    before = F.col("prev_load_mw")
     date = F.to_date("timestamp")
     daily = df.groupBy(*keys, date.alias("_date")).agg(
         F.max("load_mw").alias("_peak"), F.avg("load_mw").alias("_mean")
@@ -52,7 +53,7 @@ def load_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     load = F.col("load_mw")
     featured = wide.select(
         *df.columns,
-        ((quotient(F.col("_known"), F.col("_before")) - 1) * 100).alias(made[0]),
+        ((quotient(F.coalesce(load, before), before) - 1) * 100).alias(made[0]),
         quotient(load, F.col("_peak")).alias(made[1]),
         quotient(load, F.col("_mean")).alias(made[2]),
     )
@@ -159,6 +160,7 @@ def volatility(
         "timestamp",
         max(windows),
         lambda w: {n: F.stddev_samp(c).over(w(size)) for n, (c, size) in names.items()},
+        columns,
     )
     forward = fill(rolled, keys, "timestamp", list(names))
     means = forward.groupBy(*keys).agg(

@@ -13,7 +13,7 @@ from pricecast.functions import arrays
 
 def percentile_columns(df: DataFrame, percentiles: Sequence[float]) -> DataFrame:
     """``p10``, ``p50`` … of each row's samples; sorted once per row."""
-    ordered = df.withColumn("_ordered", F.array_sort("samples"))
+    ordered = df.withColumn("_ordered", F.sort_array("samples"))
     made = {f"p{q:g}": arrays.sorted_percentile(F.col("_ordered"), q / 100) for q in percentiles}
     return ordered.withColumns(made).drop("_ordered")
 
@@ -44,7 +44,7 @@ def uncertainty_band(df: DataFrame, product: str, percentiles: tuple[float, floa
 
 def distribution_markers(df: DataFrame, percentiles: Sequence[float] = (10, 50, 90)) -> DataFrame:
     """One row per forecast hour and percentile."""
-    ordered = F.array_sort("samples")
+    ordered = F.sort_array("samples")
     marks = F.array(
         *[
             F.struct(F.lit(float(q)).alias("percentile"), arrays.sorted_percentile(ordered, q / 100).alias("value"))

@@ -88,7 +88,7 @@ def probabilistic(
     The per-row quantities come first, so samples are sorted once and never shuffled.
     """
     a = F.col(_A)
-    ordered = df.withColumn("_s", F.array_sort("samples"))
+    ordered = df.withColumn("_s", F.sort_array("samples"))
     n = F.size("_s")
     rows = {}
     for c in levels:

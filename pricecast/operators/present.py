@@ -57,7 +57,7 @@ def time_series_table(df: DataFrame, product: str | None = None) -> DataFrame:
 def hourly_table(df: DataFrame, percentiles: Sequence[int] = config.DISPLAY_PERCENTILES) -> DataFrame:
     """One row per hour: point, percentiles and the range between the outer ones."""
     signed = _signed()
-    ordered = df.withColumn("_s", F.array_sort("samples"))
+    ordered = df.withColumn("_s", F.sort_array("samples"))
     at = {q: arrays.sorted_percentile(F.col("_s"), q / 100) for q in percentiles}
     low, high = at[min(percentiles)], at[max(percentiles)]
     return ordered.select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pricecast import config
 from pricecast.functions.timeline import shift_rows
 from pricecast.operators import normalize, topk
+from pricecast.operators.aggregates import attach
 from pricecast.operators.uncertainty import lookup
 
 COLUMNS = ["category", "check", "product", "timestamp", "value", "message"]
@@ -245,14 +246,14 @@ def column_ranges(df: DataFrame, limits: dict[str, tuple[float | None, float | N
     return df.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))
 
 
-def _with_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _with_spread(df: DataFrame, keys: Sequence[str], value: str, at_most: int | None = None) -> DataFrame:
     """Mean and deviation (n − 1) per key on each row. Groups are reduced before the shuffle and joined
     back at run time by size, so a hot key does not have to fit a window."""
     figures = df.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"), F.count(value).alias("_rows")
     )
     if keys:
-        return df.join(figures, list(keys))
+        return attach(df, figures, keys, at_most)
     whole = df.withColumn("_all", figures.select(F.struct("_mean", "_std", "_rows")).scalar())
     return whole.withColumns({c: F.col(f"_all.{c}") for c in ("_mean", "_std", "_rows")})
 
@@ -263,7 +264,7 @@ def forecast_outliers(df: DataFrame, limits: dict[str, tuple[float, float, float
     threshold = lookup({p: v[2] for p, v in table.items()}, F.col("product"), None)
     point = F.col("point_forecast")
     known = df.where(F.col("product").isin(list(table)))
-    spread = _with_spread(known, ["product"], "point_forecast").where(F.col("_std") >= 1e-8)
+    spread = _with_spread(known, ["product"], "point_forecast", len(table)).where(F.col("_std") >= 1e-8)
     far = spread.where(F.abs(point - F.col("_mean")) > threshold * F.col("_std"))
     cell = _row("plausibility", "outlier", F.col("product"), F.col("timestamp"), point, F.lit("far from the mean"))
     return far.select(F.inline(F.array(cell)))

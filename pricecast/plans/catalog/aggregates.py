@@ -62,6 +62,7 @@ def _(i):
            row_number() OVER (PARTITION BY product ORDER BY price DESC, timestamp) AS rank
     FROM ({_rolling_sql("23:59:59.999999", "(SELECT * FROM v_hourly WHERE timestamp BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-28 23:59:59')")})
     QUALIFY rank <= 3""",
+    doubles="price",
 )
 def _(i):
     from pricecast.operators import topk
@@ -78,7 +79,7 @@ def _(i):
     "forecast_statistics",
     "A-03",
     sql="""
-    SELECT product, min(point_forecast) AS min_price, max(point_forecast) AS max_price,
+    SELECT product, round(min(point_forecast), 6) AS min_price, round(max(point_forecast), 6) AS max_price,
            round(avg(point_forecast), 6) AS mean_price, round(stddev_samp(point_forecast), 6) AS std_price,
            round(quantile_cont(point_forecast, 0.5), 6) AS median_price, max(peak_hour_1) AS peak_hour_1,
            max(peak_hour_2) AS peak_hour_2, max(peak_hour_3) AS peak_hour_3
@@ -154,7 +155,7 @@ def _(i):
     "A-07",
     sql="""
     SELECT product, count(*) AS forecast_count, round(avg(point_forecast), 6) AS mean_point,
-           min(point_forecast) AS min_point, max(point_forecast) AS max_point,
+           round(min(point_forecast), 6) AS min_point, round(max(point_forecast), 6) AS max_point,
            round(avg(is_fallback::INT) * 100, 6) AS fallback_percent FROM v_shown GROUP BY product""",
 )
 def _(i):

@@ -260,12 +260,12 @@ def _crossed_sql(columns):
 @query(
     "temporal_interactions",
     "X-10",
-    sql=f"SELECT timestamp, {', '.join(f'round({e}, 5) + 0 AS {n}' for n, e in _crossed_sql(_CROSSED).items())} FROM ({_WIDE})",
+    sql=f"SELECT timestamp, {', '.join(f'round({e}, 6) AS {n}' for n, e in _crossed_sql(_CROSSED).items())} FROM ({_WIDE})",
 )
 def _(i):
     wide = wide_table(i)
     made = features.interaction_columns(wide.columns, _CROSSED)
-    return wide.select("timestamp", *[F.round(c, 5).alias(n) for n, c in made.items()])
+    return wide.select("timestamp", *[c.alias(n) for n, c in made.items()])
 
 
 _DERIVED = {
@@ -282,11 +282,11 @@ _DERIVED = {
 @query(
     "derived_features",
     "X-11",
-    sql=f"SELECT timestamp, {', '.join(f'round({e}, 5) + 0 AS {n}' for n, e in _DERIVED.items())} FROM ({_volatility_sql(_WIDE, _VOLATILE, config.VOLATILITY_ROWS)})",
+    sql=f"SELECT timestamp, {', '.join(f'round({e}, 6) AS {n}' for n, e in _DERIVED.items())} FROM ({_volatility_sql(_WIDE, _VOLATILE, config.VOLATILITY_ROWS)})",
 )
 def _(i):
     made = features.derived_features(wide_table(i))
-    return made.select("timestamp", *[F.round(n, 5).alias(n) for n in _DERIVED])
+    return made.select("timestamp", *_DERIVED)
 
 
 # --- lags and selections -----------------------------------------------------------------------

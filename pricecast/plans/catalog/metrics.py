@@ -230,8 +230,8 @@ def _(i):
     sql="""
     SELECT a.product, a.node AS ensemble, b.node AS comparison, round(sqrt(avg((a.p - b.p) * (a.p - b.p))), 6) AS rmse,
            round(avg(abs(a.p - b.p)), 6) AS mae, round(avg(a.p - b.p), 6) AS bias, count(*) AS hours
-    FROM (SELECT node, product, timestamp, round(avg(price), 6) AS p FROM v_ticks GROUP BY ALL) a
-    JOIN (SELECT node, product, timestamp, round(avg(price), 6) AS p FROM v_ticks GROUP BY ALL) b
+    FROM (SELECT node, product, timestamp, round(avg(price), 12) AS p FROM v_ticks GROUP BY ALL) a
+    JOIN (SELECT node, product, timestamp, round(avg(price), 12) AS p FROM v_ticks GROUP BY ALL) b
       ON a.product = b.product AND a.timestamp = b.timestamp AND a.node <> b.node GROUP BY ALL""",
 )
 def _(i):

@@ -308,9 +308,10 @@ def _(i):
     "J-05",
     sql="""
     SELECT a.product, a.timestamp, a.p AS first_point, b.p AS second_point
-    FROM (SELECT product, timestamp, round(avg(price), 6) AS p FROM v_ticks WHERE node = 'HB_0' GROUP BY ALL) a
-    JOIN (SELECT product, timestamp, round(avg(price), 6) AS p FROM v_ticks WHERE node = 'HB_1' GROUP BY ALL) b
+    FROM (SELECT product, timestamp, round(avg(price), 12) AS p FROM v_ticks WHERE node = 'HB_0' GROUP BY ALL) a
+    JOIN (SELECT product, timestamp, round(avg(price), 12) AS p FROM v_ticks WHERE node = 'HB_1' GROUP BY ALL) b
       ON a.product = b.product AND a.timestamp = b.timestamp""",
+    doubles="first_point second_point",
 )
 def _(i):
     return joins.pair_ensembles(node_ensembles(i), "HB_0", "HB_1")
@@ -319,7 +320,7 @@ def _(i):
 def node_ensembles(i):
     """The prices of each node as an ensemble of its own."""
     return i.ticks.groupBy(F.col("node").alias("ensemble_id"), "product", "timestamp").agg(
-        F.round(F.avg("price"), 6).alias("point_forecast")
+        F.round(F.avg("price"), 12).alias("point_forecast")
     )
 
 

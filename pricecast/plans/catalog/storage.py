@@ -37,6 +37,19 @@ def _(i):
     return store.read_latest(i.stored).select("product", "timestamp", "point_forecast", "generation_timestamp")
 
 
+@query(
+    "latest_forecast_by_index",
+    "S-09",
+    sql="""
+    SELECT product, timestamp, point_forecast, generation_timestamp FROM v_stored
+    QUALIFY rank() OVER (PARTITION BY product ORDER BY generation_timestamp DESC) = 1""",
+    doubles="point_forecast",
+)
+def _(i):
+    found = store.read_latest(i.stored, store.index_of(i.stored))
+    return found.select("product", "timestamp", "point_forecast", "generation_timestamp")
+
+
 @query(
     "forecasts_in_dates",
     "S-10",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,24 +134,29 @@ def run(
 ) -> DataFrame:
     """Run and store; returns the validation summary of what was stored.
 
-    The result is written to the shared folder before the store: it is read three times, and the
-    store is read for fallbacks while the result is computed.
+    The new forecasts are written to the shared folder first: they are read several times, and a lost
+    executor then costs a re-read instead of the whole job.
     """
-    fresh = forecasts(runs, feature_table(feeds, settings), trained, summary, names, settings)
-    final = fresh
-    try:
-        earlier = forecast_store.read(spark, path)
-    except Exception:  # no forecast has been stored yet
-        earlier = None
-    if earlier is not None:
-        kept = earlier.drop(*validate.STORED_FIELDS)
-        final, _ = with_fallback(fresh, runs, kept, settings)
     staged = f"{forecast_store.shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
-    final.write.mode("overwrite").parquet(staged)
-    done = spark.read.parquet(staged)
-    forecast_store.write(done, path, as_of)
+    made = forecasts(runs, feature_table(feeds, settings), trained, summary, names, settings)
+    made.write.mode("overwrite").parquet(f"{staged}/fresh")
+    final = spark.read.parquet(f"{staged}/fresh")
+    earlier = stored_before(spark, path)
+    if earlier is not None:
+        # Fallbacks are read from the store that is about to be rewritten, so they are staged as well.
+        with_fallback(final, runs, earlier, settings)[0].write.mode("overwrite").parquet(f"{staged}/final")
+        final = spark.read.parquet(f"{staged}/final")
+    forecast_store.write(final, path, as_of)
     starts = horizon_rows(runs, settings).select(F.col("start")).distinct()
     found = validate.forecast(
-        done, starts, "start", as_of, settings.sample_count, settings.products, settings.horizon_hours
+        final, starts, "start", as_of, settings.sample_count, settings.products, settings.horizon_hours
     )
     return validate.summary(found)
+
+
+def stored_before(spark, path: str) -> DataFrame | None:
+    """Forecasts stored so far, without storage metadata; None before the first run."""
+    try:
+        return forecast_store.read(spark, path).drop(*validate.STORED_FIELDS)
+    except AnalysisException:
+        return None

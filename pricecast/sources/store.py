@@ -80,11 +80,15 @@ def read_products(store: DataFrame, products: Sequence[str]) -> DataFrame:
     return store.where(F.col("product").isin(list(products)))
 
 
-def read_latest(store: DataFrame) -> DataFrame:
+def read_latest(store: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """The rows of the newest generation of each product.
 
-    The newest times are one small aggregate; the join to them is sized at run time.
+    With an index only the folders it points to are read: the newest (date, product) pairs are found in
+    the index and joined on the partition columns.
     """
+    if index is not None:
+        newest = index.groupBy("product").agg(F.max_by("forecast_date", "generation_timestamp").alias("forecast_date"))
+        return store.join(newest, KEYS)
     newest = store.groupBy("product").agg(F.max("generation_timestamp").alias("generation_timestamp"))
     return store.join(newest, ["product", "generation_timestamp"])
 
