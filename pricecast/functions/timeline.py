@@ -43,15 +43,15 @@ def neighbours(
     backward: bool = True,
     chunk_seconds: int = CHUNK_SECONDS,
     strict: bool = False,
+    times: bool = False,
 ) -> DataFrame:
-    """Add the closest non-null value and its time before (``prev_*``) and after (``next_*``).
+    """Add the closest non-null value before (``prev_*``) and after (``next_*``), with ``times`` also when.
 
-    A row counts as its own neighbour unless ``strict``. Within a chunk this is a
-    window; across chunks the first and last values of each chunk are carried over.
+    A row counts as its own neighbour unless ``strict``. Within a chunk this is a window; across chunks
+    the first and last values of each chunk are carried over.
     """
     base = _chunked(df, ts, chunk_seconds)
     local = [*keys, "_chunk"]
-    seen = {c: F.when(F.col(c).isNotNull(), F.col("_t")) for c in cols}
     edge = -1 if strict else 0
     up = W.partitionBy(*local).orderBy("_t").rowsBetween(W.unboundedPreceding, edge)
     # Descending order instead of a frame to the end: the latter costs n² in Spark.
@@ -59,27 +59,24 @@ def neighbours(
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     later = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
 
-    edges, carried, inside, final = [], [], {}, {}
+    edges, carried, inside, final = [], [], {}, []
     for side, wanted, pick, pick_t, window, across in (
         ("prev", forward, F.max_by, F.max, up, earlier),
         ("next", backward, F.min_by, F.min, down, later),
     ):
-        if not wanted:
-            continue
-        for c in cols:
-            name = f"{side}_{c}"
-            edges += [pick(F.col(c), seen[c]).alias(f"_e_{name}"), pick_t(seen[c]).alias(f"_et_{name}")]
-            carried += [
-                F.last(f"_e_{name}", ignorenulls=True).over(across).alias(f"_c_{name}"),
-                F.last(f"_et_{name}", ignorenulls=True).over(across).alias(f"_ct_{name}"),
-            ]
-            inside[name] = F.last(c, ignorenulls=True).over(window)
-            inside[f"{name}_at"] = F.last(seen[c], ignorenulls=True).over(window)
-            final[name] = F.coalesce(F.col(name), F.col(f"_c_{name}"))
-            final[f"{name}_at"] = F.coalesce(F.col(f"{name}_at"), F.col(f"_ct_{name}"))
+        for c in cols if wanted else ():
+            seen = F.when(F.col(c).isNotNull(), F.col("_t"))
+            parts = {f"{side}_{c}": (F.col(c), pick(F.col(c), seen))}
+            if times:
+                parts[f"{side}_{c}_at"] = (seen, pick_t(seen))
+            for name, (value, at_edge) in parts.items():
+                edges.append(at_edge.alias(f"_edge_{name}"))
+                carried.append(F.last(f"_edge_{name}", ignorenulls=True).over(across).alias(f"_carry_{name}"))
+                inside[name] = F.last(value, ignorenulls=True).over(window)
+                final.append(F.coalesce(name, f"_carry_{name}").alias(name))
     carry = base.groupBy(*local).agg(*edges).select(*local, *carried)
     wide = base.withColumns(inside).join(carry, local, "left")
-    return wide.select(*df.columns, "_t", *[v.alias(k) for k, v in final.items()])
+    return wide.select(*df.columns, "_t", *final)
 
 
 def fill(
@@ -103,7 +100,7 @@ def interpolate(
     df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
     """Time-weighted linear interpolation; leading nulls stay, trailing nulls repeat the last value."""
-    near = neighbours(df, keys, ts, cols, chunk_seconds=chunk_seconds)
+    near = neighbours(df, keys, ts, cols, chunk_seconds=chunk_seconds, times=True)
 
     def blend(c: str) -> Column:
         before, after = F.col(f"prev_{c}"), F.col(f"next_{c}")
@@ -173,10 +170,10 @@ def row_windows(
     tails = (
         base.select(*used).withColumn("_r", F.row_number().over(latest_first)).where(F.col("_r") <= rows_back).drop("_r")
     )
-    # Which earlier chunks hold the last rows before a chunk: known from the sizes of the tails alone.
+    # Which earlier chunks hold the last rows before a chunk: known from the sizes of the chunks alone.
     series = W.partitionBy(*keys)
     by_end = series.orderBy("_end")
-    sizes = tails.groupBy(*local).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = base.groupBy(*local).agg(F.least(F.count(F.lit(1)), F.lit(rows_back)).alias("_n"))
     sources = (
         sizes.withColumn("_end", F.sum("_n").over(series.orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_sources", F.collect_list("_chunk").over(by_end.rangeBetween(-(rows_back - 1), 0)))

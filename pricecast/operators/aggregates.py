@@ -157,21 +157,20 @@ def aggregate_forecasts(df: DataFrame, how: str = "mean") -> DataFrame:
     side combines, so many copies of one hour do not meet in one task.
     """
     keys = ["product", "timestamp"]
+    if how not in ("mean", "median"):
+        raise ValueError(f"unknown method: {how}")
     packed = F.concat(F.array("point_forecast"), "samples")
     elements = df.select(*keys, "is_fallback", F.posexplode(packed).alias("_pos", "_x"))
     cell = [*keys, "_pos"]
-    if how == "mean":
-        merged = elements.groupBy(*cell).agg(F.avg("_x").alias("_x"))
-    elif how == "median":
-        merged = exact_quantiles(elements, cell, "_x", {"_x": 0.5})
-    else:
-        raise ValueError(f"unknown method: {how}")
+    merged = elements.groupBy(*cell).agg(F.avg("_x").alias("_x"), F.bool_or("is_fallback").alias("is_fallback"))
+    if how == "median":
+        merged = merged.drop("_x").join(exact_quantiles(elements, cell, "_x", {"_x": 0.5}), cell)
     # One array per (product, hour): as long as the sample count.
-    arrays_back = merged.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda e: e["_x"]).alias("_all")
+    back = merged.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda e: e["_x"]).alias("_all"),
+        F.bool_or("is_fallback").alias("is_fallback"),
     )
-    flags = df.groupBy(*keys).agg(F.bool_or("is_fallback").alias("is_fallback"))
-    return arrays_back.join(flags, keys).select(
+    return back.select(
         *keys,
         F.get("_all", F.lit(0)).alias("point_forecast"),
         F.slice("_all", F.lit(2), F.size("_all") - 1).alias("samples"),

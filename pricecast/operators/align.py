@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricecast import config
 from pricecast.functions.timeline import fill, interpolate
+from pricecast.sources.scratch import Settle, as_is
 
 HOUR = "1 hour"
 
@@ -49,14 +50,17 @@ def resample(
     frequency: str,
     aggregates: dict[str, tuple[str, str]],
     fill_sums: bool = True,
+    settle: Settle = as_is,
 ) -> DataFrame:
     """``{new: (column, function)}`` per bin, with every bin between the first and the last of a key.
 
     Empty bins get 0 for sums and null otherwise.
     """
     binned = df.withColumn("timestamp", bin_start(F.col("timestamp").cast("timestamp"), frequency))
-    found = binned.groupBy(*keys, "timestamp").agg(
-        *[getattr(F, how)(F.col(c)).alias(new) for new, (c, how) in aggregates.items()]
+    found = settle(
+        binned.groupBy(*keys, "timestamp").agg(
+            *[getattr(F, how)(F.col(c)).alias(new) for new, (c, how) in aggregates.items()]
+        )
     )
     # The bounds come from the already reduced bins, not from a second pass over the rows.
     bounds = found.groupBy(*keys).agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"))
@@ -81,14 +85,14 @@ def union_bounds(frames: Sequence[DataFrame], keys: Sequence[str] = ()) -> DataF
 
 
 def align(
-    frames: dict[str, tuple[DataFrame, Sequence[str]]], frequency: str = HOUR
+    frames: dict[str, tuple[DataFrame, Sequence[str]]], frequency: str = HOUR, settle: Settle = as_is
 ) -> dict[str, DataFrame]:
     """Put several frames on one grid over the union of their ranges.
 
     Each frame comes with its series keys (product, fuel, region …); numeric columns
     are interpolated in time, others repeat the last value.
     """
-    bounds = union_bounds([df for df, _ in frames.values()])
+    bounds = settle(union_bounds([df for df, _ in frames.values()]))
     result = {}
     for name, (df, keys) in frames.items():
         # Every distinct series of the frame gets the same grid; the bounds are a scalar subquery.

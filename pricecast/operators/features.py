@@ -16,6 +16,7 @@ from pricecast import config
 from pricecast.functions.timeline import DAY, fill, neighbours, row_windows, shift_rows, trailing
 from pricecast.operators import reshape
 from pricecast.operators.joins import merge_features
+from pricecast.sources.scratch import Settle, as_is
 
 RENEWABLE = ("wind", "solar", "hydro")
 
@@ -39,7 +40,7 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).when(b == 0, unbounded)
 
 
-def load_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def load_features(df: DataFrame, keys: Sequence[str] = (), settle: Settle = as_is) -> DataFrame:
     """Change against the row before, and the share of the day's peak and mean; gaps filled back, then forward."""
     made = ["load_rate_of_change", "load_daily_peak", "load_daily_average"]
     # The change is taken between known values: a gap repeats the value before it.
@@ -57,7 +58,7 @@ def load_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         quotient(load, F.col("_peak")).alias(made[1]),
         quotient(load, F.col("_mean")).alias(made[2]),
     )
-    return fill(featured, keys, "timestamp", ["load_mw", *made], ("backward", "forward"))
+    return fill(settle(featured), keys, "timestamp", ["load_mw", *made], ("backward", "forward"))
 
 
 def _total(columns: Sequence[str]) -> Column:
@@ -77,7 +78,9 @@ def mix_entropy(columns: Sequence[str]) -> Column:
     return F.when(unknown | (total <= 0) | few, 0.0).otherwise(entropy / F.lit(math.log(max(len(columns), 2))))
 
 
-def generation_features(df: DataFrame, fuels: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def generation_features(
+    df: DataFrame, fuels: Sequence[str], keys: Sequence[str] = (), settle: Settle = as_is
+) -> DataFrame:
     """Fuel columns, total, renewable share and diversity of the mix; gaps filled back, forward, then 0."""
     wide = reshape.pivot_generation(df, fuels, [*keys, "timestamp"], missing=None)
     fuel_columns = [f"generation_{f}" for f in fuels]
@@ -87,11 +90,13 @@ def generation_features(df: DataFrame, fuels: Sequence[str], keys: Sequence[str]
     if green:
         made["renewable_ratio"] = quotient(_total(green), total)
     names = [*fuel_columns, *made]
-    filled = fill(wide.withColumns(made), keys, "timestamp", names, ("backward", "forward"))
+    filled = fill(settle(wide.withColumns(made)), keys, "timestamp", names, ("backward", "forward"))
     return filled.fillna(0.0, names)
 
 
-def price_features(df: DataFrame, products: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def price_features(
+    df: DataFrame, products: Sequence[str], keys: Sequence[str] = (), settle: Settle = as_is
+) -> DataFrame:
     """Price columns with 24 h deviation, 24 h and 7 d means and the day-ahead spread; filled back, then forward."""
     wide = reshape.pivot_prices(df, products, [*keys, "timestamp"])
     columns = [f"price_{p}" for p in products]
@@ -105,7 +110,7 @@ def price_features(df: DataFrame, products: Sequence[str], keys: Sequence[str] =
     if "DALMP" in products and "RTLMP" in products:
         made = made.withColumn("price_spread_DA_RT", F.col("price_DALMP") - F.col("price_RTLMP"))
         names.append("price_spread_DA_RT")
-    return fill(made, keys, "timestamp", names, ("backward", "forward"))
+    return fill(settle(made), keys, "timestamp", names, ("backward", "forward"))
 
 
 def base_features(
@@ -115,13 +120,17 @@ def base_features(
     products: Sequence[str],
     fuels: Sequence[str],
     keys: Sequence[str] = (),
+    settle: Settle = as_is,
 ) -> DataFrame:
-    """Temporal, load, generation and price features of one hour (and series) in one row."""
-    load_side = temporal(load_features(load.select(*keys, "timestamp", "load_mw"), keys))
+    """Temporal, load, generation and price features of one hour (and series) in one row.
+
+    ``settle`` is applied to frames that are read more than once; the default keeps one lazy plan.
+    """
+    load_side = temporal(load_features(load.select(*keys, "timestamp", "load_mw"), keys, settle))
     frames = {
         "load": load_side,
-        "generation": generation_features(generation, fuels, keys),
-        "price": price_features(prices, products, keys),
+        "generation": generation_features(generation, fuels, keys, settle),
+        "price": price_features(prices, products, keys, settle),
     }
     return merge_features(frames, [*keys, "timestamp"])
 
@@ -148,6 +157,7 @@ def volatility(
     keys: Sequence[str],
     columns: Sequence[str],
     windows: Sequence[int] = tuple(config.VOLATILITY_ROWS),
+    settle: Settle = as_is,
 ) -> DataFrame:
     """Deviation over the last w rows: gaps filled forward, then by the mean of the series.
 
@@ -162,7 +172,7 @@ def volatility(
         lambda w: {n: F.stddev_samp(c).over(w(size)) for n, (c, size) in names.items()},
         columns,
     )
-    forward = fill(rolled, keys, "timestamp", list(names))
+    forward = settle(fill(settle(rolled), keys, "timestamp", list(names)))
     means = forward.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.avg(n).alias(f"_mean_{n}") for n in names]
     )
@@ -220,6 +230,7 @@ def derived_features(
     keys: Sequence[str] = (),
     price_columns: Sequence[str] | None = None,
     windows: Sequence[int] = tuple(config.VOLATILITY_ROWS),
+    settle: Settle = as_is,
 ) -> DataFrame:
     """Ratio, spreads, volatility, renewable impact and interactions on top of the base features."""
     missing = [c for c in ("load_mw", "hour", "day_of_week", "is_weekend") if c not in df.columns]
@@ -232,7 +243,7 @@ def derived_features(
     first.update(spread_columns(df.columns))
     out = df.withColumns(first) if first else df
     if prices:
-        out = volatility(out, keys, prices, windows)
+        out = volatility(settle(out), keys, prices, windows, settle)
     green = renewable_columns(out.columns)
     out = out.withColumns(green) if green else out
     crossed = interaction_columns(out.columns, ["load_mw", "total_generation", *prices])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricecast import config
 from pricecast.functions.timeline import neighbours
 from pricecast.operators import align, reshape
+from pricecast.sources.scratch import Settle, as_is
 
 
 def merge_frames(
@@ -46,6 +47,7 @@ def combined_dataset(
     generation: DataFrame,
     fuels: Sequence[str],
     products: Sequence[str],
+    settle: Settle = as_is,
 ) -> DataFrame:
     """One row per hour: load, a column per product and a column per fuel, on a common grid."""
     grid = align.align(
@@ -53,7 +55,8 @@ def combined_dataset(
             "load": (load, ()),
             "price": (prices, ("product",)),
             "generation": (generation, ("fuel_type",)),
-        }
+        },
+        settle=settle,
     )
     wide = merge_frames(
         [
@@ -96,7 +99,7 @@ def nearest(
     # Rows at one time are reduced to one before they are ordered.
     single = points.groupBy(*keys, "_at").agg(F.min("_row").alias("_row"))
     line = marks.unionByName(single, allowMissingColumns=True)
-    near = neighbours(line, keys, "_at", ["_row"]).where("_target")
+    near = neighbours(line, keys, "_at", ["_row"], times=True).where("_target")
     earlier = F.col("_t") - F.col("prev__row_at")
     later = F.col("next__row_at") - F.col("_t")
     use_next = F.col("prev__row").isNull() | (later < earlier)

@@ -89,7 +89,7 @@ def _(i):
     GROUP BY product""",
 )
 def _(i):
-    return agg.forecast_statistics(i.shown)
+    return agg.forecast_statistics(i.kept("shown"))
 
 
 @query(
@@ -147,7 +147,7 @@ def _(i):
     GROUP BY ALL""",
 )
 def _(i):
-    return agg.resample_forecast(i.shown, "6 hours")
+    return agg.resample_forecast(i.kept("shown"), "6 hours")
 
 
 @query(

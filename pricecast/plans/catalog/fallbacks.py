@@ -31,7 +31,7 @@ def _(i):
 
 def _targets(i):
     """Every product needs a forecast for the dates around the end of the store."""
-    return i.stored.select("product", F.date_add("forecast_date", 4).alias("target_date")).distinct()
+    return i.kept("stored").select("product", F.date_add("forecast_date", 4).alias("target_date")).distinct()
 
 
 _TARGETS = "SELECT DISTINCT product, forecast_date + INTERVAL 4 DAY AS target_date FROM v_stored"
@@ -52,7 +52,7 @@ _ALL = _SOURCES.format(extra="")
     sql=f"SELECT product, target_date, forecast_date, age_days FROM ({_ALL})",
 )
 def _(i):
-    found = fallback.find_source(_targets(i), store.index_of(i.stored))
+    found = fallback.find_source(_targets(i), store.index_of(i.kept("stored")))
     return found.select("product", "target_date", "forecast_date", "age_days")
 
 
@@ -62,7 +62,7 @@ def _(i):
     sql=f"SELECT product, target_date, forecast_date, age_days FROM ({_SOURCES.format(extra='AND NOT is_fallback')})",
 )
 def _(i):
-    found = fallback.find_source(_targets(i), store.index_of(i.stored), allow_cascading=False)
+    found = fallback.find_source(_targets(i), store.index_of(i.kept("stored")), allow_cascading=False)
     return found.select("product", "target_date", "forecast_date", "age_days")
 
 
@@ -89,7 +89,7 @@ def _(i):
     FROM v_stored s JOIN ({_ALL}) f ON f.product = s.product AND f.forecast_date = s.forecast_date""",
 )
 def _(i):
-    rows, _ = fallback.retrieve(_targets(i), store.index_of(i.stored), i.stored, _as_of())
+    rows, _ = fallback.retrieve(_targets(i), store.index_of(i.kept("stored")), i.kept("stored"), _as_of())
     return rows.select("product", "forecast_date", "timestamp", "point_forecast", "is_fallback")
 
 
@@ -102,8 +102,8 @@ def _(i):
       AND i.forecast_date BETWEEN t.target_date - INTERVAL 7 DAY AND t.target_date - INTERVAL 1 DAY)""",
 )
 def _(i):
-    targets = i.stored.select("product", F.col("forecast_date").alias("target_date")).distinct()
-    return fallback.retrieve(targets, store.index_of(i.stored), i.stored, _as_of())[1]
+    targets = i.kept("stored").select("product", F.col("forecast_date").alias("target_date")).distinct()
+    return fallback.retrieve(targets, store.index_of(i.kept("stored")), i.kept("stored"), _as_of())[1]
 
 
 @query(
@@ -114,7 +114,7 @@ def _(i):
            is_fallback AS is_cascading_fallback, generation_timestamp AS original_generation_time, horizon_hours FROM ({_ALL})""",
 )
 def _(i):
-    return fallback.lineage(fallback.find_source(_targets(i), store.index_of(i.stored)))
+    return fallback.lineage(fallback.find_source(_targets(i), store.index_of(i.kept("stored"))))
 
 
 @query(
@@ -133,10 +133,10 @@ def _(i):
     JOIN v_stored s ON s.product = t.product AND s.forecast_date = t.source""",
 )
 def _(i):
-    index = store.index_of(i.stored)
+    index = store.index_of(i.kept("stored"))
     failed = index.where("horizon_hours < 24 or row_count < 20").select("forecast_date", "product")
     targets = failed.select("product", F.col("forecast_date").alias("target_date"))
     columns = ["forecast_date", "product", "timestamp", "point_forecast", "is_fallback", "generation_timestamp"]
-    fresh = i.stored.select(*columns)
+    fresh = i.kept("stored").select(*columns)
     rows, _ = fallback.retrieve(targets, index, fresh, _as_of())
     return fallback.fill_in(fresh, failed, rows).drop("generation_timestamp")

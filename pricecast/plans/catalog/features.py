@@ -6,6 +6,7 @@ from pricecast import config
 from pricecast.operators import features, scaling
 from pricecast.plans.inputs import FUELS, PRODUCTS
 from pricecast.plans.registry import query, rounded
+from pricecast.sources.scratch import new_folder, settle
 
 _LAGS = (1, 2, 3, 6, 12, 24, 48, 72, 168)
 
@@ -54,7 +55,7 @@ _LOAD_MADE = "load_rate_of_change load_daily_peak load_daily_average"
 
 @query("load_features", "X-02", sql=_load_sql("v_load", ["region"]), doubles=_LOAD_MADE)
 def _(i):
-    return features.load_features(i.load, ["region"])
+    return features.load_features(i.kept("load"), ["region"], settle)
 
 
 # --- generation --------------------------------------------------------------------------------
@@ -86,7 +87,7 @@ _GEN_MADE = " ".join([*_FUEL_COLUMNS, "total_generation", "renewable_ratio", "fu
 
 @query("generation_features", "X-03", sql=_generation_sql("v_generation", ["region"]), doubles=_GEN_MADE)
 def _(i):
-    return features.generation_features(i.generation, FUELS, ["region"])
+    return features.generation_features(i.generation, FUELS, ["region"], settle)
 
 
 # --- prices ------------------------------------------------------------------------------------
@@ -118,7 +119,7 @@ def _all_rounded(sql, made, digits=6):
 
 @query("price_features", "X-04", sql=_all_rounded(_PRICE_SQL, _PRICE_MADE))
 def _(i):
-    return features.price_features(i.ticks.select("timestamp", "product", "price"), PRODUCTS)
+    return features.price_features(i.ticks.select("timestamp", "product", "price"), PRODUCTS, settle=settle)
 
 
 _BASE_SQL = f"""
@@ -132,7 +133,7 @@ _BASE_DOUBLES = [*_LOAD_MADE.split(), *_GEN_MADE.split(), *_PRICE_MADE]
 
 def base_table(i):
     prices = i.ticks.select("timestamp", "product", "price")
-    return features.base_features(i.system_load, prices, i.system_generation, PRODUCTS, FUELS)
+    return features.base_features(i.kept("system_load"), prices, i.system_generation, PRODUCTS, FUELS, settle=settle)
 
 
 @query("base_features", "X-05", sql=_all_rounded(_BASE_SQL, _BASE_DOUBLES))
@@ -220,7 +221,7 @@ _VOL_NAMES = [f"volatility_{c}_{w}h" for c in _VOLATILE for w in config.VOLATILI
     sql=f"SELECT timestamp, {', '.join(f'round({n}, 6) AS {n}' for n in _VOL_NAMES)} FROM ({_volatility_sql(_WIDE, _VOLATILE, config.VOLATILITY_ROWS)})",
 )
 def _(i):
-    made = features.volatility(wide_table(i), [], _VOLATILE)
+    made = features.volatility(settle(wide_table(i)), [], _VOLATILE, settle=settle)
     return made.select("timestamp", *_VOL_NAMES)
 
 
@@ -285,7 +286,7 @@ _DERIVED = {
     sql=f"SELECT timestamp, {', '.join(f'round({e}, 6) AS {n}' for n, e in _DERIVED.items())} FROM ({_volatility_sql(_WIDE, _VOLATILE, config.VOLATILITY_ROWS)})",
 )
 def _(i):
-    made = features.derived_features(wide_table(i))
+    made = features.derived_features(wide_table(i), settle=settle)
     return made.select("timestamp", *_DERIVED)
 
 
@@ -300,7 +301,7 @@ def _(i):
     FROM v_load WINDOW w AS (PARTITION BY region ORDER BY timestamp)""",
 )
 def _(i):
-    return features.lags(i.load, ["load_mw"], keys=["region"])
+    return features.lags(i.kept("load"), ["load_mw"], keys=["region"])
 
 
 @query(
@@ -313,7 +314,7 @@ def _(i):
     WINDOW w AS (PARTITION BY l_suppkey ORDER BY timestamp)""",
 )
 def _(i):
-    return features.lags(supplier_days(i), ["value"], (1, 7, 28), ["l_suppkey"])
+    return features.lags(settle(supplier_days(i)), ["value"], (1, 7, 28), ["l_suppkey"])
 
 
 def supplier_days(i):
@@ -390,7 +391,7 @@ def _(i):
       (SELECT unnest(['DALMP', 'RTLMP', 'RegUp', 'RegDown', 'RRS', 'NSRS']) AS product) p""",
 )
 def _(i):
-    wide = wide_table(i).withColumnRenamed("generation_solar", "solar_generation")
+    wide = settle(wide_table(i).withColumnRenamed("generation_solar", "solar_generation"))
     lagged = features.lags(wide, ["load_mw"], [24])
     vectors = features.product_hour_vectors(lagged, extra=["load_mw_lag_24"])
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
@@ -474,9 +475,7 @@ def _(i):
     sql=f"""SELECT l_returnflag, "column", round(center, 5) AS center, round(scale, 5) AS scale FROM ({_scalers_sql("minmax")})""",
 )
 def _(i):
-    from pricecast.sources.store import shared_folder
-
-    path = f"{shared_folder(i.spark)}/scalers-{i.spark.sparkContext.applicationId}"
+    path = new_folder(i.spark, "scalers")
     scaling.save(_fit(i, "standard").withColumn("normalizer_id", F.lit("other")), path)
     scaling.save(_fit(i, "minmax"), path)
     loaded = scaling.load(i.spark, path, "v1").select("l_returnflag", "column", "center", "scale")
@@ -503,5 +502,5 @@ def _(i):
 )
 def _(i):
     columns = ["load_mw", "hour_x_load_mw", "renewable_to_load"]
-    made = features.derived_features(wide_table(i), windows=(24,)).select("timestamp", "hour", *columns)
+    made = features.derived_features(wide_table(i), windows=(24,), settle=settle).select("timestamp", "hour", *columns)
     return scaling.apply(made, scaling.fit(made, columns), columns)

@@ -86,7 +86,7 @@ _STARTS = """
 
 
 def _starts(i):
-    return i.load.select(F.date_trunc("day", "timestamp").alias("start")).distinct()
+    return i.kept("load").select(F.date_trunc("day", "timestamp").alias("start")).distinct()
 
 
 @query(
@@ -97,7 +97,7 @@ def _starts(i):
     JOIN v_load l ON l.timestamp >= start AND l.timestamp < start + INTERVAL 72 HOUR""",
 )
 def _(i):
-    found, _ = feeds.horizon(i.load, _starts(i), "start")
+    found, _ = feeds.horizon(i.kept("load"), _starts(i), "start")
     return found.select("start", "region", "timestamp", "load_mw")
 
 
@@ -113,8 +113,9 @@ def _(i):
     JOIN v_hourly USING (product)""",
 )
 def _(i):
-    starts = i.hourly.select("product", F.date_trunc("day", "timestamp").alias("start")).distinct()
-    _, gaps = feeds.horizon(i.hourly, starts, "start", ["product"])
+    hourly = i.kept("hourly")
+    starts = hourly.select("product", F.date_trunc("day", "timestamp").alias("start")).distinct()
+    _, gaps = feeds.horizon(hourly, starts, "start", ["product"])
     return gaps.select("start", "product", "timestamp")
 
 
@@ -128,10 +129,11 @@ def _(i):
     EXCEPT SELECT product, timestamp FROM v_hourly""",
 )
 def _(i):
-    span = align.union_bounds([i.hourly]).select(F.struct("_from", "_to")).scalar()
-    wanted = i.hourly.select("product").distinct().withColumn("_span", span)
+    hourly = i.kept("hourly")
+    span = align.union_bounds([hourly]).select(F.struct("_from", "_to")).scalar()
+    wanted = hourly.select("product").distinct().withColumn("_span", span)
     grid = align.series_grid(wanted.select("product", "_span._from", "_span._to"))
-    return align.missing_hours(i.hourly, grid, ["product"])
+    return align.missing_hours(hourly, grid, ["product"])
 
 
 @query(
@@ -272,8 +274,9 @@ def _(i):
 )
 def _(i):
     target = (F.date_trunc("day", "timestamp") + hours(12)).alias("target")
-    wanted = i.shown.select("product", target).distinct()
-    points = i.shown.select("product", F.col("timestamp").alias("target"), "point_forecast")
+    shown = i.kept("shown")
+    wanted = shown.select("product", target).distinct()
+    points = shown.select("product", F.col("timestamp").alias("target"), "point_forecast")
     return wanted.join(points, ["product", "target"], "left")
 
 
@@ -379,8 +382,8 @@ def _(i):
     EXCEPT SELECT product, timestamp FROM v_hourly""",
 )
 def _(i):
-    later = i.hourly.select("product", (F.col("timestamp") + hours(24)).alias("timestamp"))
-    return topk.difference(later, i.hourly, ["product", "timestamp"])
+    later = i.kept("hourly").select("product", (F.col("timestamp") + hours(24)).alias("timestamp"))
+    return topk.difference(later, i.kept("hourly"), ["product", "timestamp"])
 
 
 @query(

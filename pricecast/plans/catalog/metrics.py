@@ -134,10 +134,10 @@ _METHODS = """
 
 def _methods(i):
     """Three ways to forecast a price: the hour, the day and the week before."""
-    actual = i.hourly.withColumnRenamed("price", "actual")
+    actual = i.kept("hourly").withColumnRenamed("price", "actual")
     parts = []
     for name, n in (("hour", 1), ("day", 24), ("week", 168)):
-        earlier = i.hourly.select(
+        earlier = i.kept("hourly").select(
             "product", (F.col("timestamp") + hours(n)).alias("timestamp"), F.col("price").alias("forecast")
         )
         parts.append(actual.join(earlier, ["product", "timestamp"]).withColumn("method", F.lit(name)))
@@ -189,7 +189,7 @@ for _name, _order in {"rmse": "score", "r2": "-score", "bias": "abs(score)"}.ite
                 JOIN v_hourly w ON w.product = p.product AND p.timestamp = w.timestamp + INTERVAL 48 HOUR) GROUP BY product)""",
 )
 def _(i):
-    earlier = i.hourly.select("product", (F.col("timestamp") + hours(48)).alias("timestamp"), F.col("price").alias("second"))
+    earlier = i.kept("hourly").select("product", (F.col("timestamp") + hours(48)).alias("timestamp"), F.col("price").alias("second"))
     rows = i.pairs.join(earlier, ["product", "timestamp"]).select(
         "product",
         "actual",

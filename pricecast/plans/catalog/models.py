@@ -7,7 +7,7 @@ from pricecast.operators import models, sampling, uncertainty
 from pricecast.plans import daily
 from pricecast.plans.inputs import FUELS, PRODUCTS
 from pricecast.plans.registry import query, rounded
-from pricecast.sources import store
+from pricecast.sources.scratch import new_folder, settle
 
 _FEATURES = ["l_quantity", "l_discount"]
 _GROUPS = ["l_returnflag", "l_linestatus"]
@@ -132,7 +132,7 @@ def _(i):
 
 def _history(i):
     """Model entries over time: one per product, hour and day, with the day's mean as coefficient."""
-    return i.hourly.select(
+    return i.kept("hourly").select(
         "product",
         F.hour("timestamp").alias("hour"),
         F.array(F.lit("hour")).alias("feature_names"),
@@ -196,7 +196,7 @@ def _(i):
     SELECT l_returnflag, l_linestatus, 2::BIGINT AS feature_count FROM lineitem GROUP BY ALL""",
 )
 def _(i):
-    path = f"{store.shared_folder(i.spark)}/models-{i.spark.sparkContext.applicationId}"
+    path = new_folder(i.spark, "models")
     models.save(_trained(i), path)
     return models.info(models.load(i.spark, path), _GROUPS).select(*_GROUPS, "feature_count")
 
@@ -217,7 +217,7 @@ _SUMMARY = f"""
 
 
 def _summary(i):
-    return models.residual_summary(models.residuals(i.pairs))
+    return models.residual_summary(settle(models.residuals(i.pairs)))
 
 
 @query("residual_history", "M-07", sql=_RESIDUALS, doubles="residual pct_error")
@@ -435,7 +435,7 @@ def _runs(i):
 
 
 def _feeds(i):
-    return daily.Feeds(i.system_load, i.ticks.select("timestamp", "product", "price"), i.system_generation)
+    return daily.Feeds(i.kept("system_load"), i.ticks.select("timestamp", "product", "price"), i.system_generation)
 
 
 def all_forecasts(i, runs=None):
@@ -461,8 +461,8 @@ def all_forecasts(i, runs=None):
     JOIN fit f ON f.hour = w.hour""",
 )
 def _(i):
-    wind = i.system_generation.where("fuel_type = 'wind'").select("timestamp", F.col("generation_mw").alias("generation_wind"))
-    inputs = i.system_load.join(wind, "timestamp")
+    wind = i.kept("system_generation").where("fuel_type = 'wind'").select("timestamp", F.col("generation_mw").alias("generation_wind"))
+    inputs = settle(i.system_load.join(wind, "timestamp"))
     names = ["load_mw", "generation_wind"]
     rows = i.hourly.join(inputs, "timestamp").withColumn("hour", F.hour("timestamp"))
     trained = models.train(rows, names, "price")
@@ -489,9 +489,9 @@ def _(i):
 def _(i):
     table = daily.feature_table(_feeds(i), _SETTINGS)
     trained = daily.train(table, _NAMES, _SETTINGS)
-    path = f"{store.shared_folder(i.spark)}/run-{i.spark.sparkContext.applicationId}"
+    path = new_folder(i.spark, "run")
     last = _runs(i).agg(F.max("run_time").alias("run_time"))
     as_of = F.lit("2024-02-01").cast("timestamp")
-    return daily.run(i.spark, path, last, _feeds(i), trained, _summary(i), _NAMES, _SETTINGS, as_of)
+    return daily.run(i.spark, path, last, table, trained, _summary(i), _NAMES, _SETTINGS, as_of)
 
 

@@ -89,7 +89,7 @@ def _(i):
           WINDOW w AS (PARTITION BY product)) WHERE point_forecast > m + 2 * s""",
 )
 def _(i):
-    return present.price_spikes(i.shown)
+    return present.price_spikes(i.kept("shown"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pricecast.functions import timeline
 from pricecast.operators import align, joins, reshape
 from pricecast.plans.inputs import FUELS, PRODUCTS, SAMPLES, hours
 from pricecast.plans.registry import query
+from pricecast.sources.scratch import settle
 
 
 def _each(items, template):
@@ -127,8 +128,9 @@ _GRID = f"""
 
 
 def _gappy(i):
-    bounds = i.hourly.groupBy("product").agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"))
-    return align.to_grid(i.hourly, align.series_grid(bounds), ["product"])
+    hourly = i.kept("hourly")
+    bounds = hourly.groupBy("product").agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"))
+    return settle(align.to_grid(hourly, align.series_grid(bounds), ["product"]))
 
 
 @query(
@@ -146,6 +148,7 @@ def _(i):
         ["product"],
         "1 hour",
         {"mean_price": ("price", "avg"), "total_price": ("price", "sum"), "max_price": ("price", "max")},
+        settle=settle,
     )
 
 
@@ -188,8 +191,8 @@ _UNION_GRID = """
 
 @query("feeds_aligned", "G-02", sql=_BLENDED.format(_BLEND.format(_UNION_GRID)))
 def _(i):
-    early = i.system_load.select((F.col("timestamp") - hours(3)).alias("timestamp"), "load_mw")
-    aligned = align.align({"price": (i.hourly, ("product",)), "load": (early, ())})
+    early = i.kept("system_load").select((F.col("timestamp") - hours(3)).alias("timestamp"), "load_mw")
+    aligned = align.align({"price": (i.kept("hourly"), ("product",)), "load": (early, ())}, settle=settle)
     return aligned["price"]
 
 
@@ -294,13 +297,16 @@ def _combined_sql():
 
 @query("combined_dataset", "J-02", sql=_combined_sql())
 def _(i):
-    return joins.combined_dataset(i.system_load, i.hourly, i.system_generation, FUELS, PRODUCTS)
+    return joins.combined_dataset(
+        i.kept("system_load"), i.kept("hourly"), i.kept("system_generation"), FUELS, PRODUCTS, settle
+    )
 
 
 @query("forecast_vs_actual", "J-04", sql="SELECT * FROM v_pairs", doubles="actual forecast")
 def _(i):
-    earlier = i.hourly.select("product", (F.col("timestamp") + hours(24)).alias("timestamp"), F.col("price").alias("forecast"))
-    return joins.forecast_vs_actual(earlier, i.hourly.withColumnRenamed("price", "actual"))
+    hourly = i.kept("hourly")
+    earlier = hourly.select("product", (F.col("timestamp") + hours(24)).alias("timestamp"), F.col("price").alias("forecast"))
+    return joins.forecast_vs_actual(earlier, hourly.withColumnRenamed("price", "actual"))
 
 
 @query(
@@ -314,7 +320,7 @@ def _(i):
     doubles="first_point second_point",
 )
 def _(i):
-    return joins.pair_ensembles(node_ensembles(i), "HB_0", "HB_1")
+    return joins.pair_ensembles(settle(node_ensembles(i)), "HB_0", "HB_1")
 
 
 def node_ensembles(i):
@@ -353,8 +359,8 @@ def _(i):
 def _(i):
     from pricecast.sources.store import index_of
 
-    targets = i.ticks.select("product", F.to_date(F.col("timestamp") + hours(96)).alias("target_date")).distinct()
-    index = index_of(i.stored).where("horizon_hours = 24")
+    targets = i.kept("stored").select("product", F.to_date(F.col("timestamp") + hours(96)).alias("target_date")).distinct()
+    index = index_of(i.kept("stored")).where("horizon_hours = 24")
     return joins.days_back(targets, index).select("product", "target_date", "age_days", "forecast_date")
 
 

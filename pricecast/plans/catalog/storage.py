@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pricecast.plans.registry import query
 from pricecast.sources import store
+from pricecast.sources.scratch import new_folder
 
 _AS_OF = "2024-02-15 12:00:00"
 
@@ -34,7 +35,7 @@ def _(i):
     doubles="point_forecast",
 )
 def _(i):
-    return store.read_latest(i.stored).select("product", "timestamp", "point_forecast", "generation_timestamp")
+    return store.read_latest(i.kept("stored")).select("product", "timestamp", "point_forecast", "generation_timestamp")
 
 
 @query(
@@ -46,7 +47,7 @@ def _(i):
     doubles="point_forecast",
 )
 def _(i):
-    found = store.read_latest(i.stored, store.index_of(i.stored))
+    found = store.read_latest(i.kept("stored"), store.index_of(i.kept("stored")))
     return found.select("product", "timestamp", "point_forecast", "generation_timestamp")
 
 
@@ -105,8 +106,8 @@ def _(i):
     INTERSECT SELECT product, forecast_date FROM v_stored""",
 )
 def _(i):
-    wanted = i.stored.select("product", F.date_add("forecast_date", 5).alias("forecast_date")).distinct()
-    return store.exists(store.index_of(i.stored), wanted)
+    wanted = i.kept("stored").select("product", F.date_add("forecast_date", 5).alias("forecast_date")).distinct()
+    return store.exists(store.index_of(i.kept("stored")), wanted)
 
 
 @query(
@@ -135,8 +136,8 @@ def _(i):
     doubles="point_forecast",
 )
 def _(i):
-    source = i.stored.select("product", "forecast_date", F.date_add("forecast_date", 2).alias("target_date")).distinct()
-    rows = store.copy_to(i.stored, source, as_fallback=True)
+    source = i.kept("stored").select("product", "forecast_date", F.date_add("forecast_date", 2).alias("target_date")).distinct()
+    rows = store.copy_to(i.kept("stored"), source, as_fallback=True)
     return rows.select("product", "forecast_date", "timestamp", "point_forecast", "is_fallback")
 
 
@@ -187,8 +188,8 @@ _PRESENT = "SELECT DISTINCT forecast_date, product FROM v_stored WHERE day(forec
     sql=f"SELECT i.forecast_date, i.product FROM v_index i JOIN ({_PRESENT}) p USING (forecast_date, product)",
 )
 def _(i):
-    present = i.stored.where(F.day("forecast_date") % 2 == 0)
-    return store.clean_index(store.index_of(i.stored), present).select("forecast_date", "product")
+    present = i.kept("stored").where(F.day("forecast_date") % 2 == 0)
+    return store.clean_index(store.index_of(i.kept("stored")), present).select("forecast_date", "product")
 
 
 @query(
@@ -200,8 +201,8 @@ def _(i):
     FROM v_index i LEFT JOIN ({_PRESENT}) p USING (forecast_date, product)""",
 )
 def _(i):
-    present = i.stored.where(F.day("forecast_date") % 2 == 0)
-    return store.clean_report(store.index_of(i.stored), present)
+    present = i.kept("stored").where(F.day("forecast_date") % 2 == 0)
+    return store.clean_report(store.index_of(i.kept("stored")), present)
 
 
 @query(
@@ -255,15 +256,16 @@ def _(i):
 
 
 def _stored_table(i):
-    """The forecasts of the given ticks, written as a partitioned table of their own and read back."""
-    path = f"{store.shared_folder(i.spark)}/forecasts-{i.spark.sparkContext.applicationId}"
+    """Path of the forecasts of the given ticks, written as a partitioned table of their own."""
+    path = new_folder(i.spark, "forecasts")
     store.write(i.stored, path, _as_of())
-    return store.read(i.spark, path)
+    return path
 
 
 @query("forecasts_written", "W-01", sql="SELECT forecast_date, product, timestamp, point_forecast FROM v_stored", doubles="point_forecast")
 def _(i):
-    return _stored_table(i).select("forecast_date", "product", "timestamp", "point_forecast")
+    rows = store.read(i.spark, _stored_table(i))
+    return rows.select("forecast_date", "product", "timestamp", "point_forecast")
 
 
 @query(
@@ -272,9 +274,7 @@ def _(i):
     sql=None,
 )
 def _(i):
-    _stored_table(i)
-    path = f"{store.shared_folder(i.spark)}/forecasts-{i.spark.sparkContext.applicationId}"
-    return store.size_on_disk(i.spark, path)
+    return store.size_on_disk(i.spark, _stored_table(i))
 
 
 @query(
@@ -285,8 +285,7 @@ def _(i):
     WHERE NOT (forecast_date = TIMESTAMP '2024-01-07' AND product = 'RRS')""",
 )
 def _(i):
-    path = f"{store.shared_folder(i.spark)}/kept-{i.spark.sparkContext.applicationId}"
-    store.write(i.stored, path, _as_of())
+    path = _stored_table(i)
     store.delete(i.spark, path, [("2024-01-07", "RRS")])
     return store.read(i.spark, path).select("forecast_date", "product", "timestamp")
 
@@ -301,7 +300,7 @@ def _(i):
     FROM v_stored WHERE forecast_date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""",
 )
 def _(i):
-    path = f"{store.shared_folder(i.spark)}/csv-{i.spark.sparkContext.applicationId}"
+    path = new_folder(i.spark, "csv")
     rows = i.stored.select("forecast_date", "product", "timestamp", "point_forecast")
     store.export_range(rows, path, "2024-01-05", "2024-01-20")
     back = i.spark.read.option("header", True).csv(path)
@@ -318,7 +317,7 @@ def _(i):
            len(samples) AS sample_count FROM v_sampled""",
 )
 def _(i):
-    path = f"{store.shared_folder(i.spark)}/json-{i.spark.sparkContext.applicationId}"
+    path = new_folder(i.spark, "json")
     store.export_json(i.sampled.select("timestamp", "product", "samples"), path)
     back = i.spark.read.schema('`Product` string, `Forecast Time` string, samples array<double>').json(path)
     return back.select("Product", "Forecast Time", F.size("samples").alias("sample_count"))

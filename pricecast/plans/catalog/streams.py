@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from pricecast.plans.inputs import PRODUCTS, _named
 from pricecast.plans.registry import query
-from pricecast.sources.store import shared_folder
+from pricecast.sources.scratch import new_folder
 from pricecast.streaming import feeds
 
 _EVENTS = T.StructType(
@@ -30,13 +30,6 @@ def _stream(i):
     )
 
 
-def _scratch(i, name):
-    """A new folder per run: a stream starts from its own checkpoint."""
-    import uuid
-
-    return f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "stream_hourly_prices",
     "K-02",
@@ -45,7 +38,7 @@ def _scratch(i, name):
     FROM v_ticks WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v_ticks) - INTERVAL 2 HOUR GROUP BY ALL""",
 )
 def _(i):
-    out = _scratch(i, "hourly")
+    out = new_folder(i.spark, "hourly")
     hourly = feeds.hourly(_stream(i), "price", ["product"])
     feeds.write_table(hourly, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return i.spark.read.schema(hourly.schema).parquet(f"{out}/table")
@@ -59,7 +52,7 @@ def _(i):
            round(sum(price), 6) AS total FROM v_ticks GROUP BY ALL""",
 )
 def _(i):
-    out = _scratch(i, "landing")
+    out = new_folder(i.spark, "landing")
     rows = _stream(i)
     # Every record arrives twice; the second copy is dropped in the stream.
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")

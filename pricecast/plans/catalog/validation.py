@@ -7,6 +7,7 @@ from pricecast.operators import topk, validate
 from pricecast.plans.inputs import SAMPLES
 from pricecast.plans.registry import query
 from pricecast.sources import feeds
+from pricecast.sources.scratch import settle
 
 _AS_OF = "2024-01-31 00:00:00"
 
@@ -175,7 +176,8 @@ def _(i):
     GROUP BY ALL""",
 )
 def _(i):
-    found = validate.all_feeds(_broken_load(i), _broken_prices(i), _broken_generation(i), _as_of())
+    broken = [settle(f(i)) for f in (_broken_load, _broken_prices, _broken_generation)]
+    found = validate.all_feeds(*broken, _as_of())
     return found.groupBy("category", "check", "product").agg(F.count(F.lit(1)).alias("violations"))
 
 
@@ -185,7 +187,7 @@ def _(i):
     sql=None,
 )
 def _(i):
-    clean, found = feeds.collect(i.raw_load, i.raw_prices, i.raw_generation, _as_of())
+    clean, found = feeds.collect(i.raw_load, i.raw_prices, i.raw_generation, _as_of(), settle)
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("part", F.lit(n)) for n, df in clean.items()]
     return topk.concat(*parts, found.groupBy(F.col("category").alias("part")).agg(F.count(F.lit(1)).alias("row_count")))
 
@@ -309,7 +311,7 @@ _OUTLIERS = f"""
 
 @query("forecast_outliers", "V-13", sql=_OUTLIERS.format(source="v_shown"))
 def _(i):
-    return validate.forecast_outliers(i.shown, _LIMITS)
+    return validate.forecast_outliers(i.kept("shown"), _LIMITS)
 
 
 @query(
@@ -347,12 +349,12 @@ _SMOOTH = """
 
 @query("smoothness_violations", "V-16", sql=_SMOOTH)
 def _(i):
-    return validate.smoothness(i.shown)
+    return validate.smoothness(i.kept("shown"))
 
 
 @query("consistency_violations", "V-17", sql=f"{_ORDER} UNION ALL {_SMOOTH}")
 def _(i):
-    return validate.consistency(i.shown)
+    return validate.consistency(i.kept("shown"))
 
 
 _DEFAULT_ROWS = ", ".join(
@@ -402,7 +404,7 @@ _SAMPLED_SMOOTH = _SMOOTH.replace("v_shown", "src")
     LEFT JOIN found f ON f.category = c.category OR c.category = 'all' GROUP BY c.category""",
 )
 def _(i):
-    rows = _broken_forecast(i)
+    rows = settle(_broken_forecast(i))
     starts = i.ticks.agg(F.min(F.date_trunc("day", "timestamp")).alias("start"))
     found = validate.forecast(rows, starts, "start", None, SAMPLES, config.PRODUCTS, 720)
     return validate.summary(found)

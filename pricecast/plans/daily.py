@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pricecast.config import RunSettings
 from pricecast.functions import calendar
 from pricecast.operators import align, fallback, features, models, sampling, uncertainty, validate
+from pricecast.sources import scratch
 from pricecast.sources import store as forecast_store
 
 
@@ -27,8 +28,10 @@ class Feeds:
 
 def feature_table(feeds: Feeds, settings: RunSettings, keys: Sequence[str] = ()) -> DataFrame:
     """Base features of every hour of the feeds: computed once, whatever the number of runs."""
-    return features.base_features(
-        feeds.load, feeds.prices, feeds.generation, settings.products, settings.fuels, keys
+    return scratch.settle(
+        features.base_features(
+            feeds.load, feeds.prices, feeds.generation, settings.products, settings.fuels, keys, scratch.settle
+        )
     )
 
 
@@ -125,7 +128,7 @@ def run(
     spark,
     path: str,
     runs: DataFrame,
-    feeds: Feeds,
+    table: DataFrame,
     trained: DataFrame,
     summary: DataFrame,
     names: Sequence[str],
@@ -137,15 +140,11 @@ def run(
     The new forecasts are written to the shared folder first: they are read several times, and a lost
     executor then costs a re-read instead of the whole job.
     """
-    staged = f"{forecast_store.shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
-    made = forecasts(runs, feature_table(feeds, settings), trained, summary, names, settings)
-    made.write.mode("overwrite").parquet(f"{staged}/fresh")
-    final = spark.read.parquet(f"{staged}/fresh")
+    final = scratch.settle(forecasts(runs, table, trained, summary, names, settings))
     earlier = stored_before(spark, path)
     if earlier is not None:
         # Fallbacks are read from the store that is about to be rewritten, so they are staged as well.
-        with_fallback(final, runs, earlier, settings)[0].write.mode("overwrite").parquet(f"{staged}/final")
-        final = spark.read.parquet(f"{staged}/final")
+        final = scratch.settle(with_fallback(final, runs, earlier, settings)[0])
     forecast_store.write(final, path, as_of)
     starts = horizon_rows(runs, settings).select(F.col("start")).distinct()
     found = validate.forecast(

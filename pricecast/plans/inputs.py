@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricecast.sources.scratch import settle
+
 
 PRODUCTS = ["DALMP", "RTLMP", "RegUp", "RegDown", "RRS"]
 FUELS = ["wind", "solar", "gas", "coal", "nuclear"]
@@ -30,10 +32,17 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def kept(self, name: str) -> DataFrame:
+        """A view that a query reads several times: computed once, as a table in the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = settle(getattr(self, name))
+        return self._kept[name]
+
     @cached_property
     def ticks(self) -> DataFrame:
         ts = F.col("ts").cast("timestamp")
@@ -84,10 +93,10 @@ class Inputs:
     @cached_property
     def pairs(self) -> DataFrame:
         """Actual price against the price a day earlier as forecast."""
-        earlier = self.hourly.select(
+        earlier = self.kept("hourly").select(
             "product", (F.col("timestamp") + hours(24)).alias("timestamp"), F.col("price").alias("forecast")
         )
-        actual = self.hourly.withColumnRenamed("price", "actual")
+        actual = self.kept("hourly").withColumnRenamed("price", "actual")
         return actual.join(earlier, ["product", "timestamp"])
 
     def _sampled(self, offset: Column) -> DataFrame:

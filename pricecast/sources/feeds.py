@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pricecast import config, schemas
 from pricecast.operators import align, normalize, validate
+from pricecast.sources.scratch import Settle, as_is
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
@@ -53,13 +54,13 @@ def horizon(
 
 
 def collect(
-    load: DataFrame, prices: DataFrame, generation: DataFrame, as_of: Column | None = None
+    load: DataFrame, prices: DataFrame, generation: DataFrame, as_of: Column | None = None, settle: Settle = as_is
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """The three feeds cleaned, and the violations found in them."""
     clean = {
-        "load": normalize.normalize(load, "load"),
-        "price": normalize.normalize(prices, "price"),
-        "generation": normalize.normalize(generation, "generation"),
+        "load": settle(normalize.normalize(load, "load")),
+        "price": settle(normalize.normalize(prices, "price")),
+        "generation": settle(normalize.normalize(generation, "generation")),
     }
     return clean, validate.all_feeds(clean["load"], clean["price"], clean["generation"], as_of)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +14,6 @@ from pricecast.operators.uncertainty import lookup
 KEYS = ["forecast_date", "product"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    return tempfile.mkdtemp(prefix="pricecast-")
-
-
 # --- storing -----------------------------------------------------------------------------------
 
 
