@@ -52,10 +52,14 @@ def neighbours(
     """
     base = _chunked(df, ts, chunk_seconds)
     local = [*keys, "_chunk"]
-    edge = -1 if strict else 0
-    up = W.partitionBy(*local).orderBy("_t").rowsBetween(W.unboundedPreceding, edge)
+
+    def up_to(ordered):
+        # A range frame takes in all rows of the same time.
+        return ordered.rowsBetween(W.unboundedPreceding, -1) if strict else ordered.rangeBetween(W.unboundedPreceding, 0)
+
+    up = up_to(W.partitionBy(*local).orderBy("_t"))
     # Descending order instead of a frame to the end: the latter costs n² in Spark.
-    down = W.partitionBy(*local).orderBy(F.desc("_t")).rowsBetween(W.unboundedPreceding, edge)
+    down = up_to(W.partitionBy(*local).orderBy(F.desc("_t")))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     later = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
 

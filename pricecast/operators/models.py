@@ -34,6 +34,23 @@ def moments(df: DataFrame, features: Sequence[str], target: str, groups: Sequenc
     )
 
 
+# Smallest share of the largest eigenvalue that still counts: below it, rounding errors decide.
+RANK_TOLERANCE = 1e-10
+
+
+def _slopes(cov: np.ndarray, with_target: np.ndarray) -> np.ndarray:
+    """Solution of the normal equations; the one of least norm if features depend on each other.
+
+    Whether they do is judged on correlations, so that features of very different size are kept.
+    """
+    size = np.sqrt(np.diag(cov))
+    if (size > 0).all():
+        correlation = cov / np.outer(size, size)
+        if np.linalg.eigvalsh(correlation)[0] > RANK_TOLERANCE:
+            return np.linalg.solve(correlation, with_target / size) / size
+    return np.linalg.pinv(cov, rcond=RANK_TOLERANCE, hermitian=True) @ with_target
+
+
 def _solve(feature_count: int):
     k = feature_count
     upper = np.triu_indices(k + 1)
@@ -45,7 +62,7 @@ def _solve(feature_count: int):
                 c = np.zeros((k + 1, k + 1))
                 c[upper] = np.asarray(cross, dtype=float)
                 c = c + np.triu(c, 1).T
-                slope = np.linalg.pinv(c[:k, :k], hermitian=True) @ c[:k, k]
+                slope = _slopes(c[:k, :k], c[:k, k])
                 error = max(c[k, k] - 2 * slope @ c[:k, k] + slope @ c[:k, :k] @ slope, 0.0)
                 r2 = 1.0 - error / c[k, k] if c[k, k] > 0 else float(error <= 1e-12)
                 fits.append((slope.tolist(), float(means[k] - slope @ np.asarray(means[:k])), float(error**0.5), float(r2)))
