@@ -6,7 +6,7 @@ scale. The buckets that hold the wanted ranks are few, and only their values are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,8 +16,18 @@ from pyspark.sql import functions as F
 BUCKETS_PER_EFOLD = 65536
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """One row per key with a column per entry of ``wanted`` (name → q in [0, 1]); nulls are skipped."""
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: dict[str, float],
+    settle: Callable[[DataFrame], DataFrame] = lambda found: found,
+) -> DataFrame:
+    """One row per key with a column per entry of ``wanted`` (name → q in [0, 1]); nulls are skipped.
+
+    ``settle`` may write the wanted ranks (two rows per key and quantile), so that their size is known when the
+    values are joined to them and the values are not shuffled again.
+    """
     v = F.col("_v")
     scale = F.signum(v) * F.log1p(F.abs(v)) * F.lit(BUCKETS_PER_EFOLD)
     counted = (
@@ -46,6 +56,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict
         .where("_rank >= _before and _rank < _before + _inside")
         .select(*keys, "_bucket", "_before", "_place", "_rank", F.col("_w.name").alias("_name"))
     )
+    ends = settle(ends)
     running = W.partitionBy(*keys, "_bucket").orderBy("_v")
     ordered = counted.join(ends.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi").select(
         *keys, "_bucket", "_v", "_n", (F.sum("_n").over(running)).alias("_upto")

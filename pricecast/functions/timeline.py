@@ -21,7 +21,7 @@ MICROS = 1_000_000
 HOUR = 3600
 DAY = 24 * HOUR
 CHUNK_SECONDS = 90 * DAY
-# A block of a trailing window is this many look-backs long: 1/64 of the rows are copied.
+# Blocks and chunks are this many look-backs long: about 1/64 of the rows are copied.
 BLOCK_LOOKBACKS = 64
 
 
@@ -156,7 +156,8 @@ def row_windows(
     exprs: Callable[[Callable], dict[str, Column]],
     columns: Sequence[str],
     ties: Sequence[str] = (),
-    chunk_seconds: int = CHUNK_SECONDS,
+    step_seconds: int = HOUR,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Lags and row frames that look at most ``rows_back`` rows back, over ``columns``.
 
@@ -164,9 +165,11 @@ def row_windows(
     the current and the n − 1 rows before it.
 
     Each chunk is preceded by the last rows of the chunks before it: the rows themselves are
-    shuffled once, and only ``rows_back`` rows of each chunk travel again.
+    shuffled once, and only ``rows_back`` rows of each chunk travel again. ``step_seconds`` is the usual
+    distance of rows: it sets the length of chunks, so that these copies stay few.
     """
-    base = _chunked(df, ts, chunk_seconds)
+    length = max(CHUNK_SECONDS, BLOCK_LOOKBACKS * rows_back * step_seconds)
+    base = _chunked(df, ts, chunk_seconds or length)
     local = [*keys, "_chunk"]
     used = list(dict.fromkeys([*keys, "_t", "_chunk", *ties, *columns]))
     latest_first = W.partitionBy(*local).orderBy(F.desc("_t"), *[F.desc(c) for c in ties])
@@ -200,11 +203,18 @@ def row_windows(
 
 
 def shift_rows(
-    df: DataFrame, keys: Sequence[str], ts: str, shifts: dict[str, tuple[str, int]], ties: Sequence[str] = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    shifts: dict[str, tuple[str, int]],
+    ties: Sequence[str] = (),
+    step_seconds: int = HOUR,
 ) -> DataFrame:
     """``{new: (column, k)}``: the value k rows earlier in the series."""
     reach = max(k for _, k in shifts.values())
     columns = list(dict.fromkeys(c for c, _ in shifts.values()))
-    return row_windows(
-        df, keys, ts, reach, lambda w: {new: F.lag(c, k).over(w()) for new, (c, k) in shifts.items()}, columns, ties
-    )
+
+    def lagged(w):
+        return {new: F.lag(c, k).over(w()) for new, (c, k) in shifts.items()}
+
+    return row_windows(df, keys, ts, reach, lagged, columns, ties, step_seconds)

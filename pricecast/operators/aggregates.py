@@ -12,6 +12,7 @@ from pricecast.functions import arrays
 from pricecast.functions.quantiles import exact_quantiles
 from pricecast.functions.timeline import trailing
 from pricecast.operators import align, topk
+from pricecast.sources.scratch import Settle, as_is
 
 
 # Rows of figures that are broadcast without asking: about a megabyte.
@@ -22,8 +23,8 @@ def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str], at_most: int
     """Put per-key figures on the rows of each key.
 
     ``at_most`` is a bound on the rows of the summary that holds by construction, such as the length of a
-    list the keys were filtered by. Only then is it broadcast by hint; otherwise its size at run time
-    decides between a broadcast and a join that splits skewed keys.
+    list the keys were filtered by. Only then is it broadcast by hint. Otherwise its size decides: the size of
+    the file if the summary was settled, else the size found at run time, beyond which skewed keys are split.
     """
     small = at_most is not None and at_most <= BROADCAST_ROWS
     return df.join(F.broadcast(summary) if small else summary, list(keys))
@@ -33,7 +34,7 @@ def total_generation(df: DataFrame, keys: Sequence[str] = ("timestamp",)) -> Dat
     return df.groupBy(*keys).agg(F.sum("generation_mw").alias("total_generation_mw"))
 
 
-def price_statistics(df: DataFrame) -> DataFrame:
+def price_statistics(df: DataFrame, settle: Settle = as_is) -> DataFrame:
     """Mean, deviation, least and greatest price per product, on each distinct hour of the product."""
     figures = df.groupBy("product").agg(
         F.avg("price").alias("price_mean"),
@@ -41,7 +42,7 @@ def price_statistics(df: DataFrame) -> DataFrame:
         F.min("price").alias("price_min"),
         F.max("price").alias("price_max"),
     )
-    return attach(df.select("product", "timestamp").distinct(), figures, ["product"])
+    return attach(df.select("product", "timestamp").distinct(), settle(figures), ["product"])
 
 
 def rolling_price_statistics(df: DataFrame, seconds: int) -> DataFrame:
@@ -59,7 +60,7 @@ def rolling_price_statistics(df: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def forecast_statistics(df: DataFrame) -> DataFrame:
+def forecast_statistics(df: DataFrame, settle: Settle = as_is) -> DataFrame:
     """Per product: extremes, mean, exact median, deviation and the three dearest hours."""
     figures = df.groupBy("product").agg(
         F.min("point_forecast").alias("min_price"),
@@ -67,7 +68,7 @@ def forecast_statistics(df: DataFrame) -> DataFrame:
         F.avg("point_forecast").alias("mean_price"),
         F.stddev_samp("point_forecast").alias("std_price"),
     )
-    median = exact_quantiles(df, ["product"], "point_forecast", {"median_price": 0.5})
+    median = exact_quantiles(df, ["product"], "point_forecast", {"median_price": 0.5}, settle)
     peaks = (
         topk.top_hours(df, 3)
         .groupBy("product")
@@ -139,9 +140,9 @@ def ensemble_header(df: DataFrame, keys: Sequence[str] = ("product",)) -> DataFr
     )
 
 
-def assemble_ensembles(df: DataFrame, keys: Sequence[str] = ("product",)) -> DataFrame:
+def assemble_ensembles(df: DataFrame, keys: Sequence[str] = ("product",), settle: Settle = as_is) -> DataFrame:
     """Forecast rows with the header of their ensemble."""
-    return attach(df, ensemble_header(df, keys), keys)
+    return attach(df, settle(ensemble_header(df, keys)), keys)
 
 
 def sample_statistics(df: DataFrame) -> DataFrame:

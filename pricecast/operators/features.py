@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast import config
-from pricecast.functions.timeline import DAY, fill, neighbours, row_windows, shift_rows, trailing
+from pricecast.functions.timeline import DAY, HOUR, fill, neighbours, row_windows, shift_rows, trailing
 from pricecast.operators import reshape
 from pricecast.operators.joins import merge_features
 from pricecast.sources.scratch import Settle, as_is
@@ -256,12 +256,13 @@ def lags(
     periods: Sequence[int] = tuple(config.LAGS),
     keys: Sequence[str] = (),
     ties: Sequence[str] = (),
+    step_seconds: int = HOUR,
 ) -> DataFrame:
     """``<column>_lag_<k>``: the value k rows before, for all columns and k in one pass."""
     if any(not isinstance(k, int) or k <= 0 for k in periods):
         raise ValueError("lag periods are positive integers")
     wanted = {f"{c}_lag_{k}": (c, k) for c in columns for k in periods}
-    return shift_rows(df, keys, "timestamp", wanted, ties)
+    return shift_rows(df, keys, "timestamp", wanted, ties, step_seconds)
 
 
 def pair_columns(columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> dict[str, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricecast import config
 from pricecast.functions import arrays, calendar
 from pricecast.operators.uncertainty import lookup
+from pricecast.sources.scratch import Settle, as_is
 
 
 def _signed() -> Column:
@@ -83,7 +84,7 @@ def comparison_table(df: DataFrame, products: Sequence[str]) -> DataFrame:
     )
 
 
-def price_spikes(df: DataFrame, multiple: float = 2.0) -> DataFrame:
+def price_spikes(df: DataFrame, multiple: float = 2.0, settle: Settle = as_is) -> DataFrame:
     """Points above mean + multiple × deviation (n − 1) of their product."""
     figures = df.groupBy("product").agg(
         F.avg("point_forecast").alias("_mean"), F.stddev_samp("point_forecast").alias("_std")
@@ -91,7 +92,7 @@ def price_spikes(df: DataFrame, multiple: float = 2.0) -> DataFrame:
     threshold = F.col("_mean") + multiple * F.col("_std")
     point = F.col("point_forecast")
     return (
-        df.join(figures, "product")
+        df.join(settle(figures), "product")
         .withColumn("threshold", threshold)
         .where(point > F.col("threshold"))
         .select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricecast.functions.quantiles import exact_quantiles
+from pricecast.sources.scratch import Settle, as_is
 
 METHODS = ("standard", "minmax", "robust", "none")
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -50,6 +51,7 @@ def fit(
     method: str = "standard",
     keys: Sequence[str] = (),
     normalizer_id: str = "default",
+    settle: Settle = as_is,
 ) -> DataFrame:
     """Scaler table. Columns that are not numeric or hold only nulls are left out; a zero scale counts as 1."""
     if method not in METHODS:
@@ -58,7 +60,7 @@ def fit(
     figures = column_figures(df, keys, used).where(F.col("count") > 0)
     if method == "robust":
         spread = exact_quantiles(
-            _long(df, keys, used), [*keys, "column"], "value", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}
+            _long(df, keys, used), [*keys, "column"], "value", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, settle
         )
         figures = figures.join(spread, [*keys, "column"])
     centre, scale = {
@@ -96,7 +98,10 @@ def _on_rows(df: DataFrame, scalers: DataFrame, columns: Sequence[str], keys: Se
 
 
 def apply(df: DataFrame, scalers: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(x − center) / scale; a column without a scaler stays as it is."""
+    """(x − center) / scale; a column without a scaler stays as it is.
+
+    Scalers come from a table (saved or settled): its known size lets Spark choose the join.
+    """
     rows = _on_rows(df, scalers, columns, keys)
 
     def scaled(c: str):

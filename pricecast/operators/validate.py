@@ -16,6 +16,7 @@ from pricecast.functions.timeline import shift_rows
 from pricecast.operators import normalize, topk
 from pricecast.operators.aggregates import attach
 from pricecast.operators.uncertainty import lookup
+from pricecast.sources.scratch import Settle, as_is
 
 COLUMNS = ["category", "check", "product", "timestamp", "value", "message"]
 
@@ -246,14 +247,16 @@ def column_ranges(df: DataFrame, limits: dict[str, tuple[float | None, float | N
     return df.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))
 
 
-def _with_spread(df: DataFrame, keys: Sequence[str], value: str, at_most: int | None = None) -> DataFrame:
+def _with_spread(
+    df: DataFrame, keys: Sequence[str], value: str, at_most: int | None = None, settle: Settle = as_is
+) -> DataFrame:
     """Mean and deviation (n − 1) per key on each row. Groups are reduced before the shuffle and joined
     back at run time by size, so a hot key does not have to fit a window."""
     figures = df.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"), F.count(value).alias("_rows")
     )
     if keys:
-        return attach(df, figures, keys, at_most)
+        return attach(df, settle(figures), keys, at_most)
     whole = df.withColumn("_all", figures.select(F.struct("_mean", "_std", "_rows")).scalar())
     return whole.withColumns({c: F.col(f"_all.{c}") for c in ("_mean", "_std", "_rows")})
 
@@ -270,9 +273,11 @@ def forecast_outliers(df: DataFrame, limits: dict[str, tuple[float, float, float
     return far.select(F.inline(F.array(cell)))
 
 
-def outliers(df: DataFrame, column: str, threshold: float = 3.0, keys: Sequence[str] = ()) -> DataFrame:
+def outliers(
+    df: DataFrame, column: str, threshold: float = 3.0, keys: Sequence[str] = (), settle: Settle = as_is
+) -> DataFrame:
     """Rows whose z-score exceeds the threshold; none if all values are equal."""
-    spread = _with_spread(df, keys, column).where(F.col("_std") > 0)
+    spread = _with_spread(df, keys, column, settle=settle).where(F.col("_std") > 0)
     z = (F.col(column) - F.col("_mean")) / F.col("_std")
     return spread.withColumn("z_score", z).where(F.abs("z_score") > threshold).select(*df.columns, "z_score")
 

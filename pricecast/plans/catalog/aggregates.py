@@ -8,6 +8,7 @@ from pricecast.operators import present
 from pricecast.plans.inputs import PRODUCTS
 from pricecast.plans.registry import query, rounded
 from pricecast.sources import store
+from pricecast.sources.scratch import settle
 
 
 @query(
@@ -28,7 +29,7 @@ def _(i):
              min(price) AS price_min, max(price) AS price_max FROM v_ticks GROUP BY product) s USING (product)""",
 )
 def _(i):
-    return agg.price_statistics(i.ticks)
+    return agg.price_statistics(i.ticks, settle)
 
 
 def _trailing(span):
@@ -89,7 +90,7 @@ def _(i):
     GROUP BY product""",
 )
 def _(i):
-    return agg.forecast_statistics(i.kept("shown"))
+    return agg.forecast_statistics(i.kept("shown"), settle)
 
 
 @query(
@@ -101,7 +102,7 @@ def _(i):
 )
 def _(i):
     found = exact_quantiles(
-        i.table("orders"), ["o_orderpriority"], "o_totalprice", {"q1": 0.25, "q2": 0.5, "q9": 0.9}
+        i.table("orders"), ["o_orderpriority"], "o_totalprice", {"q1": 0.25, "q2": 0.5, "q9": 0.9}, settle
     )
     return rounded(found, "q1", "q2", "q9")
 
@@ -173,7 +174,7 @@ def _(i):
     doubles="point_forecast",
 )
 def _(i):
-    return agg.assemble_ensembles(i.stored).select(
+    return agg.assemble_ensembles(i.kept("stored"), settle=settle).select(
         "product",
         "timestamp",
         "point_forecast",

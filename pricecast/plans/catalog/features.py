@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricecast import config
+from pricecast.functions.timeline import DAY, trailing
 from pricecast.operators import features, scaling
 from pricecast.plans.inputs import FUELS, PRODUCTS
 from pricecast.plans.registry import query, rounded
@@ -314,7 +315,7 @@ def _(i):
     WINDOW w AS (PARTITION BY l_suppkey ORDER BY timestamp)""",
 )
 def _(i):
-    return features.lags(settle(supplier_days(i)), ["value"], (1, 7, 28), ["l_suppkey"])
+    return features.lags(settle(supplier_days(i)), ["value"], (1, 7, 28), ["l_suppkey"], step_seconds=DAY)
 
 
 def supplier_days(i):
@@ -333,8 +334,6 @@ def supplier_days(i):
     WINDOW w AS (PARTITION BY l_suppkey ORDER BY timestamp RANGE BETWEEN INTERVAL '167:59:59.999999' PRECEDING AND CURRENT ROW)""",
 )
 def _(i):
-    from pricecast.functions.timeline import DAY, trailing
-
     rolled = {"mean_7d": (7 * DAY, lambda: F.avg("value")), "max_7d": (7 * DAY, lambda: F.max("value"))}
     return rounded(trailing(supplier_days(i), ["l_suppkey"], "timestamp", rolled), "mean_7d")
 
@@ -427,7 +426,7 @@ def _scalers_sql(method, keys=("l_returnflag",), columns=_SCALED, source="lineit
 
 
 def _fit(i, method, keys=("l_returnflag",)):
-    return scaling.fit(i.table("lineitem"), _SCALED, method, list(keys), "v1")
+    return scaling.fit(i.table("lineitem"), _SCALED, method, list(keys), "v1", settle)
 
 
 for _method in scaling.METHODS:
@@ -453,7 +452,7 @@ _SCALED_SQL = """
 @query("rows_scaled", "X-20", sql=_SCALED_SQL)
 def _(i):
     rows = i.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
-    return scaling.apply(rows, _fit(i, "standard"), ["l_quantity", "l_extendedprice"], ["l_returnflag"])
+    return scaling.apply(rows, settle(_fit(i, "standard")), ["l_quantity", "l_extendedprice"], ["l_returnflag"])
 
 
 @query(
@@ -464,7 +463,7 @@ def _(i):
 def _(i):
     columns = ["l_quantity", "l_extendedprice"]
     rows = i.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *columns)
-    scalers = _fit(i, "standard")
+    scalers = settle(_fit(i, "standard"))
     scaled = scaling.apply(rows, scalers, columns, ["l_returnflag"])
     return rounded(scaling.invert(scaled, scalers, columns, ["l_returnflag"]), *columns)
 
@@ -503,4 +502,5 @@ def _(i):
 def _(i):
     columns = ["load_mw", "hour_x_load_mw", "renewable_to_load"]
     made = features.derived_features(wide_table(i), windows=(24,), settle=settle).select("timestamp", "hour", *columns)
+    made = settle(made)
     return scaling.apply(made, scaling.fit(made, columns), columns)

@@ -81,7 +81,7 @@ def _(i):
     FROM lineitem JOIN ({_LINE_FIT}) USING (l_returnflag, l_linestatus)""",
 )
 def _(i):
-    scored = models.predict(i.table("lineitem"), _trained(i), _FEATURES, _GROUPS)
+    scored = models.predict(i.table("lineitem"), settle(_trained(i)), _FEATURES, _GROUPS)
     return rounded(scored.select("l_orderkey", "l_linenumber", "point_forecast"), "point_forecast", digits=3)
 
 
@@ -119,9 +119,8 @@ _SPLIT_FIT = _FIT.format(
 def _(i):
     # Every row is used: three quarters of the orders to learn, one quarter to test.
     rows = i.table("lineitem")
-    fitted = models.train(
-        rows.where("l_orderkey % 4 <> 0"), _FEATURES, "l_extendedprice", ["l_returnflag"]
-    )
+    learned = rows.where("l_orderkey % 4 <> 0")
+    fitted = settle(models.train(learned, _FEATURES, "l_extendedprice", ["l_returnflag"]))
     held = rows.where("l_orderkey % 4 = 0")
     scored = models.evaluate(held, fitted, _FEATURES, "l_extendedprice", ["l_returnflag"])
     return rounded(scored, "rmse", digits=3)
@@ -217,7 +216,7 @@ _SUMMARY = f"""
 
 
 def _summary(i):
-    return models.residual_summary(settle(models.residuals(i.pairs)))
+    return settle(models.residual_summary(settle(models.residuals(i.pairs))))
 
 
 @query("residual_history", "M-07", sql=_RESIDUALS, doubles="residual pct_error")
@@ -440,7 +439,7 @@ def _feeds(i):
 
 def all_forecasts(i, runs=None):
     table = daily.feature_table(_feeds(i), _SETTINGS)
-    trained = daily.train(table, _NAMES, _SETTINGS)
+    trained = settle(daily.train(table, _NAMES, _SETTINGS))
     return daily.forecasts(_runs(i) if runs is None else runs, table, trained, _summary(i), _NAMES, _SETTINGS)
 
 
@@ -465,7 +464,7 @@ def _(i):
     inputs = settle(i.system_load.join(wind, "timestamp"))
     names = ["load_mw", "generation_wind"]
     rows = i.hourly.join(inputs, "timestamp").withColumn("hour", F.hour("timestamp"))
-    trained = models.train(rows, names, "price")
+    trained = settle(models.train(rows, names, "price"))
     points = daily.point_forecasts(_runs(i), inputs, trained, names, _SETTINGS)
     known = points.where("point_forecast is not null")
     return rounded(known.select("run_time", "timestamp", "product", "point_forecast"), "point_forecast")
@@ -488,7 +487,7 @@ def _(i):
 @query("forecast_daily_run", "R-01", "S-11")
 def _(i):
     table = daily.feature_table(_feeds(i), _SETTINGS)
-    trained = daily.train(table, _NAMES, _SETTINGS)
+    trained = settle(daily.train(table, _NAMES, _SETTINGS))
     path = new_folder(i.spark, "run")
     last = _runs(i).agg(F.max("run_time").alias("run_time"))
     as_of = F.lit("2024-02-01").cast("timestamp")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pricecast.functions import calendar
 from pricecast.operators import present
 from pricecast.plans.registry import query
+from pricecast.sources.scratch import settle
 
 _SIGNED = "product IN ('DALMP', 'RTLMP')"
 
@@ -89,7 +90,7 @@ def _(i):
           WINDOW w AS (PARTITION BY product)) WHERE point_forecast > m + 2 * s""",
 )
 def _(i):
-    return present.price_spikes(i.kept("shown"))
+    return present.price_spikes(i.kept("shown"), settle=settle)
 
 
 @query(

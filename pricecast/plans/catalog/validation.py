@@ -181,10 +181,22 @@ def _(i):
     return found.groupBy("category", "check", "product").agg(F.count(F.lit(1)).alias("violations"))
 
 
+_CLEAN = """
+    SELECT 'load' AS part, "Region" AS place, try_cast("Load MW" AS DOUBLE) AS value FROM v_raw_load
+      WHERE try_cast("Timestamp" AS TIMESTAMP) IS NOT NULL AND try_cast("Load MW" AS DOUBLE) IS NOT NULL
+    UNION ALL SELECT 'price', "Node", try_cast("Price" AS DOUBLE) FROM v_raw_prices
+      WHERE try_cast("Timestamp" AS TIMESTAMP) IS NOT NULL AND try_cast("Price" AS DOUBLE) IS NOT NULL AND "Product" <> 'Unknown'
+    UNION ALL SELECT 'generation', "Region", try_cast("Generation MW" AS DOUBLE) FROM v_raw_generation
+      WHERE try_cast("Timestamp" AS TIMESTAMP) IS NOT NULL AND try_cast("Generation MW" AS DOUBLE) IS NOT NULL"""
+
+
 @query(
     "feeds_collected",
     "S-11",
-    sql=None,
+    sql=f"""
+    SELECT part, count(*) AS row_count FROM ({_CLEAN}) GROUP BY part
+    UNION ALL SELECT part, sum((part = 'load' AND value <= 0)::INT + (part = 'generation' AND value < 0)::INT + (place = '')::INT)::BIGINT AS bad
+      FROM ({_CLEAN}) GROUP BY part HAVING bad > 0""",
 )
 def _(i):
     clean, found = feeds.collect(i.raw_load, i.raw_prices, i.raw_generation, _as_of(), settle)
@@ -323,7 +335,7 @@ def _(i):
       WINDOW w AS (PARTITION BY o_orderpriority)) WHERE abs(z) > 1.7""",
 )
 def _(i):
-    found = validate.outliers(i.table("orders"), "o_totalprice", 1.7, ["o_orderpriority"])
+    found = validate.outliers(i.table("orders"), "o_totalprice", 1.7, ["o_orderpriority"], settle)
     return found.select("o_orderkey", "o_orderpriority", "z_score")
 
 
