@@ -15,16 +15,19 @@ def _uniform(digest: Column, start: int) -> Column:
     return (whole + 0.5) / _RANGE
 
 
-def digest(seed: int, key: Column, draw: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), key, draw.cast("string")))
+def digests(seed: int, key: Column, count: int) -> Column:
+    """One digest per draw, as an array: each is computed once and can feed two numbers."""
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(count)),
+        lambda draw: F.md5(F.concat_ws("|", F.lit(str(seed)), key, draw.cast("string"))),
+    )
 
 
-def uniform(seed: int, key: Column, draw: Column) -> Column:
-    return _uniform(digest(seed, key, draw), 1)
+def uniform(digest: Column) -> Column:
+    return _uniform(digest, 1)
 
 
-def normal(seed: int, key: Column, draw: Column) -> Column:
+def normal(digest: Column) -> Column:
     """Box–Muller on the two halves of one digest."""
-    d = digest(seed, key, draw)
-    radius = F.sqrt(F.lit(-2.0) * F.log(_uniform(d, 1)))
-    return radius * F.cos(F.lit(2.0) * F.pi() * _uniform(d, 1 + _DIGITS))
+    radius = F.sqrt(F.lit(-2.0) * F.log(_uniform(digest, 1)))
+    return radius * F.cos(F.lit(2.0) * F.pi() * _uniform(digest, 1 + _DIGITS))

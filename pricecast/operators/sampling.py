@@ -16,12 +16,12 @@ from pricecast.functions import randomness
 Sampler = Callable[[Column, Column, Column, int, int], Column]
 
 
-def _draws(count: int, one: Callable[[Column], Column]) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(count)), one)
+def _draws(seed: int, key: Column, count: int, one: Callable[[Column], Column]) -> Column:
+    return F.transform(randomness.digests(seed, key, count), one)
 
 
 def normal(point: Column, std: Column, key: Column, seed: int, count: int) -> Column:
-    return _draws(count, lambda i: point + std * randomness.normal(seed, key, i))
+    return _draws(seed, key, count, lambda d: point + std * randomness.normal(d))
 
 
 def lognormal(point: Column, std: Column, key: Column, seed: int, count: int, cv: Column | float | None = None) -> Column:
@@ -30,19 +30,20 @@ def lognormal(point: Column, std: Column, key: Column, seed: int, count: int, cv
     share = F.lit(0.1) if cv is None else (F.lit(cv) if isinstance(cv, float) else cv)
     variance = F.log(1 + share * share)
     centre = F.log(level) - variance / 2
-    return _draws(count, lambda i: F.exp(centre + F.sqrt(variance) * randomness.normal(seed, key, i)))
+    return _draws(seed, key, count, lambda d: F.exp(centre + F.sqrt(variance) * randomness.normal(d)))
 
 
 def skewed(point: Column, std: Column, key: Column, seed: int, count: int, shape: float = 2.0) -> Column:
     delta = shape / (1 + shape * shape) ** 0.5
     rest = (1 - delta * delta) ** 0.5
 
-    def one(i: Column) -> Column:
-        first = randomness.normal(seed, key, i)
-        second = randomness.normal(seed, F.concat(key, F.lit("|b")), i)
-        return point + std * (delta * F.abs(first) + rest * second)
+    sizes = randomness.digests(seed, key, count)
+    others = randomness.digests(seed, F.concat(key, F.lit("|b")), count)
 
-    return _draws(count, one)
+    def one(first: Column, second: Column) -> Column:
+        return point + std * (delta * F.abs(randomness.normal(first)) + rest * randomness.normal(second))
+
+    return F.zip_with(sizes, others, one)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -64,7 +65,7 @@ def truncated(
     """Normal cut to [low, high], by default three deviations either side."""
     below = (low - point) / std if low is not None else F.lit(-3.0)
     above = (high - point) / std if high is not None else F.lit(3.0)
-    uniforms = _draws(count, lambda i: randomness.uniform(seed, key, i))
+    uniforms = _draws(seed, key, count, randomness.uniform)
     return F.transform(_inverse_truncated(uniforms, below, above), lambda z: point + std * z)
 
 
@@ -127,7 +128,12 @@ def draw(
     """Add ``samples`` by the distribution chosen for each product; an unknown name means normal.
 
     ``bounds`` limits the samples of a product, on top of the rule for ancillary products.
+
+    Rows are small before they get their samples, and adaptive execution would gather many of them in few
+    tasks; they are spread by hash over all shuffle partitions first, where a draw costs most.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(tasks, "product", "timestamp")
     known = distributions or DISTRIBUTIONS
     point, std, product = F.col("point_forecast"), F.col("std"), F.col("product")
     key = F.concat_ws("|", product, F.date_format("timestamp", "yyyy-MM-dd HH:mm"))
@@ -144,4 +150,4 @@ def draw(
             samples, product, None if low is None else F.lit(low), None if high is None else F.lit(high)
         )
         samples = F.when(product == p, held).otherwise(samples)
-    return df.withColumn("samples", samples)
+    return spread.withColumn("samples", samples)

@@ -393,7 +393,7 @@ def _(i):
 
     def even(point, std, key, seed, count):
         return F.transform(
-            F.sequence(F.lit(1), F.lit(count)), lambda n: point + std * (2 * randomness.uniform(seed, key, n) - 1)
+            randomness.digests(seed, key, count), lambda d: point + std * (2 * randomness.uniform(d) - 1)
         )
 
     return _drawn(i, default="even", distributions=sampling.with_distribution("even", even))
