@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, nearest, quality_rules
+from pricecast.llm import chat, nearest, quality_rules, token_store
 from pricecast.llm.common import table
 from pricecast.sources.scratch import settle
 
@@ -142,3 +143,10 @@ placed AS (
   FROM met)
 SELECT * FROM placed WHERE rank <= 10
 """
+
+
+@register
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    read = token_store.stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
