@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, nearest, quality_rules, token_store
-from pricecast.llm.common import table
+from pricecast.llm import chat, nearest, neighbour_quality, quality_rules, token_store, toxicity
+from pricecast.llm.common import held_out, table
 from pricecast.sources.scratch import settle
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,7 @@ def register(build: Build) -> Build:
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     # The measures feed both the hosts and the verdicts, so the texts are read once.
-    measured = settle(quality_rules.measure(docs))
+    measured = settle(quality_rules.measure(docs).drop("text"))
     return quality_rules.judge(measured).select(
         "doc_id",
         "n_words",
@@ -150,3 +150,25 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     read = token_store.stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    voters = neighbour_quality.fit(docs, table(spark, folder, "labels", "doc_id", "quality"))
+    scored = neighbour_quality.score(docs, voters)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    index = toxicity.fit(docs, table(spark, folder, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, index)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.slice(F.transform("neighbours", lambda n: n["doc_id"]), 1, 3).alias("evidence"),
+    )
