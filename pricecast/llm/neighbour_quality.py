@@ -204,13 +204,14 @@ def score(docs: DataFrame, voters: Voters, text: str = "text", into: str = "scor
     sent = docs.sparkSession.sparkContext.broadcast(voters)
     column = free_name(docs.columns, into)
     kept = docs.drop(text)
+    names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(column, T.DoubleType())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch[text].to_pylist()
             found = [sent.value.score([t or "" for t in texts[at : at + BLOCK]]) for at in range(0, len(texts), BLOCK)]
-            columns = [batch[c] for c in kept.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found) if found else np.empty(0))], names=[*kept.columns, column])
+            columns = [batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found) if found else np.empty(0))], names=[*names, column])
 
-    return docs.select(*kept.columns, text).mapInArrow(vote, schema)
+    return docs.select(*names, text).mapInArrow(vote, schema)

@@ -206,6 +206,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """Add the score and the neighbours it rests on; the index is bounded by the sample."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     kept = docs.drop(text)
+    names = kept.columns
     column = free_name(docs.columns, "score")
     evidence = free_name(docs.columns, "neighbours")
     schema = T.StructType([*kept.schema.fields, T.StructField(column, T.DoubleType()), T.StructField(evidence, T._parse_datatype_string(NEIGHBOURS))])
@@ -223,6 +224,6 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                     [{"doc_id": int(own.doc_ids[p]), "cosine": float(c), "label": int(own.y[p])} for c, p in zip(cs, ps, strict=True) if p >= 0]
                     for cs, ps in zip(cosines, places, strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept.columns), pa.array(scores), pa.array(near, kind)], names=[*kept.columns, column, evidence])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(scores), pa.array(near, kind)], names=[*names, column, evidence])
 
-    return docs.select(*kept.columns, text).mapInArrow(judge, schema)
+    return docs.select(*names, text).mapInArrow(judge, schema)
