@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words that stand out among toxic examples (two-proportion z of their document shares, over a
+Terms are the words and the four-letter beginnings of words that stand out among toxic examples (two-proportion z of their document shares, over a
 bounded sample of labelled documents). Inverse document frequencies of these terms are counted over all documents.
 The labelled vectors are laid out in blocks of similar examples; for each term the index has its postings by block
 and the largest weight in the block. A document's bound for a block is the product of its weights with these maxima,
@@ -38,12 +38,14 @@ BLOCK = 64
 NEIGHBOURS = "array<struct<doc_id:long,cosine:double,label:int>>"
 
 
-def word_of(token: str) -> str:
-    return EDGES.sub("", token.lower())
+def terms_of(token: str) -> tuple[str, str]:
+    """The word in a token and, marked, its beginning."""
+    word = EDGES.sub("", token.lower())
+    return word, f"{word[:4]}*" if len(word) > 4 else ""
 
 
 class Numbers(dict):
-    """The number of the term in a token, -1 without one; forgets what it saw when it is full."""
+    """Numbers of the two terms of a token, n for none, as one number; forgets what it saw when it is full."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
@@ -52,7 +54,9 @@ class Numbers(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > CACHED:
             self.clear()
-        n = self[token] = self.terms.get(word_of(token), -1)
+        none = len(self.terms)
+        word, beginning = terms_of(token)
+        n = self[token] = self.terms.get(word, none) * (none + 1) + self.terms.get(beginning, none)
         return n
 
 
@@ -61,7 +65,8 @@ def term_counts(texts: list[str], numbers: Numbers, n_terms: int) -> np.ndarray:
     for row, text in zip(out, texts, strict=True):
         words = text.split()
         ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        row += np.bincount(ids + 1, minlength=n_terms + 1)[1:]
+        for own in np.divmod(ids, n_terms + 1):
+            row += np.bincount(own, minlength=n_terms + 1)[:n_terms]
     return out
 
 
@@ -122,7 +127,7 @@ def standing_out(examples: DataFrame, max_terms: int, least_z: float) -> list[st
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, text in zip(batch["y"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found = sorted({word_of(w) for w in set(text.split())} - {""})
+                found = sorted({t for w in set(text.split()) for t in terms_of(w)} - {""})
                 yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "y": pa.array([y] * len(found), pa.int32())})
 
     size = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -156,7 +161,7 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int], text: str) -> t
     return total[:-1], int(total[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", per_class: int = 3000, max_terms: int = 512, least_z: float = 6.0, k: int = 15) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", per_class: int = 3000, max_terms: int = 512, least_z: float = 5.0, k: int = 15) -> Index:
     train = settle(training_labels(labels, label))
     sizes = class_sizes(train)
     examples = settle(sample(docs, train, per_class, text))
