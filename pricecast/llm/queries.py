@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, nearest, neighbour_quality, quality_rules, token_store, toxicity
+from pricecast.llm import chat, near_dedup, nearest, neighbour_quality, quality_rules, token_store, toxicity
 from pricecast.llm.common import held_out, table
 from pricecast.sources.scratch import settle
 
@@ -172,3 +172,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.slice(F.transform("neighbours", lambda n: n["doc_id"]), 1, 3).alias("evidence"),
     )
+
+
+@register
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.deduplicated(table(spark, folder, "documents", "doc_id", "text"))
