@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, near_dedup, nearest, neighbour_quality, quality_rules, token_store, toxicity
+from pricecast.llm import chat, near_dedup, nearest, neighbour_quality, quality_rules, surrogates, token_store, toxicity
 from pricecast.llm.common import held_out, table
 from pricecast.sources.scratch import settle
 
@@ -177,3 +177,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.deduplicated(table(spark, folder, "documents", "doc_id", "text"))
+
+
+SURROGATE_KEY = "corpus-2024"
+
+
+@register
+def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.pseudonymised(table(spark, folder, "documents", "doc_id", "text"), SURROGATE_KEY)
