@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,27 @@ from pricecast.sources.scratch import new_folder, settle
 
 # Cuts that the byte-level pattern makes in any text whose only white space is blanks and line feeds.
 CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
-OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-CACHED = 400_000
+# Everything else that Python or the tokenizer may take for white space.
+OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CACHED = 250_000
 
 _encoders: dict[str, Encoder] = {}
 
 
+class Numbered(dict):
+    """Numbers of chunks in the order in which they were first seen."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes; one per worker process and tokenizer file."""
+    """Ids of texts; one per worker process and tokenizer file.
+
+    Each chunk is encoded once while it is remembered. New chunks are encoded together, a line each: a line feed
+    between two chunks is a token of its own.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,7 +59,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbered()
+        self.starts = np.zeros(1, np.int64)
+        """Of each known chunk in ``ids``, and the end."""
+        self.ids = np.zeros(0, np.uint32)
 
     @staticmethod
     def at(path: str) -> Encoder:
@@ -53,19 +74,58 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text by its chunks, each chunk once; texts with other white space as a whole."""
+    def learn(self) -> None:
+        """Encode the chunks that have a number but no ids yet."""
+        known = len(self.starts) - 1
+        new = list(islice(self.numbers, known, None))
+        sizes = np.zeros(len(new), np.int64)
+        plain = np.array([c.strip("\n ") != "" for c in new], bool)
+        # Runs of blanks and line feeds would melt into the lines between chunks.
+        runs = {i: np.array(self.tokenizer.encode(new[i], add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(~plain)}
+        lines = np.flatnonzero(plain)
+        parts: dict[int, np.ndarray] = {}
+        groups = [lines[at : at + 512] for at in range(0, len(lines), 512)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([new[i] for i in group]) for group in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.r_[np.flatnonzero(ids == self.line_feed), len(ids)]
+            begins = np.r_[0, ends[:-1] + 1]
+            if len(ends) != len(group):
+                raise ValueError("a chunk does not end at its line")
+            sizes[group] = ends - begins
+            parts[int(group[0])] = ids[ids != self.line_feed]
+        for i, r in runs.items():
+            sizes[i] = len(r)
+        ordered = np.empty(int(sizes.sum()), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        for group in groups:
+            flat, n = parts[int(group[0])], sizes[group]
+            ordered[np.repeat(starts[group], n) + np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+        for i, r in runs.items():
+            ordered[starts[i] : starts[i] + len(r)] = r
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes)]
+        self.ids = np.concatenate([self.ids, ordered])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts with other white space are encoded as a whole, all others by their chunks."""
+        if len(self.numbers) > CACHED:
+            self.forget()
         whole = [bool(OTHER_SPACE.search(t)) for t in texts]
-        chunks = [[t] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
-        new = list({c for of_text in chunks for c in of_text if c not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in of_text]) for of_text in chunks]
+        numbers = []
+        for t, w in zip(texts, whole, strict=True):
+            chunks = [] if w else CHUNK.findall(t)
+            numbers.append(np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks)))
+        self.learn()
+        out = []
+        for t, w, own in zip(texts, whole, numbers, strict=True):
+            if w:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+                continue
+            begins = self.starts[own]
+            sizes = self.starts[own + 1] - begins
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(total)])
+        return out
 
 
 BLOCKS = "shard int, block long, start long, doc_ids array<long>, sizes array<long>, ids binary"
@@ -77,12 +137,12 @@ def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder.at(tokenizer), TaskContext.get().partitionId()
         doc_ids: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = start = block = 0
 
         def row() -> pa.RecordBatch:
@@ -92,8 +152,8 @@ def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_
                     "block": [block],
                     "start": [start],
                     "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                    "sizes": pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())),
-                    "ids": pa.array([b"".join(held)], pa.binary()),
+                    "sizes": pa.array([[len(h) for h in held]], pa.list_(pa.int64())),
+                    "ids": pa.array([np.concatenate(held).astype("<u4").tobytes()], pa.binary()),
                 }
             )
 
@@ -102,8 +162,8 @@ def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_
                 part = batch.slice(at, 256)
                 for d, e in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
                     doc_ids.append(d)
-                    held.append(e + end)
-                    size += len(e) // 4 + 1
+                    held.append(np.append(e, end))
+                    size += len(e) + 1
                     if size >= block_ids:
                         yield row()
                         doc_ids, held, start, block, size = [], [], start + size, block + 1, 0
