@@ -30,7 +30,8 @@ from pricecast.llm import rans
 from pricecast.sources.scratch import new_folder, settle
 
 # Cuts that the byte-level pattern makes in any text whose only white space is blanks and line feeds.
-CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
+# A word of Latin letters also ends before these signs.
+CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[,.!?;:#$%&*|])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 # Everything else that Python or the tokenizer may take for white space.
 OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CACHED = 250_000
@@ -60,14 +61,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
         self.numbers = Numbered()
+        self.uses = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         """Of each known chunk in ``ids``, and the end."""
         self.ids = np.zeros(0, np.uint32)
 
+    def forget(self) -> None:
+        """Make room; of what is known, the chunks used most often stay."""
+        uses = self.uses[: len(self.numbers)]
+        stay = np.sort(np.argsort(-uses, kind="stable")[: CACHED // 2])
+        stay = stay[uses[stay] > 2]
+        chunks = list(self.numbers)
+        old, starts, ids = [chunks[i] for i in stay], self.starts, self.ids
+        self.numbers = Numbered(zip(old, range(len(old)), strict=True))
+        self.uses = np.zeros(len(old), np.int64)
+        sizes = starts[stay + 1] - starts[stay]
+        ends = np.cumsum(sizes)
+        self.starts = np.r_[0, ends]
+        self.ids = ids[np.repeat(starts[stay] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+
     @staticmethod
     def at(path: str) -> Encoder:
         if path not in _encoders:
@@ -115,6 +128,10 @@ class Encoder:
             chunks = [] if w else CHUNK.findall(t)
             numbers.append(np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks)))
         self.learn()
+        if numbers:
+            seen = np.bincount(np.concatenate(numbers), minlength=len(self.numbers))
+            seen[: len(self.uses)] += self.uses
+            self.uses = seen
         out = []
         for t, w, own in zip(texts, whole, numbers, strict=True):
             if w:
