@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, near_dedup, nearest, neighbour_quality, quality_rules, surrogates, token_store, toxicity
+from pricecast.llm import chat, mixing, near_dedup, nearest, neighbour_quality, quality_rules, surrogates, token_store, toxicity
 from pricecast.llm.common import held_out, table
 from pricecast.sources.scratch import settle
 
@@ -185,3 +185,9 @@ SURROGATE_KEY = "corpus-2024"
 @register
 def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.pseudonymised(table(spark, folder, "documents", "doc_id", "text"), SURROGATE_KEY)
+
+
+@register
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    return mixing.mixed(docs.withColumn("text", F.xxhash64("text").cast("string"))).select("doc_id", "source", "position", "slot", "epoch")
