@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, mixing, near_dedup, nearest, neighbour_quality, quality_rules, surrogates, token_store, toxicity
+from pricecast.llm import chat, mixing, near_dedup, nearest, neighbour_quality, pieces, quality_rules, surrogates, token_store, toxicity
 from pricecast.llm.common import held_out, table
 from pricecast.sources.scratch import settle
 
@@ -191,3 +191,16 @@ def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     return mixing.mixed(docs.withColumn("text", F.xxhash64("text").cast("string"))).select("doc_id", "source", "position", "slot", "epoch")
+
+
+@register
+def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    read = pieces.decode(pieces.encode(docs, model), model)
+    return read.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit(""))).alias("decodes"),
+    )
