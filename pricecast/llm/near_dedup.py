@@ -14,7 +14,7 @@ are not compared again. What is still large at the last level is compared block
 Candidates are confirmed in two rounds: the best link of each component first, then all pairs that still lie in
 different components. Links inside a component cannot change the result.
 
-A pair at the threshold survives nine levels of a tree with probability 0.4 or more and is found by one of 16 trees
+A pair at the threshold survives six levels of a tree with probability 0.47 or more and is found by one of 16 trees
 with probability over 0.999; the signature test (four standard errors) loses less than one in 10,000.
 
 Shuffles carry (node, class) numbers; signatures travel only with classes that share a node, sets only with
@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricecast.llm.components import components
@@ -51,8 +51,8 @@ class Settings:
     """Least intersection in percent of the union."""
     coordinates: int = 64
     trees: int = 16
-    leaf: int = 100
-    depth: int = 9
+    leaf: int = 200
+    depth: int = 6
     hub_every: int = 3
     hub_sample: int = 128
     hubs: int = 4
@@ -101,7 +101,10 @@ def seeds(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, digest and signature of every document; digest and signature are null for an empty set."""
+    """doc_id, n, digest and signature of every document, in full and by its low bytes; null for an empty set.
+
+    Low bytes agree by chance once in 256 times, which only lets a few more candidates through.
+    """
     flip, times = seeds(settings)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +121,16 @@ def signatures(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> D
                     for k in range(settings.coordinates):
                         signed[:, k] = np.minimum.reduceat((flat ^ flip[k]) * times[k], starts) >> U(32)
                 rows: list = [None] * len(sets)
+                brief: list = [None] * len(sets)
                 for i, s in zip(some, signed, strict=True):
-                    rows[i] = s.tobytes()
+                    rows[i], brief[i] = s.tobytes(), s.astype(np.uint8).tobytes()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part["doc_id"], "n": n, "digest": pa.array(digests, pa.binary()), "sig": pa.array(rows, pa.binary())}
+                    {"doc_id": part["doc_id"], "n": n, "digest": pa.array(digests, pa.binary()), "sig": pa.array(rows, pa.binary()), "brief": pa.array(brief, pa.binary())}
                 )
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(sign, "doc_id long, n long, digest binary, sig binary")
+    return given.mapInArrow(sign, "doc_id long, n long, digest binary, sig binary, brief binary")
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -150,26 +154,33 @@ def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def branched(rows: DataFrame, settings: Settings) -> DataFrame:
-    """node, id, g of all children; rows without a node (``node`` null) start at the roots of all trees."""
+    """node, id of all children; rows without a column ``node`` start at the roots of all trees."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mixed(np.arange(1, settings.trees + 1, dtype=U))
         for batch in batches:
             sigs = matrix(batch["sig"], settings.coordinates)
-            ids, g = batch["id"].to_numpy(), batch["g"].to_numpy()
+            ids = batch["id"].to_numpy()
             if batch.schema.get_field_index("node") >= 0:
                 starts = [batch["node"].to_numpy().view(U)]
             else:
                 starts = [np.full(len(ids), root, U) for root in roots]
             for nodes in starts:
                 who, found = children(nodes, sigs)
-                yield pa.RecordBatch.from_pydict({"node": found.view(np.int64), "id": ids[who], "g": g[who]})
+                yield pa.RecordBatch.from_pydict({"node": found.view(np.int64), "id": ids[who]})
+
+    return rows.mapInArrow(branch, "node long, id long")
 
-    return rows.mapInArrow(branch, "node long, id long, g long")
 
+def open_members(members: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """Members of nodes that hold more than one component, with the size of the node and their component ``g``.
 
-def open_members(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component, with the size of the node."""
+    Without ``components`` (id, g) every class is one of its own.
+    """
+    if components is None:
+        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        return members.join(sizes, "node")
+    members = members.join(components, "id")
     sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("g").alias("_low"), F.max("g").alias("_high"))
     return members.join(sizes.where("_low < _high").select("node", "size"), "node")
 
@@ -193,7 +204,8 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def close_pairs(key: np.ndarray, t: pa.Table, settings: Settings) -> Iterator[pa.RecordBatch]:
     ids, g, n = t["id"].to_numpy(), t["g"].to_numpy(), t["n"].to_numpy()
-    sigs = matrix(t["sig"].combine_chunks(), settings.coordinates)
+    brief = t["brief"].combine_chunks().to_pylist()
+    sigs = np.frombuffer(b"".join(brief), np.uint8).reshape(-1, settings.coordinates)
     least = settings.least_estimate
     for shift in range(1, len(ids)):
         i = np.flatnonzero(key[:-shift] == key[shift:])
@@ -214,7 +226,7 @@ PAIRS = "a long, b long, alike double"
 
 
 def compared(rows: DataFrame, key: str, settings: Settings) -> DataFrame:
-    """Candidate pairs among rows (key, id, g, n, sig) of equal key; keys have few rows each."""
+    """Candidate pairs among rows (key, id, g, n, brief) of equal key; keys have few rows each."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, key):
@@ -255,9 +267,9 @@ def hub_links(members: DataFrame, settings: Settings) -> DataFrame:
             alike = (matrix(b["sig"], width) == matrix(b["h_sig"], width)).mean(axis=1)
             good = np.flatnonzero(alike >= least)
             x, y = b["id"].to_numpy()[good], b["h_id"].to_numpy()[good]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "alike": alike[good]})
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "hub": y})
 
-    return met.select("id", "h_id", "sig", "h_sig").mapInArrow(near, PAIRS)
+    return met.select("id", "h_id", "sig", "h_sig").mapInArrow(near, "a long, b long, hub long").distinct()
 
 
 FILTER_BITS = 1 << 26
@@ -334,12 +346,12 @@ def relabelled(rows: DataFrame, labels: DataFrame, column: str, into: str) -> Da
 def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Classes (id, digest, n) and links (a, b) that connect what belongs together."""
     classes = settle(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
     )
-    signed = classes.select("id", "n", "sig")
-    signed = signed.withColumn("g", F.col("id"))
+    signed = classes.select("id", "n", "sig", "brief", F.col("id").alias("g"))
     ids = classes.select("id", "digest")
-    members = settle(open_members(branched(signed.select("id", "g", "sig"), settings)))
+    components_so_far = None
+    members = settle(open_members(branched(signed.select("id", "sig"), settings)))
     small, links = [members.where(F.col("size") <= settings.leaf)], []
     level = 1
     while True:
@@ -347,19 +359,22 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
         if large.isEmpty():
             break
         if level % settings.hub_every == 0:
-            pairs = hub_links(settle(large.join(signed, "id")), settings).groupBy("a", "b").agg(F.max("alike").alias("alike"))
-            pairs = settle(pairs)
+            pairs = settle(hub_links(settle(large.join(signed, "id").select("node", "id", "g", "n", "sig")), settings))
             sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
-            links.append(confirmed(pairs, sets, settings))
-            signed = settle(relabelled(signed.drop("g"), components(union(links)), "id", "g"))
+            links.append(confirmed(pairs.select("a", "b").distinct(), sets, settings))
+            # Members of one hub are connected; that hubs may be connected too only saves less.
+            hub = links[-1].join(pairs.select("a", "b", "hub").distinct(), ["a", "b"])
+            labels = hub.select(F.explode(F.array("a", "b")).alias("id"), "hub").groupBy("id").agg(F.min("hub").alias("label"))
+            signed = settle(signed.join(labels, "id", "left").select("id", "n", "sig", "brief", F.coalesce("label", "g").alias("g")))
+            components_so_far = signed.select("id", "g")
         if level >= settings.depth:
-            large = open_members(large.join(signed.select("id", "g"), "id"))
-            small.append(blocked(large.select("node", "id"), settings))
+            large = open_members(large, signed.select("id", "g"))
+            small.append(blocked(large, settings))
             break
-        members = settle(open_members(branched(large.join(signed, "id").select("node", "id", "g", "sig"), settings)))
+        members = settle(open_members(branched(large.join(signed, "id").select("node", "id", "sig"), settings), components_so_far))
         small.append(members.where(F.col("size") <= settings.leaf))
         level += 1
-    met = union([s.select("node", "id") for s in small]).join(signed, "id").select("node", "id", "g", "n", "sig")
+    met = union([s.select("node", "id") for s in small]).join(signed, "id").select("node", "id", "g", "n", "brief")
     pairs = settle(compared(met, "node", settings).groupBy("a", "b").agg(F.max("alike").alias("alike")))
     sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
     first = settle(best_links(pairs, signed.select("id", F.col("g").alias("label"))))
@@ -392,14 +407,32 @@ def best_links(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def blocked(large: DataFrame, settings: Settings) -> DataFrame:
-    """Members of the nodes that never became small, under a key for each pair of blocks of the node."""
-    sizes = large.groupBy("node").agg(F.count("*").alias("_size"))
-    blocks = F.ceil(F.col("_size") * 2 / settings.leaf).cast("long")
-    own = F.pmod(F.xxhash64("id"), F.col("_blocks"))
-    rows = large.join(sizes, "node").withColumn("_blocks", blocks).withColumn("_own", own)
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    key = F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return rows.select(key.alias("node"), "id")
+    """Members of the nodes that never became small, under a key for each pair of blocks of the node.
+
+    The largest component of a node is not compared with itself: its members are cut into blocks that meet the
+    blocks of the others, and the others' blocks meet each other.
+    """
+    by_g = large.groupBy("node", "g").agg(F.count("*").alias("n")).groupBy("node")
+    sizes = by_g.agg(F.max(F.struct("n", "g")).alias("top"), F.sum("n").alias("all"))
+
+    def blocks(n: Column) -> Column:
+        return F.greatest(F.ceil(n * 2 / settings.leaf), F.lit(1)).cast("long")
+
+    sizes = sizes.select("node", F.col("top.g").alias("_top"), blocks(F.col("top.n")).alias("_main"), blocks(F.col("all") - F.col("top.n")).alias("_rest"))
+    rows = large.join(sizes, "node").withColumn("_is_main", F.col("g") == F.col("_top"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("_is_main"), F.col("_main")).otherwise(F.col("_rest")))
+    rows = rows.withColumn("_own", own)
+
+    def numbers(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), n - 1)
+
+    meet = F.when(F.col("_is_main"), F.transform(numbers(F.col("_rest")), lambda i: F.xxhash64("node", F.lit(0), "_own", i))).otherwise(
+        F.concat(
+            F.transform(numbers(F.col("_main")), lambda i: F.xxhash64("node", F.lit(0), i, "_own")),
+            F.transform(numbers(F.col("_rest")), lambda i: F.xxhash64("node", F.lit(1), F.least(i, F.col("_own")), F.greatest(i, F.col("_own")))),
+        )
+    )
+    return rows.select(F.explode(meet).alias("node"), "id")
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
