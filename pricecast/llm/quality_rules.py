@@ -143,5 +143,13 @@ def judge(measured: DataFrame, rules: Rules = Rules(), source: str = "source") -
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", source: str = "source") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return judge(measure(docs, text), rules, source).where("kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with.
+
+    The measured documents are written once: the hosts and the verdicts both need the measures, and a filter on
+    them must not be moved into their computation.
+    """
+    names = docs.columns
+    places = [f"_{i}" for i in range(len(names))]  # no clash with a measure
+    text, source = places[names.index(text)], places[names.index(source)]
+    good = judge(settle(measure(docs.toDF(*places), text)), rules, source).where("kept")
+    return good.select(*places).toDF(*names)
