@@ -21,6 +21,8 @@ empty one; all columns are kept, the text is replaced in place, and the two adde
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,23 +63,36 @@ _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(g for gs in GIVEN.values() for g in gs)
 SECRET_KEYS = r"(?i:pass(?:word|wd)|pwd|secret|token|api[_-]?key|access[_-]?key)"
 
-# In the order in which they are tried at a place of the text.
+# By kind; where two could begin at a place of the text, the earlier one is tried first.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
-    "secret": rf"(?<![A-Za-z]){SECRET_KEYS}\s{{0,2}}[=:]\s{{0,2}}\"?[0-9A-Za-z_+/-]{{8,}}+",
-    "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|[0-9a-f]{32,64})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "secret": rf"(?=[PpSsTtAa]){SECRET_KEYS}\s{{0,2}}[=:]\s{{0,2}}\"?[0-9A-Za-z_+/-]{{8,}}+",
+    "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|[0-9a-f]{32,64})(?![0-9A-Za-z])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_titles})\.? {WORD}(?: {WORD})?|(?<![\p{{L}}])(?:{_given}) {WORD}",
+    "phone": r"(?<![0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|(?<![.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "name": rf"(?=\p{{Lu}})(?:(?:{_titles})\.? {WORD}(?: {WORD})?|(?:{_given}) {WORD})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+WITH_LETTERS, WITH_DIGITS = ("email", "secret", "key", "iban", "name"), ("email", "key", "ip", "ssn", "phone", "card")
+# An entity begins where a word or number does; most places of a text are passed by with that one look back.
+ANY = (
+    r"(?<![0-9\p{L}])(?:(?=\p{L})(?:"
+    + "|".join(PATTERNS[k] for k in WITH_LETTERS)
+    + r")|(?=[0-9+(._%-])(?:"
+    + "|".join(PATTERNS[k] for k in WITH_DIGITS)
+    + "))"
+)
 UNIT = "struct<kind:string,norm:string>"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind_of(mention: Column) -> Column:
     found = F.lit("name")
     for kind, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -173,7 +188,7 @@ def luhn(digits: Column) -> Column:
 
 def with_check_digit(body: Column, remainder: Column) -> Column:
     """``body`` and the last digit that gives the Luhn sum the wanted remainder."""
-    return F.concat(body, F.pmod(remainder - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    return let(body, lambda b: F.concat(b, F.pmod(remainder - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
 
 def iban_check(rest: Column, country: Column) -> Column:
@@ -208,7 +223,10 @@ def invented_name(kind: Column, norm: Column, attempt: Column, bits: Column) ->
 
 def replacement(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The replacement of an entity in the form of ``norm``: a function of key, kind, norm and attempt."""
-    bits = stream(key, kind, norm, attempt)
+    return let(stream(key, kind, norm, attempt), lambda bits: drawn_from(bits, kind, norm, attempt))
+
+
+def drawn_from(bits: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     local = F.substring_index(norm, "@", 1)
     mail = F.concat(redrawn(local, bits), F.lit("@"), F.concat(F.lit("m"), F.substring(bits, 97, 8), F.lit(".example.org")))
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, 1 + number(bits, i, 8) % 223).otherwise(number(bits, i, 8) % 256).cast("string"))
@@ -220,7 +238,7 @@ def replacement(key: str, kind: Column, norm: Column, attempt: Column) -> Column
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", with_check_digit(card, luhn(norm)))
-        .when(kind == "iban", F.concat(country, iban_check(account, country), account))
+        .when(kind == "iban", let(account, lambda a: F.concat(country, iban_check(a, country), a)))
         .when(kind == "phone", phone)
         .when(kind.isin("given_m", "given_f", "family"), invented_name(kind, norm, attempt, bits))
         .otherwise(redrawn(norm, bits))
@@ -229,6 +247,10 @@ def replacement(key: str, kind: Column, norm: Column, attempt: Column) -> Column
 
 def in_format(mention: Column, characters: Column) -> Column:
     """``characters`` put one by one in the places of the last digits and letters of the mention."""
+    return let(characters, lambda c: filled(mention, c))
+
+
+def filled(mention: Column, characters: Column) -> Column:
     cells = F.split(mention, "")
     size = F.length(F.regexp_replace(mention, "[^0-9A-Za-z]", ""))
     start = F.struct(F.lit("").alias("out"), (F.length(characters) - size).cast("int").alias("at"))
@@ -246,38 +268,37 @@ def cased(name: Column, like: Column) -> Column:
 
 
 def mentions_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
 def found_units(mentions: Column) -> Column:
-    return F.flatten(F.transform(mentions, lambda m: units_of(m, kind_of(m))))
+    return F.flatten(F.transform(mentions, lambda m: let(kind_of(m), lambda kind: units_of(m, kind))))
 
 
 def substituted(mention: Column, key: str, attempts: Column) -> Column:
     """The text that stands for a mention; ``attempts`` is array<struct<kind, norm, attempt>>, null for none."""
-    kind = kind_of(mention)
 
     def drawn(unit: Column) -> Column:
         again = F.filter(attempts, lambda x: (x["kind"] == unit["kind"]) & (x["norm"] == unit["norm"]))
         attempt = F.coalesce(F.get(again, F.lit(0))["attempt"], F.lit(0))
-        return replacement(key, unit["kind"], unit["norm"], attempt)
+        return let(attempt, lambda a: replacement(key, unit["kind"], unit["norm"], a))
 
-    words = name_words(mention)
-    new = F.transform(units_of(mention, kind), drawn)
-    first = F.get(new, F.lit(0))
-    value = secret_value(mention)
-    return (
-        F.when(kind == "name", F.concat(title_of(mention), F.array_join(F.zip_with(new, words, cased), " ")))
-        .when(kind == "secret", F.concat(F.substr(mention, F.lit(1), F.length(mention) - F.length(value)), first))
-        .when(kind.isin("phone", "card", "ssn", "iban"), in_format(mention, first))
-        .otherwise(first)
-    )
+    def put(kind: Column, new: Column) -> Column:
+        first, value = F.get(new, F.lit(0)), secret_value(mention)
+        return (
+            F.when(kind == "name", F.concat(title_of(mention), F.array_join(F.zip_with(new, name_words(mention), cased), " ")))
+            .when(kind == "secret", F.concat(F.substr(mention, F.lit(1), F.length(mention) - F.length(value)), first))
+            .when(kind.isin("phone", "card", "ssn", "iban"), in_format(mention, first))
+            .otherwise(first)
+        )
+
+    return let(kind_of(mention), lambda kind: let(F.transform(units_of(mention, kind), drawn), lambda new: put(kind, new)))
 
 
 def entities(docs: DataFrame, text: str) -> DataFrame:
     """kind, norm: the distinct entities of all documents."""
-    mentions = docs.select(mentions_of(F.col(text)).alias("m")).where(F.size("m") > 0)
-    units = mentions.select(F.explode(found_units(F.col("m"))).alias("u"))
+    # Outer, so that no filter on the size of the array is derived, which would search each text again.
+    units = docs.select(F.explode_outer(found_units(mentions_of(F.col(text)))).alias("u")).where("u IS NOT NULL")
     return units.select("u.kind", "u.norm").distinct()
 
 
@@ -311,14 +332,14 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         marked = marked.withColumn("_attempts", F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
     else:
         # The texts that hold an exception, found from their entities, under a digest of the text.
-        units = docs.select(F.sha2(text, 256).alias("_digest"), mentions_of(F.col(text)).alias("m")).where(F.size("m") > 0)
-        units = units.select("_digest", F.explode(found_units(F.col("m"))).alias("u")).select("_digest", "u.kind", "u.norm")
+        units = docs.select(F.sha2(text, 256).alias("_digest"), F.explode_outer(found_units(mentions_of(F.col(text)))).alias("u"))
+        units = units.where("u IS NOT NULL").select("_digest", "u.kind", "u.norm")
         hit = units.join(again, ["kind", "norm"]).groupBy("_digest")
         hit = settle(hit.agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("_attempts")))
         marked = marked.withColumn("_digest", F.when(F.size("_mentions") > 0, F.sha2(text, 256))).join(hit, "_digest", "left")
     mentions = F.col("_mentions")
     new = F.transform(mentions, lambda m: substituted(m, key, F.col("_attempts")))
-    pieces = F.split(F.col(text), ANY, -1)
+    pieces = F.split(F.col(text), ANY, -1)  # only of texts with an entity
     put = F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     replaced = F.when(F.size(mentions) > 0, put).otherwise(F.col(text))
     return marked.select(
