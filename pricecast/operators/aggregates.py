@@ -15,19 +15,13 @@ from pricecast.operators import align, topk
 from pricecast.sources.scratch import Settle, as_is
 
 
-# Rows of figures that are broadcast without asking: about a megabyte.
-BROADCAST_ROWS = 10_000
-
-
-def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
+def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put per-key figures on the rows of each key.
 
-    ``at_most`` is a bound on the rows of the summary that holds by construction, such as the length of a
-    list the keys were filtered by. Only then is it broadcast by hint. Otherwise its size decides: the size of
-    the file if the summary was settled, else the size found at run time, beyond which skewed keys are split.
+    The size of the summary decides the plan: that of the file if it was settled, else the one found at run time,
+    beyond which skewed keys are split.
     """
-    small = at_most is not None and at_most <= BROADCAST_ROWS
-    return df.join(F.broadcast(summary) if small else summary, list(keys))
+    return df.join(summary, list(keys))
 
 
 def total_generation(df: DataFrame, keys: Sequence[str] = ("timestamp",)) -> DataFrame:

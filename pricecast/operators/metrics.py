@@ -129,7 +129,7 @@ def ensemble_accuracy(
 ) -> DataFrame:
     """Metrics of an ensemble against actuals; a key for which an actual has no forecast is left out."""
     joined = actual.join(forecast, [*keys, "timestamp"], "left")
-    inside = {f"coverage_{int(c * 100)}": covered(F.col(_A), F.col("samples"), c) for c in levels}
+    inside = {f"coverage_{100 * c:.10g}": covered(F.col(_A), F.col("samples"), c) for c in levels}
     rows = joined.select(
         *keys, _A, F.col("point_forecast").alias(_F), *[c.alias(name) for name, c in inside.items()]
     )

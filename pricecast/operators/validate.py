@@ -42,15 +42,19 @@ def failures(
     rules: Sequence[tuple[str, Column, Column | None, str]],
     product: Column | None = None,
     timestamp: Column | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Rules are (check, failed?, value, message); one pass over the rows for all of them."""
+    """Rules are (check, failed?, value, message); one pass over the rows for all of them.
+
+    ``keys`` are columns that tell forecasts apart; they stay in front of each violation.
+    """
     who = F.col("product") if product is None else product
     when = F.col("timestamp") if timestamp is None else timestamp
     cells = [
         F.when(F.coalesce(failed, F.lit(False)), _row(category, check, who, when, _null() if value is None else value, F.lit(text)))
         for check, failed, value, text in rules
     ]
-    return df.select(F.inline(F.array_compact(F.array(*cells))))
+    return df.select(*keys, F.inline(F.array_compact(F.array(*cells))))
 
 
 def _stale(as_of: Column | None) -> list[tuple[str, Column, Column | None, str]]:
@@ -138,7 +142,11 @@ def all_feeds(
 
 
 def forecast_schema(
-    df: DataFrame, as_of: Column | None = None, count: int = config.SAMPLE_COUNT, products: Sequence[str] | None = None
+    df: DataFrame,
+    as_of: Column | None = None,
+    count: int = config.SAMPLE_COUNT,
+    products: Sequence[str] | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Required columns up front, then values, nulls, product list, sample count and generation time per row."""
     normalize.require(df, ["timestamp", "product", "point_forecast", "samples", "generation_timestamp", "is_fallback"])
@@ -156,7 +164,7 @@ def forecast_schema(
     if as_of is not None:
         late = F.col("generation_timestamp").cast("timestamp") > as_of
         rules.append(("generation_future", late, None, "generated after the run"))
-    return failures(df, "schema", rules)
+    return failures(df, "schema", rules, keys=keys)
 
 
 def expected_cells(starts: DataFrame, start: str, products: Sequence[str], hours: int = config.HORIZON_HOURS) -> DataFrame:
@@ -201,7 +209,7 @@ def completeness(
 def completeness_violations(df: DataFrame, starts: DataFrame, start: str, **options) -> DataFrame:
     found = completeness(df, starts, start, **options)
     cell = _row("completeness", "", F.col("product"), F.col("timestamp"), _null(), F.lit("no forecast"))
-    return found.select(F.inline(F.array(cell.withField("check", F.col("kind")))))
+    return found.select(*options.get("keys", ()), F.inline(F.array(cell.withField("check", F.col("kind")))))
 
 
 def missing_values(df: DataFrame, group: str, column: str, expected: Column) -> DataFrame:
@@ -212,7 +220,9 @@ def missing_values(df: DataFrame, group: str, column: str, expected: Column) ->
     return wanted.join(have, [group, column], "left_anti")
 
 
-def value_ranges(df: DataFrame, limits: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+def value_ranges(
+    df: DataFrame, limits: dict[str, tuple[float, float, float]] | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
     """Point and samples against the product's limits; null is a violation, unlisted products are skipped."""
     table = limits or config.PLAUSIBLE_LIMITS
     low = lookup({p: v[0] for p, v in table.items()}, F.col("product"), None)
@@ -234,7 +244,7 @@ def value_ranges(df: DataFrame, limits: dict[str, tuple[float, float, float]] |
             ),
         )
         cells = F.concat(cells, rows)
-    return known.select(F.inline(cells))
+    return known.select(*keys, F.inline(cells))
 
 
 def column_ranges(df: DataFrame, limits: dict[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -247,30 +257,30 @@ def column_ranges(df: DataFrame, limits: dict[str, tuple[float | None, float | N
     return df.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))
 
 
-def _with_spread(
-    df: DataFrame, keys: Sequence[str], value: str, at_most: int | None = None, settle: Settle = as_is
-) -> DataFrame:
+def _with_spread(df: DataFrame, keys: Sequence[str], value: str, settle: Settle = as_is) -> DataFrame:
     """Mean and deviation (n − 1) per key on each row. Groups are reduced before the shuffle and joined
     back at run time by size, so a hot key does not have to fit a window."""
     figures = df.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"), F.count(value).alias("_rows")
     )
     if keys:
-        return attach(df, settle(figures), keys, at_most)
+        return attach(df, settle(figures), keys)
     whole = df.withColumn("_all", figures.select(F.struct("_mean", "_std", "_rows")).scalar())
     return whole.withColumns({c: F.col(f"_all.{c}") for c in ("_mean", "_std", "_rows")})
 
 
-def forecast_outliers(df: DataFrame, limits: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+def forecast_outliers(
+    df: DataFrame, limits: dict[str, tuple[float, float, float]] | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
     """Points further from the product's mean than its threshold of deviations."""
     table = limits or config.PLAUSIBLE_LIMITS
     threshold = lookup({p: v[2] for p, v in table.items()}, F.col("product"), None)
     point = F.col("point_forecast")
     known = df.where(F.col("product").isin(list(table)))
-    spread = _with_spread(known, ["product"], "point_forecast", len(table)).where(F.col("_std") >= 1e-8)
+    spread = _with_spread(known, [*keys, "product"], "point_forecast").where(F.col("_std") >= 1e-8)
     far = spread.where(F.abs(point - F.col("_mean")) > threshold * F.col("_std"))
     cell = _row("plausibility", "outlier", F.col("product"), F.col("timestamp"), point, F.lit("far from the mean"))
-    return far.select(F.inline(F.array(cell)))
+    return far.select(*keys, F.inline(F.array(cell)))
 
 
 def outliers(
@@ -324,15 +334,15 @@ def smoothness(df: DataFrame, limit: float = config.SMOOTHNESS_LIMIT, keys: Sequ
     cell = _row(
         "consistency", "smoothness", F.col("product"), F.col("timestamp"), F.col("_change"), F.lit("change too large")
     )
-    return jumped.select(F.inline(F.array(cell)))
+    return jumped.select(*[k for k in keys if k != "product"], F.inline(F.array(cell)))
 
 
-def plausibility(df: DataFrame) -> DataFrame:
-    return value_ranges(df).unionByName(forecast_outliers(df))
+def plausibility(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return value_ranges(df, keys=keys).unionByName(forecast_outliers(df, keys=keys))
 
 
-def consistency(df: DataFrame) -> DataFrame:
-    return product_order(df).unionByName(smoothness(df))
+def consistency(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return product_order(df, keys=keys).unionByName(smoothness(df, keys=(*keys, "product")))
 
 
 def forecast(
@@ -343,28 +353,42 @@ def forecast(
     count: int = config.SAMPLE_COUNT,
     products: Sequence[str] | None = None,
     hours: int = config.HORIZON_HOURS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """All checks of a forecast: schema, completeness, plausibility, consistency."""
+    """All checks of a forecast: schema, completeness, plausibility, consistency.
+
+    With ``keys``, such as the forecast date, rows and starts of several forecasts are checked each on its own.
+    """
     return topk.concat(
-        forecast_schema(df, as_of, count, products),
-        completeness_violations(df, starts, start, products=products, hours=hours),
-        plausibility(df),
-        consistency(df),
+        forecast_schema(df, as_of, count, products, keys),
+        completeness_violations(df, starts, start, products=products, hours=hours, keys=keys),
+        plausibility(df, keys),
+        consistency(df, keys),
     )
 
 
 CATEGORIES = ("schema", "completeness", "plausibility", "consistency")
 
 
-def summary(violations: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """One row per category with its number of violations and whether it is valid."""
-    found = violations.agg(
+def summary(
+    violations: DataFrame,
+    categories: Sequence[str] = CATEGORIES,
+    keys: Sequence[str] = (),
+    forecasts: DataFrame | None = None,
+) -> DataFrame:
+    """One row per category (and forecast, with ``keys``) with its number of violations and whether it is valid.
+
+    ``forecasts`` lists the keys of all forecasts, so that those without violations are told too.
+    """
+    found = violations.groupBy(*keys).agg(
         *[F.count_if(F.col("category") == c).alias(c) for c in categories], F.count(F.lit(1)).alias("all")
     )
+    if forecasts is not None:
+        found = forecasts.select(*keys).distinct().join(found, list(keys), "left").fillna(0, [*categories, "all"])
     cells = F.array(
         *[F.struct(F.lit(c).alias("category"), F.col(f"`{c}`").alias("violations")) for c in [*categories, "all"]]
     )
-    return found.select(F.inline(cells)).withColumn("is_valid", F.col("violations") == 0)
+    return found.select(*keys, F.inline(cells)).withColumn("is_valid", F.col("violations") == 0)
 
 
 def sample_bounds(df: DataFrame, absolute: bool = False) -> DataFrame:
@@ -382,8 +406,11 @@ def sample_bounds(df: DataFrame, absolute: bool = False) -> DataFrame:
 STORED_FIELDS = ("storage_timestamp", "storage_version", "schema_version")
 
 
-def storage_integrity(df: DataFrame, shown: int = 5) -> DataFrame:
-    """Missing metadata, wrong time types, and the first few points outside their samples, then one row for more."""
+def storage_integrity(df: DataFrame, shown: int | None = None) -> DataFrame:
+    """Missing metadata, wrong time types, and all points outside their samples.
+
+    With ``shown``, for a message to a reader, only the first so many points and one row that counts the rest.
+    """
     notes = [("missing_metadata", f"missing {c}") for c in STORED_FIELDS if c not in df.columns]
     kinds = dict(df.dtypes)
     notes += [
@@ -392,10 +419,11 @@ def storage_integrity(df: DataFrame, shown: int = 5) -> DataFrame:
         if c in kinds and not kinds[c].startswith("timestamp")
     ]
     bad = sample_bounds(df)
-    first = bad.orderBy("timestamp", "product").limit(shown)
-    nothing = _row("storage", "more", _null(), _null("timestamp"), F.col("_n"), F.lit("more rows"))
-    more = bad.agg((F.count(F.lit(1)) - shown).alias("_n")).where("_n > 0").select(F.inline(F.array(nothing)))
-    result = first.unionByName(more)
+    result = bad
+    if shown is not None:
+        rest = _row("storage", "more", _null(), _null("timestamp"), F.col("_n"), F.lit("more rows"))
+        more = bad.agg((F.count(F.lit(1)) - shown).alias("_n")).where("_n > 0").select(F.inline(F.array(rest)))
+        result = bad.orderBy("timestamp", "product").limit(shown).unionByName(more)
     if notes:
         cells = [_row("storage", check, _null(), _null("timestamp"), _null(), F.lit(text)) for check, text in notes]
         one = df.sparkSession.range(1).select(F.inline(F.array(*cells)))

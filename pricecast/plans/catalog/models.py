@@ -315,7 +315,7 @@ def _(i):
 
 # --- samples -----------------------------------------------------------------------------------
 
-_COUNT = 16
+_COUNT = 100
 _HASH = "md5('7|' || product || '|' || strftime(timestamp, '%Y-%m-%d %H:%M') || '{extra}|' || i)"
 
 
@@ -420,7 +420,7 @@ def _(i):
 
 # --- whole forecasts ---------------------------------------------------------------------------
 
-_SETTINGS = RunSettings(products=PRODUCTS, fuels=FUELS, sample_count=32)
+_SETTINGS = RunSettings(products=PRODUCTS, fuels=FUELS)
 _NAMES = ["load_mw", "total_generation"]
 
 
@@ -486,11 +486,16 @@ def _(i):
 
 @query("forecast_daily_run", "R-01", "S-11")
 def _(i):
+    """The run of the last day after that of the day before; one product has lost its models and falls back."""
     table = daily.feature_table(_feeds(i), _SETTINGS)
     trained = settle(daily.train(table, _NAMES, _SETTINGS))
     path = new_folder(i.spark, "run")
-    last = _runs(i).agg(F.max("run_time").alias("run_time"))
+    days = settle(_runs(i).orderBy(F.desc("run_time")).limit(2))
     as_of = F.lit("2024-02-01").cast("timestamp")
-    return daily.run(i.spark, path, last, table, trained, _summary(i), _NAMES, _SETTINGS, as_of)
-
-
+    before, last = days.agg(F.min("run_time").alias("run_time")), days.agg(F.max("run_time").alias("run_time"))
+    summary = _summary(i)
+    daily.run(i.spark, path, before, table, trained, summary, _NAMES, _SETTINGS, as_of)
+    fewer = trained.where(F.col("product") != PRODUCTS[-1])
+    found, without = daily.run(i.spark, path, last, table, fewer, summary, _NAMES, _SETTINGS, as_of)
+    lost = without.groupBy("forecast_date").agg(F.count(F.lit(1)).alias("without_source"))
+    return found.join(lost, "forecast_date", "left").fillna(0, ["without_source"])

@@ -134,8 +134,11 @@ def run(
     names: Sequence[str],
     settings: RunSettings,
     as_of: Column,
-) -> DataFrame:
-    """Run and store; returns the validation summary of what was stored.
+) -> tuple[DataFrame, DataFrame]:
+    """Run and store; returns the validation summary by forecast date, and the (date, product) pairs left without.
+
+    Each forecast date is checked on its own, so many runs (a backfill) are told apart. A failed pair is replaced
+    by an earlier forecast; without one nothing is stored for it, and it is reported.
 
     The new forecasts are written to the shared folder first: they are read several times, and a lost
     executor then costs a re-read instead of the whole job.
@@ -144,18 +147,24 @@ def run(
     earlier = stored_before(spark, path)
     if earlier is not None:
         # Fallbacks are read from the store that is about to be rewritten, so they are staged as well.
-        final = scratch.settle(with_fallback(final, runs, earlier, settings)[0])
+        final, without = with_fallback(final, runs, earlier, settings)
+        final, without = scratch.settle(final), scratch.settle(without)
+    else:
+        without = scratch.settle(failed_pairs(final, runs, settings))
+        final = scratch.settle(final.join(without, ["forecast_date", "product"], "left_anti"))
     forecast_store.write(final, path, as_of)
-    starts = horizon_rows(runs, settings).select(F.col("start")).distinct()
+    starts = horizon_rows(runs, settings).select("forecast_date", "start").distinct()
     found = validate.forecast(
-        final, starts, "start", as_of, settings.sample_count, settings.products, settings.horizon_hours
+        final, starts, "start", as_of, settings.sample_count, settings.products, settings.horizon_hours, ["forecast_date"]
     )
-    return validate.summary(found)
+    return validate.summary(found, keys=["forecast_date"], forecasts=starts), without
 
 
 def stored_before(spark, path: str) -> DataFrame | None:
-    """Forecasts stored so far, without storage metadata; None before the first run."""
+    """Forecasts stored so far, without storage metadata; None before the first run. Any other fault is raised."""
     try:
         return forecast_store.read(spark, path).drop(*validate.STORED_FIELDS)
-    except AnalysisException:
-        return None
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

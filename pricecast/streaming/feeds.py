@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pricecast.operators import normalize
+from pricecast.sources.scratch import settle
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, kind: str = "parquet") -> DataFrame:
@@ -29,21 +31,45 @@ def land(
     delay: str = "2 days",
     products: Sequence[str] | None = None,
 ) -> StreamingQuery:
-    """Append clean rows to one table and rejected rows to another.
+    """Append clean rows to one table and rejected rows, each with its reason, to another.
 
-    Repeated records within the watermark are dropped in the stream. Each batch writes under its
-    own batch number and overwrites it when retried, so a lost executor or driver doubles nothing.
+    A record counts once: repeated keys are dropped within a batch and against what landed in the ``delay`` before
+    the newest record of earlier batches. A row older than that can no longer be told from a repetition; it goes to
+    the rejected rows with the reason ``late``. Each batch is worked out once, under its own number, and
+    overwrites it when retried, so a lost executor or driver doubles nothing.
     """
-    timed = raw.withColumn("_event", F.col("timestamp").cast("timestamp"))
-    unique = timed.withWatermark("_event", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_event")
+    spark = raw.sparkSession
+
+    def landed(path: str, number: int) -> DataFrame | None:
+        """Earlier batches, without anything a failed try of this one has left."""
+        try:
+            return spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
+        except AnalysisException as problem:
+            if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
     def store(batch: DataFrame, number: int) -> None:
-        good, bad = normalize.split_records(batch, feed, products)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        event = F.col("timestamp").cast("timestamp")
+        fresh = batch.dropDuplicates(list(keys))
+        before = landed(good_path, number)
+        late = F.lit(False)
+        if before is not None:
+            newest = before.agg(F.max(event)).first()[0]
+            if newest is not None:
+                oldest = F.lit(newest) - F.expr(f"interval {delay}")
+                late = F.coalesce(event < oldest, F.lit(False))
+                fresh = fresh.join(before.where(event >= oldest).select(*keys), list(keys), "left_anti")
+        good, bad = normalize.split_records(fresh.where(~late), feed, products)
+        reasons = bad.schema["reason"].dataType
+        good = good.withColumn("reason", F.lit(None).cast(reasons))
+        tardy = fresh.where(late).select(*(fresh[c] if c in fresh.columns else F.lit("late").alias(c) for c in bad.columns))
+        told = settle(good.unionByName(bad, allowMissingColumns=True).unionByName(tardy, allowMissingColumns=True))
+        told.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        told.where("reason IS NOT NULL").select(*bad.columns).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
 
     return (
-        unique.writeStream.foreachBatch(store)
+        raw.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -91,17 +91,32 @@ def test_a_run_stores_valid_forecasts_and_falls_back(spark, frame, at, tmp_path)
         runs = frame("generation_timestamp string", [(f"{day} 07:00:00",)]).withColumnRenamed("generation_timestamp", "run_time")
         return daily.run(spark, path, runs, table, fitted, summary, ["load_mw"], settings, when("2024-02-01"))
 
-    found = {r["category"]: r["violations"] for r in run("2024-01-09", trained).collect()}
+    found = {r["category"]: r["violations"] for r in run("2024-01-09", trained)[0].collect()}
     assert found["schema"] == 0 and found["completeness"] == 0
     rows = store.read(spark, path)
     assert rows.count() == 2 * 72 and rows.where("is_fallback").count() == 0
     # The next day the models of one product are gone: its forecast is the one of the day before, moved.
-    run("2024-01-10", trained.where("product = 'DALMP'")).collect()
+    _, without = run("2024-01-10", trained.where("product = 'DALMP'"))
+    assert without.count() == 0
     second = store.read(spark, path).where("forecast_date = '2024-01-11'")
     assert second.where("product = 'RRS' and is_fallback").count() == 72
     assert second.where("product = 'DALMP' and not is_fallback").count() == 72
 
 
+def test_runs_are_checked_each_on_its_own(spark, frame, at):
+    """Two overlapping constant forecasts, the second lacking a day: 24 missing cells and no jumps."""
+    rows = [("2024-01-01", at(n), 10.0) for n in range(72)] + [("2024-01-02", at(n + 24), 20.0) for n in range(48)]
+    df = frame("forecast_date string, timestamp string, point_forecast double", rows).withColumns(
+        {"forecast_date": F.to_date("forecast_date"), "product": F.lit("RRS"), "samples": F.array(F.col("point_forecast")), "is_fallback": F.lit(False), "generation_timestamp": F.col("timestamp")}
+    )
+    starts = df.groupBy("forecast_date").agg(F.min("timestamp").alias("start"))
+    found = validate.forecast(df, starts, "start", None, 1, ["RRS"], 72, ["forecast_date"])
+    counts = {(str(r.forecast_date), r.category): r.violations for r in validate.summary(found, keys=["forecast_date"], forecasts=starts).collect()}
+    cells = found.where("category = 'completeness' AND check = 'partial_missing'").groupBy("forecast_date").count().collect()
+    assert [(str(r[0]), r[1]) for r in cells] == [("2024-01-02", 24)]
+    assert counts[("2024-01-01", "all")] == 0 and counts[("2024-01-02", "consistency")] == 0
+
+
 def test_feeds_read_from_files(spark, tmp_path):
     (tmp_path / "load.json").write_text(json.dumps({"data": [{"timestamp": "2024-01-01T05:00:00Z", "load_mw": 5.5, "region": "r"}] * 3}))
     assert feeds.read_envelope(spark, str(tmp_path / "load.json"), schemas.LOAD).count() == 3
@@ -122,6 +137,25 @@ def test_a_feed_lands_once(spark, frame, tmp_path):
     assert spark.read.option("recursiveFileLookup", True).parquet(bad).first()["reason"] == "unknown product"
 
 
+def test_late_rows_are_kept_apart(spark, frame, tmp_path):
+    """A second batch brings a new row, a repetition of the first batch and a row nine days old."""
+    schema = "timestamp string, product string, price double, node string, id long"
+    first = frame(schema, [("2024-01-10 00:00:00", "regup", 1.0, "hb", 1)])
+    first.write.parquet(str(tmp_path / "in"))
+    stream = streams.read(spark, str(tmp_path / "in"), first.schema)
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+
+    def land():
+        streams.land(stream, "price", ["id"], good, bad, str(tmp_path / "checkpoint")).awaitTermination()
+
+    land()
+    more = [("2024-01-10 00:00:00", "regup", 1.0, "hb", 1), ("2024-01-10 01:00:00", "regup", 2.0, "hb", 2), ("2024-01-01 00:00:00", "regup", 3.0, "hb", 3)]
+    frame(schema, more).write.mode("append").parquet(str(tmp_path / "in"))
+    land()
+    assert sorted(r["id"] for r in spark.read.parquet(good).collect()) == [1, 2]
+    assert [(r["id"], r["reason"]) for r in spark.read.parquet(bad).collect()] == [(3, "late")]
+
+
 def test_export_leaves_out_samples(spark, stored, tmp_path):
     store.export_range(store.read(spark, stored), str(tmp_path / "csv"), "2024-01-02", "2024-01-02", "DALMP")
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
