@@ -1,7 +1,8 @@
 """Exact linear quantiles of any number of rows per key, without gathering a key in one task.
 
-Values are first counted per (key, value), then per (key, bucket) on a logarithmic
-scale. The buckets that hold the wanted ranks are few, and only their values are ordered.
+Values are first counted per (key, value). Approximate quantiles of each key cut its values into buckets of about
+equal size, wherever they lie, and only the few buckets that hold the wanted ranks are ordered. NaN comes after all
+numbers, as in Spark's own ordering; infinities are values like others.
 """
 
 from __future__ import annotations
@@ -12,8 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Buckets per e-fold of the value: one bucket spans a relative range of 1.5e-5.
-BUCKETS_PER_EFOLD = 65536
+# A bucket holds about this share of a key's values.
+BUCKETS = 256
+
+
+def bucketed(df: DataFrame, counted: DataFrame, keys: Sequence[str], settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The counted values with ``_bucket``, which grows with the value."""
+    v = F.col("_v")
+    number = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    steps = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = settle(df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(number, steps, 10 * BUCKETS)).alias("_cuts")))
+    joined = counted.join(cuts, list(keys)) if keys else counted.join(F.broadcast(cuts))  # one row without keys
+    inside = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < v))
+    return joined.withColumn("_bucket", inside).drop("_cuts")
 
 
 def exact_quantiles(
@@ -28,15 +40,9 @@ def exact_quantiles(
     ``settle`` may write the wanted ranks (two rows per key and quantile), so that their size is known when the
     values are joined to them and the values are not shuffled again.
     """
-    v = F.col("_v")
-    scale = F.signum(v) * F.log1p(F.abs(v)) * F.lit(BUCKETS_PER_EFOLD)
-    counted = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
-        .where("_v is not null")
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.floor(scale))
-    )
+    values = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted = bucketed(values, counted, keys, settle)
     by_bucket = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
     whole = W.partitionBy(*keys)
     before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
