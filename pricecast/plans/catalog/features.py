@@ -193,7 +193,7 @@ def _(i):
     return wide.select("timestamp", *[c.alias(n) for n, c in features.spread_columns(wide.columns).items()])
 
 
-_VOLATILE = ["price_DALMP", "price_RRS"]
+_VOLATILE = [f"price_{p}" for p in PRODUCTS]
 
 
 def _volatility_sql(source, columns, windows, digits=6):
@@ -501,6 +501,6 @@ def _(i):
 )
 def _(i):
     columns = ["load_mw", "hour_x_load_mw", "renewable_to_load"]
-    made = features.derived_features(wide_table(i), windows=(24,), settle=settle).select("timestamp", "hour", *columns)
+    made = features.derived_features(wide_table(i), settle=settle).select("timestamp", "hour", *columns)
     made = settle(made)
     return scaling.apply(made, scaling.fit(made, columns), columns)

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from pricecast.functions import calendar
 from pricecast.operators import align, normalize, present, reshape, topk
-from pricecast.plans.inputs import FUELS, hours
+from pricecast.plans.inputs import FUELS, PRODUCTS, hours
 from pricecast.plans.registry import query
 from pricecast.sources import feeds
 
@@ -390,11 +390,10 @@ def _(i):
     "common_times",
     "O-07",
     sql="""
-    SELECT timestamp, count(DISTINCT product) AS feeds FROM v_ticks
-    WHERE product IN ('DALMP', 'RTLMP', 'RRS') GROUP BY ALL""",
+    SELECT timestamp, count(DISTINCT product) AS feeds FROM v_ticks GROUP BY ALL""",
 )
 def _(i):
-    parts = [i.ticks.where(F.col("product") == p).select("timestamp") for p in ("DALMP", "RTLMP", "RRS")]
+    parts = [i.ticks.where(F.col("product") == p).select("timestamp") for p in PRODUCTS]
     return topk.common_times(*parts)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricecast.functions import timeline
-from pricecast.operators import align, joins, reshape
+from pricecast.operators import align, joins, reshape, topk
 from pricecast.plans.inputs import FUELS, PRODUCTS, SAMPLES, hours
 from pricecast.plans.registry import query
 from pricecast.sources.scratch import settle
@@ -313,14 +313,17 @@ def _(i):
     "ensembles_paired",
     "J-05",
     sql="""
-    SELECT a.product, a.timestamp, a.p AS first_point, b.p AS second_point
-    FROM (SELECT product, timestamp, round(avg(price), 12) AS p FROM v_ticks WHERE node = 'HB_0' GROUP BY ALL) a
-    JOIN (SELECT product, timestamp, round(avg(price), 12) AS p FROM v_ticks WHERE node = 'HB_1' GROUP BY ALL) b
-      ON a.product = b.product AND a.timestamp = b.timestamp""",
+    WITH nodes AS (SELECT node, product, timestamp, round(avg(price), 12) AS p FROM v_ticks GROUP BY ALL)
+    SELECT a.node AS first, b.node AS second, a.product, a.timestamp, a.p AS first_point, b.p AS second_point
+    FROM nodes a JOIN nodes b ON a.product = b.product AND a.timestamp = b.timestamp AND a.node < b.node""",
     doubles="first_point second_point",
 )
 def _(i):
-    return joins.pair_ensembles(settle(node_ensembles(i)), "HB_0", "HB_1")
+    nodes = settle(node_ensembles(i))
+    pairs = [("HB_0", "HB_1"), ("HB_0", "HB_2"), ("HB_1", "HB_2")]
+    return topk.concat(
+        *[joins.pair_ensembles(nodes, a, b).withColumns({"first": F.lit(a), "second": F.lit(b)}) for a, b in pairs]
+    )
 
 
 def node_ensembles(i):

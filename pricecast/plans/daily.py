@@ -148,7 +148,7 @@ def run(
     if earlier is not None:
         # Fallbacks are read from the store that is about to be rewritten, so they are staged as well.
         final, without = with_fallback(final, runs, earlier, settings)
-        final, without = scratch.settle(final), scratch.settle(without)
+        final, without = scratch.settle(final), scratch.settle(without.withColumnRenamed("target_date", "forecast_date"))
     else:
         without = scratch.settle(failed_pairs(final, runs, settings))
         final = scratch.settle(final.join(without, ["forecast_date", "product"], "left_anti"))
