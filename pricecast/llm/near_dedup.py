@@ -46,7 +46,7 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    shingle: int = 2
+    shingle: int = 5
     percent: int = 80
     """Least intersection in percent of the union."""
     coordinates: int = 64

@@ -176,7 +176,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.deduplicated(table(spark, folder, "documents", "doc_id", "text"))
+    return near_dedup.deduplicated(table(spark, folder, "documents", "doc_id", "text"), near_dedup.Settings(shingle=2))
 
 
 SURROGATE_KEY = "corpus-2024"

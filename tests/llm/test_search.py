@@ -62,7 +62,7 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("settings", [near_dedup.Settings(), near_dedup.Settings(leaf=4, hub_sample=8, hubs=2, hub_every=2, depth=4)])
+@pytest.mark.parametrize("settings", [near_dedup.Settings(shingle=2), near_dedup.Settings(shingle=2, leaf=4, hub_sample=8, hubs=2, hub_every=2, depth=4)])
 def test_components_equal_brute_force(spark, copies, settings):
     want, sizes = brute_components(copies)
     got = near_dedup.deduplicated(spark.createDataFrame(copies, "doc_id long, text string"), settings).collect()
