@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Groups are those of five-word shingles at 0.8. An id that is repeated stays with all its rows if one of them stays.
     """
-    judged = near_dedup.deduplicated(docs, near_dedup.Settings(shingle=5))
+    judged = near_dedup.deduplicated(docs)
     staying = judged.where("kept").select(F.col("doc_id").alias("_staying")).distinct()
     return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
 
