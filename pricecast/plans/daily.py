@@ -119,6 +119,11 @@ def with_fallback(
     failed = failed_pairs(fresh, runs, settings)
     targets = failed.select("product", F.col("forecast_date").alias("target_date"))
     as_of = F.date_sub("target_date", 1).cast("timestamp")
+    # Only the folders that can hold a source are read.
+    dates = horizon_rows(runs, settings)
+    oldest = dates.select(F.date_sub(F.min("forecast_date"), settings.fallback_days)).scalar()
+    newest = dates.select(F.max("forecast_date")).scalar()
+    earlier = earlier.where(F.col("forecast_date").between(oldest, newest))
     index = forecast_store.index_of(earlier)
     rows, without = fallback.retrieve(targets, index, earlier, as_of, settings.fallback_days)
     return fallback.fill_in(fresh, failed, rows), without

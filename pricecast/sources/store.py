@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,14 +107,27 @@ def copy_to(store: DataFrame, source: DataFrame, as_fallback: bool | None = None
     return shifted.withColumn("forecast_date", F.col("target_date")).drop("target_date")
 
 
-def _delete_folders(spark: SparkSession, path: str, pairs: Sequence[tuple]) -> int:
+# What Spark's writer replaces by % and two hexadecimal digits in the names of partition folders.
+_ESCAPED = re.compile(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
+def folder_name(value: str) -> str:
+    """A partition value as it stands in the name of its folder."""
+    return _ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", value)
+
+
+def _delete_folders(spark: SparkSession, path: str, pairs: Iterable[tuple]) -> int:
+    """Spark has no call that drops a folder, so the file system of the session is asked, some folders at a time."""
     gateway = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    for date, product in pairs:
-        folder = gateway.org.apache.hadoop.fs.Path(f"{path}/forecast_date={date}/product={product}")
-        removed += bool(folder.getFileSystem(conf).delete(folder, True))
-    return removed
+
+    def drop(pair: tuple) -> bool:
+        date, product = pair
+        folder = gateway.org.apache.hadoop.fs.Path(f"{path}/forecast_date={date}/product={folder_name(product)}")
+        return bool(folder.getFileSystem(conf).delete(folder, True))
+
+    with ThreadPoolExecutor(16) as pool:
+        return sum(pool.map(drop, pairs))
 
 
 def delete(spark: SparkSession, path: str, pairs: Sequence[tuple[str, str]]) -> int:

@@ -55,6 +55,12 @@ def test_delete_and_retention_drop_partitions(spark, stored):
         store.retained(store.read(spark, stored), when("2024-01-04"), 0)
 
 
+def test_folder_names_are_escaped_as_spark_does(spark, tmp_path):
+    value = "a=b/c:d%e'f[g]"
+    spark.createDataFrame([(1, value)], "x int, product string").write.partitionBy("product").parquet(str(tmp_path / "t"))
+    assert (tmp_path / "t" / f"product={store.folder_name(value)}").is_dir()
+
+
 def test_reads_prune_partitions(spark, stored):
     one = store.read_one(store.read(spark, stored), F.lit("2024-01-02").cast("date"), "RRS")
     plan = one._jdf.queryExecution().executedPlan().toString()
