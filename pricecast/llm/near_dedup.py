@@ -7,9 +7,8 @@ child. A node with at most ``leaf`` classes is compared exhaustively by signatur
 estimates only select candidates; each link that counts is confirmed on the full sets.
 
 Groups of near copies do not fall apart by branching. Every ``hub_every`` levels the large nodes therefore get hubs:
-members of a bounded sample that agree most with the others. Members are confirmed against the hubs; whoever is
-linked to the same hub is connected already, nodes with one component left are closed, and pairs inside a component
-are not compared again. What is still large at the last level is compared block by block. No pair is capped away.
+members of a bounded sample that agree most with those no hub covers yet. Members are confirmed against the hubs;
+nodes with one component left are closed, and pairs inside a component are not compared again. What is still large at the last level is compared block by block. No pair is capped away.
 
 Candidates are confirmed in two rounds: the best link of each component first, then all pairs that still lie in
 different components. Links inside a component cannot change the result.
@@ -52,10 +51,12 @@ class Settings:
     coordinates: int = 64
     trees: int = 16
     leaf: int = 200
+    first_level: int = 3
+    """Levels that are taken at once: tokens shared by chance fill nodes above, more of them the more documents."""
     depth: int = 6
     hub_every: int = 3
     hub_sample: int = 128
-    hubs: int = 4
+    hubs: int = 16
 
     @property
     def least_estimate(self) -> float:
@@ -154,7 +155,7 @@ def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def branched(rows: DataFrame, settings: Settings) -> DataFrame:
-    """node, id of all children; rows without a column ``node`` start at the roots of all trees."""
+    """node, id of all children; rows without a column ``node`` come from the roots of all trees to the first level."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mixed(np.arange(1, settings.trees + 1, dtype=U))
@@ -162,12 +163,15 @@ def branched(rows: DataFrame, settings: Settings) -> DataFrame:
             sigs = matrix(batch["sig"], settings.coordinates)
             ids = batch["id"].to_numpy()
             if batch.schema.get_field_index("node") >= 0:
-                starts = [batch["node"].to_numpy().view(U)]
+                starts, levels = [batch["node"].to_numpy().view(U)], 1
             else:
-                starts = [np.full(len(ids), root, U) for root in roots]
+                starts, levels = [np.full(len(ids), root, U) for root in roots], settings.first_level
             for nodes in starts:
-                who, found = children(nodes, sigs)
-                yield pa.RecordBatch.from_pydict({"node": found.view(np.int64), "id": ids[who]})
+                who = np.arange(len(ids))
+                for _ in range(levels):
+                    now, nodes = children(nodes, sigs[who])
+                    who = who[now]
+                yield pa.RecordBatch.from_pydict({"node": nodes.view(np.int64), "id": ids[who]})
 
     return rows.mapInArrow(branch, "node long, id long")
 
@@ -253,7 +257,7 @@ def hub_links(members: DataFrame, settings: Settings) -> DataFrame:
                 while left.any() and len(picked) < settings.hubs:
                     best = int(np.where(left, (alike * left).sum(1), -1).argmax())
                     picked.append(best)
-                    left &= alike[best] < least
+                    left &= alike[best] < settings.percent / 100
                 yield from part.select(["node", "id", "g", "n", "sig"]).take(sorted(picked)).to_batches()
 
     hubs = drawn.repartition("node").sortWithinPartitions("node").mapInArrow(choose, members.select("node", "id", "g", "n", "sig").schema)
@@ -267,9 +271,9 @@ def hub_links(members: DataFrame, settings: Settings) -> DataFrame:
             alike = (matrix(b["sig"], width) == matrix(b["h_sig"], width)).mean(axis=1)
             good = np.flatnonzero(alike >= least)
             x, y = b["id"].to_numpy()[good], b["h_id"].to_numpy()[good]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "hub": y})
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return met.select("id", "h_id", "sig", "h_sig").mapInArrow(near, "a long, b long, hub long").distinct()
+    return met.select("id", "h_id", "sig", "h_sig").mapInArrow(near, "a long, b long").distinct()
 
 
 FILTER_BITS = 1 << 26
@@ -353,7 +357,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
     components_so_far = None
     members = settle(open_members(branched(signed.select("id", "sig"), settings)))
     small, links = [members.where(F.col("size") <= settings.leaf)], []
-    level = 1
+    level = settings.first_level
     while True:
         large = members.where(F.col("size") > settings.leaf).select("node", "id")
         if large.isEmpty():
@@ -361,11 +365,9 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
         if level % settings.hub_every == 0:
             pairs = settle(hub_links(settle(large.join(signed, "id").select("node", "id", "g", "n", "sig")), settings))
             sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
-            links.append(confirmed(pairs.select("a", "b").distinct(), sets, settings))
-            # Members of one hub are connected; that hubs may be connected too only saves less.
-            hub = links[-1].join(pairs.select("a", "b", "hub").distinct(), ["a", "b"])
-            labels = hub.select(F.explode(F.array("a", "b")).alias("id"), "hub").groupBy("id").agg(F.min("hub").alias("label"))
-            signed = settle(signed.join(labels, "id", "left").select("id", "n", "sig", "brief", F.coalesce("label", "g").alias("g")))
+            links.append(confirmed(pairs, sets, settings))
+            labels = settle(components(union(links)))
+            signed = settle(signed.join(labels, "id", "left").select("id", "n", "sig", "brief", F.coalesce("label", "id").alias("g")))
             components_so_far = signed.select("id", "g")
         if level >= settings.depth:
             large = open_members(large, signed.select("id", "g"))
