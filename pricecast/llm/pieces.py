@@ -303,9 +303,20 @@ def decoded(ids: np.ndarray, model: Model) -> str:
 
 
 def encode(
-    docs: DataFrame, path: str, text: str = "text", into: str = "ids", fold: str | None = None, dictionary: int = 200_000, longest_word: int = 32
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    into: str = "ids",
+    fold: str | None = None,
+    dictionary: int = 200_000,
+    longest_word: int = 32,
+    decodes_into: str | None = None,
 ) -> DataFrame:
-    """Add the piece ids of every whole text; ``path`` is a model file that all machines have."""
+    """Add the piece ids of every whole text; ``path`` is a model file that all machines have.
+
+    ``decodes_into`` names a column that tells whether the ids decode to the text (null as empty), found where they
+    are made.
+    """
     model = Model.load(path)
     fold = fold or ("merges" if model.is_bpe else "viterbi")
     words = settle(most_frequent(settle(word_counts(docs, text)), dictionary, longest_word))
@@ -317,7 +328,11 @@ def encode(
     sent = docs.sparkSession.sparkContext.broadcast((model, known["word"].to_pylist(), np.r_[0, np.cumsum(sizes)], flat))
     names = docs.columns
     column = free_name(names, into)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+    fields = [*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))]
+    checked = None if decodes_into is None else free_name([*names, column], decodes_into)
+    if checked:
+        fields.append(T.StructField(checked, T.BooleanType()))
+    schema = T.StructType(fields)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, listed, starts, all_ids = sent.value
@@ -325,10 +340,13 @@ def encode(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = memory.encode(part[text].to_pylist())
+                texts = part[text].to_pylist()
+                found = memory.encode(texts)
                 offsets = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists], names=[*names, column])
+                more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))]
+                if checked:
+                    more.append(pa.array([decoded(f, own) == (t or "") for f, t in zip(found, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), *more], names=[*names, column, *([checked] if checked else [])])
 
     return docs.mapInArrow(assemble, schema)
 

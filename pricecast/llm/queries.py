@@ -197,10 +197,5 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    read = pieces.decode(pieces.encode(docs, model), model)
-    return read.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit(""))).alias("decodes"),
-    )
+    read = pieces.encode(docs, model, decodes_into="decodes")
+    return read.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "decodes")
