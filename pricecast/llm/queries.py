@@ -163,7 +163,7 @@ def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
-    index = toxicity.fit(docs, table(spark, folder, "labels", "doc_id", "toxic"))
+    index = toxicity.fit_whole(docs, table(spark, folder, "labels", "doc_id", "toxic"))
     scored = toxicity.score(docs, index)
     return scored.select(
         "doc_id",

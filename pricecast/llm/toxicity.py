@@ -1,18 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words and the four-letter beginnings of words that stand out among toxic examples (two-proportion z of their document shares, over a
-bounded sample of labelled documents). Inverse document frequencies of these terms are counted over all documents.
+Terms are the words and the four-letter beginnings of words of a bounded sample of labelled documents: all of them with
+``fit_whole``, or with ``fit`` only those that stand out among toxic examples (two-proportion z of their document
+shares). Inverse document frequencies of these terms are counted over all documents; with all words, a term that
+stands out weighs 1 + z times as much, and no term is left out.
 The labelled vectors are laid out in blocks of similar examples; for each term the index has its postings by block
 and the largest weight in the block. A document's bound for a block is the product of its weights with these maxima,
-and a block is opened only if the bound exceeds the k-th cosine found so far, so the neighbours are exact. Nearer
-examples weigh more; the pseudo-vote of the base rate keeps scores of distant documents low. The neighbours and their
-cosines are the evidence.
+and a block is opened only if the bound exceeds the k-th cosine found so far, so the neighbours are exact. With all
+words, the terms of many examples are multiplied first; as no weight is negative, the k-th of these partial cosines is
+a floor of the k-th cosine, and a block's bound is its largest partial cosine plus the maxima of the other terms.
+Nearer examples weigh more; the pseudo-vote of the base rate keeps scores of distant documents low. The neighbours and
+their cosines are the evidence.
 
-Bounds: ``per_class`` labelled documents of each class, ``max_terms`` terms. Everything else covers all documents.
+Bounds: ``per_class`` labelled documents of each class; ``max_terms`` terms in ``fit``. Everything else covers all documents.
 
 Defined results: null and empty texts and texts without any term get the smoothed share of toxic examples among
-training documents without terms; without training labels the score is 0; repeated rows are scored alike; an empty
-table gives an empty one; other columns pass through.
+training documents (in ``fit``, among those without terms); without training labels the score is 0; repeated rows are scored alike; an empty
+table gives an empty one; other columns pass through. Words that no example has are not part of a document's vector.
 """
 
 from __future__ import annotations
@@ -120,9 +124,100 @@ class Index:
             out[some] = ((weight * self.y[p]).sum(1) + pseudo * self.base) / (weight.sum(1) + pseudo)
         return out, cosines, places
 
+    def judge(self, texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.score(term_counts(texts, numbers, len(self.terms)))
 
-def standing_out(examples: DataFrame, max_terms: int, least_z: float) -> list[str]:
-    """Words whose share of toxic examples is above that of the others by at least ``least_z`` standard errors."""
+
+def sparse_counts(texts: list[str], numbers: Numbers, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count, in the order of rows and terms."""
+    keys = [np.empty(0, np.int64)]
+    for row, text in enumerate(texts):
+        words = text.split()
+        for own in np.divmod(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), n_terms + 1):
+            keys.append(own[own < n_terms] + row * n_terms)
+    found, n = np.unique(np.concatenate(keys), return_counts=True)
+    return *np.divmod(found, max(n_terms, 1)), n
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start to before its end, and how many each span has."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
+@dataclass(frozen=True)
+class WholeIndex:
+    """All terms of the examples. Terms of many examples are a matrix; the others have postings in the order of term and place."""
+
+    terms: dict[str, int]
+    weights: np.ndarray
+    doc_ids: np.ndarray
+    y: np.ndarray
+    votes: np.ndarray
+    common: np.ndarray
+    """Row in ``matrix`` of each term, or -1."""
+    matrix: np.ndarray
+    pairs: np.ndarray
+    """First pair (term, block) of each term, and the end."""
+    blocks: np.ndarray
+    maxima: np.ndarray
+    postings: np.ndarray
+    """First posting of each pair, and the end."""
+    places: np.ndarray
+    values: np.ndarray
+    base: float
+    k: int
+
+    def vectors(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        v = (1 + np.log(counts)) * self.weights[terms]
+        return v / np.maximum(np.sqrt(np.bincount(rows, v * v, n)), 1e-12)[rows]
+
+    def search(self, rows: np.ndarray, terms: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest of n documents, nearest first, ties to the earlier place; 0 and -1 where fewer share a term."""
+        cosines, places = np.zeros((n, self.k)), np.full((n, self.k), -1, np.int64)
+        n_examples = len(self.y)
+        k = min(self.k, n_examples)
+        if not k:
+            return cosines, places
+        row_of = self.common[terms]
+        q = np.zeros((n, len(self.matrix)))
+        q[rows[row_of >= 0], row_of[row_of >= 0]] = v[row_of >= 0]
+        found = q @ self.matrix
+        floor = np.partition(found, n_examples - k, axis=1)[:, n_examples - k]
+        bounds = np.maximum.reduceat(found, np.arange(0, n_examples, BLOCK), axis=1)
+        rows, terms, v = (x[row_of < 0] for x in (rows, terms, v))
+        ends = np.searchsorted(rows, np.arange(n + 1))
+        for d in range(n):
+            own, w = terms[ends[d] : ends[d + 1]], v[ends[d] : ends[d + 1]]
+            pair, times = spans(self.pairs[own], self.pairs[own + 1])
+            w, block = np.repeat(w, times), self.blocks[pair]
+            bound = bounds[d] + np.bincount(block, w * self.maxima[pair], bounds.shape[1])
+            opened = bound * (1 + 1e-9) >= floor[d]
+            kept = opened[block]
+            at, times = spans(self.postings[pair[kept]], self.postings[pair[kept] + 1])
+            cosine = found[d] + np.bincount(self.places[at], np.repeat(w[kept], times) * self.values[at], n_examples)
+            # Equal vectors must tie, whatever the order of their sums.
+            cosine = np.where(np.repeat(opened, BLOCK)[:n_examples], np.round(cosine, 12), 0)
+            near = np.flatnonzero(cosine >= max(np.partition(cosine, n_examples - k)[n_examples - k], 1e-12))
+            near = near[np.argsort(-cosine[near], kind="stable")][:k]
+            cosines[d, : len(near)], places[d, : len(near)] = cosine[near], near
+        return cosines, places
+
+    def judge(self, texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = []
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            rows, terms, counts = sparse_counts(part, numbers, len(self.terms))
+            parts.append(self.search(rows, terms, self.vectors(rows, terms, counts, len(part)), len(part)))
+        c, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(self.y):
+            return np.full(len(texts), self.base), c, p
+        weight = np.where(p >= 0, self.votes[p] / (1.05 - np.minimum(c, 1)), 0)
+        return ((weight * self.y[p]).sum(1) + 0.5 * self.base) / (weight.sum(1) + 0.5), c, p
+
+
+def word_standing(examples: DataFrame) -> DataFrame | None:
+    """Each term with the number of toxic examples that have it and its z; None without examples of both classes."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,35 +227,109 @@ def standing_out(examples: DataFrame, max_terms: int, least_z: float) -> list[st
 
     size = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
-        return []
+        return None
     n1, n0 = float(size[1]), float(size[0])
     seen = examples.select("y", "text").mapInArrow(words, "word string, y int").groupBy("word")
-    seen = seen.agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= 2)
+    seen = seen.agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
     share = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    rows = seen.withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_terms).collect()
+    return seen.withColumn("z", z)
+
+
+def standing_out(examples: DataFrame, max_terms: int, least_z: float) -> list[str]:
+    """Words whose share of toxic examples is above that of the others by at least ``least_z`` standard errors."""
+    seen = word_standing(examples)
+    if seen is None:
+        return []
+    rows = seen.where(F.col("a") >= 2).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_terms).collect()
     return [r.word for r in rows]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int], text: str) -> tuple[np.ndarray, int]:
+    sent, n_terms = docs.sparkSession.sparkContext.broadcast(terms), len(terms)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, total = Numbers(terms), np.zeros(len(terms) + 1, np.int64)
+        numbers, total = Numbers(sent.value), np.zeros(n_terms + 1, np.int64)
         for batch in batches:
             texts = batch[0].to_pylist()
             for at in range(0, len(texts), 256):
                 part = [t or "" for t in texts[at : at + 256]]
-                total[:-1] += (term_counts(part, numbers, len(terms)) > 0).sum(0)
+                total += np.bincount(sparse_counts(part, numbers, n_terms)[1], minlength=n_terms + 1)
                 total[-1] += len(part)
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": found, "n": total[found]})
+        for at in range(0, len(found), 50_000):
+            own = found[at : at + 50_000]
+            yield pa.RecordBatch.from_pydict({"term": own, "n": total[own]})
 
-    rows = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        total[r.term] = r.n
+    rows = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(n_terms + 1, np.int64)
+    total[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return total[:-1], int(total[-1])
 
 
+def fit_whole(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", per_class: int = 3000, k: int = 15) -> WholeIndex:
+    """The index over all words of all sampled examples."""
+    train = settle(training_labels(labels, label))
+    sizes = class_sizes(train)
+    examples = settle(sample(docs, train, per_class, text))
+    seen = word_standing(examples)
+    if seen is None:
+        # Nothing to tell apart: every example has the one label there is, whatever its words.
+        y = 1.0 if sizes[1] else 0.0
+        n = sizes[1] if sizes[1] else sizes[0]
+        none = np.empty(0, np.int64)
+        return WholeIndex({}, np.empty(0), none, np.empty(0), np.empty(0), none, np.zeros((0, 0)), np.zeros(1, np.int64), none, np.empty(0), np.zeros(1, np.int64), none, np.empty(0), y * n / (n + 1.0), k)
+    standing = seen.select("word", F.when(F.col("a") >= 2, F.greatest("z", F.lit(0.0))).otherwise(0.0).alias("z")).orderBy("word").toArrow()
+    terms = {w: i for i, w in enumerate(standing["word"].to_pylist())}
+    n_terms = len(terms)
+    found, n_docs = document_frequencies(docs, terms, text)
+    weights = np.log(1 + n_docs / (1.0 + found)) * (1 + standing["z"].to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, term, n = sparse_counts(part["text"].to_pylist(), numbers, n_terms)
+                ends = pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, n)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["y"], *lists], names=["doc_id", "y", "term", "n"])
+
+    rows = examples.select("doc_id", "y", "text").mapInArrow(counted, "doc_id long, y int, term array<int>, n array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy().astype(np.float64)
+    drawn = {c: max(1, int((y == c).sum())) for c in (0, 1)}
+    worth = np.where(y == 1, sizes[1] / drawn[1], sizes[0] / drawn[0])
+    base = float((worth * y).sum() / (worth.sum() + 1.0))
+    lengths = np.array([len(x) for x in rows["term"]], np.int64)
+    place = np.repeat(np.arange(len(ids)), lengths)
+    term, n = (np.concatenate([np.empty(0, np.int64), *(x.values.to_numpy() for x in rows[c])]) for c in ("term", "n"))
+    v = (1 + np.log(n)) * weights[term]
+    v /= np.sqrt(np.bincount(place, v * v, len(ids)))[place]
+    # Examples with the same strongest terms share blocks, which keeps the maxima tight.
+    by_weight = np.lexsort((term, -v, place))
+    first = np.cumsum(lengths) - lengths
+    strongest = [np.where(lengths > i, term[by_weight][np.minimum(first + i, len(term) - 1)], -1) for i in (0, 1)]
+    order = np.lexsort((ids, strongest[1], strongest[0]))
+    place = np.argsort(order)[place]
+    ids, y, worth = ids[order], y[order], worth[order]
+    held_by = np.bincount(term, minlength=n_terms)
+    many = np.flatnonzero(held_by * 16 > len(ids))
+    common = np.full(n_terms, -1, np.int64)
+    common[many] = np.arange(len(many))
+    matrix = np.zeros((len(many), len(ids)))
+    dense = common[term] >= 0
+    matrix[common[term[dense]], place[dense]] = v[dense]
+    term, place, v = term[~dense], place[~dense], v[~dense]
+    order = np.lexsort((place, term))
+    term, place, v = term[order], place[order], v[order]
+    n_blocks = -(-len(ids) // BLOCK)
+    pair, starts = np.unique(term * n_blocks + place // BLOCK, return_index=True)
+    maxima = np.maximum.reduceat(v, starts) if len(v) else np.empty(0)
+    pairs = np.searchsorted(pair // n_blocks, np.arange(n_terms + 1))
+    return WholeIndex(terms, weights, ids, y, worth / worth.max(), common, matrix, pairs, pair % n_blocks, maxima, np.append(starts, len(v)), place, v, base, k)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", per_class: int = 3000, max_terms: int = 512, least_z: float = 5.0, k: int = 15) -> Index:
     train = settle(training_labels(labels, label))
     sizes = class_sizes(train)
@@ -207,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     return Index(terms, idf, ids, y, worth / worth.max() if len(worth) else worth, postings, np.array(maxima).reshape(len(maxima), len(terms)), base, k)
 
 
-def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, index: Index | WholeIndex, text: str = "text") -> DataFrame:
     """Add the score and the neighbours it rests on; the index is bounded by the sample."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     kept = docs.drop(text)
@@ -223,8 +392,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = term_counts([t or "" for t in part[text].to_pylist()], numbers, len(own.terms))
-                scores, cosines, places = own.score(x)
+                scores, cosines, places = own.judge([t or "" for t in part[text].to_pylist()], numbers)
                 near = [
                     [{"doc_id": int(own.doc_ids[p]), "cosine": float(c), "label": int(own.y[p])} for c, p in zip(cs, ps, strict=True) if p >= 0]
                     for cs, ps in zip(cosines, places, strict=True)

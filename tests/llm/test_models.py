@@ -1,5 +1,8 @@
 """Scores learnt from labels: held-out accuracy, no use of held-out labels, defined results at the edges."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from pricecast.llm import neighbour_quality, toxicity
 from pricecast.llm.common import held_out
 from pricecast.llm.labelled import training_labels
+from pricecast.llm.queries import QUERIES
 from tests.llm.conftest import prose
 
 
@@ -71,6 +75,49 @@ def test_block_max_search_equals_all_cosines():
         assert all(abs(row[x] - y) < 1e-12 for x, y in zip(p, c, strict=True) if x >= 0)
 
 
+def test_toxicity_over_all_words_equals_all_cosines(labelled, spark):
+    docs, labels = labelled
+    index = toxicity.fit_whole(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    train = {r.doc_id: r.y for r in training_labels(labels, "toxic").collect() if r.doc_id in texts}
+    assert sorted(index.doc_ids) == sorted(train) and set(index.y) == {0, 1}
+    held = {i: Counter(t for w in texts[i].split() for t in toxicity.terms_of(w) if t) for i in texts}
+    assert set(index.terms) == {t for i in train for t in held[i]}
+    assert 0 < (index.common >= 0).sum() < len(index.terms)
+
+    frequency = Counter(t for c in held.values() for t in c)
+    n = Counter(train.values())
+    seen = {c: Counter(t for i in train if train[i] == c for t in held[i]) for c in (0, 1)}
+    weight = {}
+    for t in index.terms:
+        a, b = seen[1][t], seen[0][t]
+        share = (a + b + 1) / (n[1] + n[0] + 2)
+        z = (a / n[1] - b / n[0]) / math.sqrt(share * (1 - share) * (1 / n[1] + 1 / n[0]))
+        weight[t] = math.log(1 + len(texts) / (1 + frequency[t])) * (1 + (max(z, 0) if a >= 2 else 0))
+
+    def vector(i):
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in held[i].items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    examples = {i: vector(i) for i in train}
+    rows = toxicity.score(docs, index).collect()
+    for r in rows:
+        v = vector(r.doc_id)
+        cosines = sorted((sum(x * e.get(t, 0) for t, x in v.items()) for e in examples.values()), reverse=True)[:15]
+        assert [x.cosine for x in r.neighbours] == pytest.approx([c for c in cosines if c > 0], abs=1e-9)
+    assert all(len(r.neighbours) == 15 for r in rows if texts[r.doc_id])
+    assert {r.score for r in rows if not texts[r.doc_id]} == {index.base}
+    truth = {r.doc_id: r.toxic for r in labels.where(held_out(F.col("doc_id"))).collect()}
+    assert all((r.score >= 0.5) == bool(truth[r.doc_id]) for r in rows if r.doc_id in truth)
+
+
+def test_the_toxicity_query_compares_texts_without_toxic_words(spark):
+    rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(r.evidence for r in rows if len((texts[r.doc_id] or "").split()) > 20)
+
+
 def test_scores_without_labels_and_documents(awkward, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["_score"] for r in neighbour_quality.score(awkward, neighbour_quality.fit(awkward, none)).collect()} == {0.5}
@@ -87,3 +134,14 @@ def test_awkward_rows_get_a_score(labelled, awkward):
     ):
         rows = scored.collect()
         assert len(rows) == 13 and all(0 <= r["_score"] <= 1 for r in rows)
+
+
+def test_toxicity_over_all_words_at_the_edges(labelled, awkward, no_docs, spark):
+    docs, labels = labelled
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["_score"] for r in toxicity.score(awkward, toxicity.fit_whole(awkward, none)).collect()} == {0.0}
+    assert toxicity.score(no_docs, toxicity.fit_whole(no_docs, none)).count() == 0
+    rows = toxicity.score(awkward, toxicity.fit_whole(docs, labels, per_class=50)).collect()
+    assert len(rows) == 13 and all(0 <= r["_score"] <= 1 for r in rows)
+    few = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert all(len(r.neighbours) <= 2 for r in toxicity.score(awkward, toxicity.fit_whole(awkward, few)).collect())
