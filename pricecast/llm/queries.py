@@ -190,7 +190,7 @@ def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
-    return mixing.mixed(docs.withColumn("text", F.xxhash64("text").cast("string"))).select("doc_id", "source", "position", "slot", "epoch")
+    return mixing.mixed(docs).select("doc_id", "source", "position", "slot", "epoch", F.crc32("text").alias("text_crc32"))
 
 
 @register

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricecast.llm import mixing, pieces, rans, surrogates, token_store
+from pricecast.llm.queries import QUERIES
 from tests.llm.conftest import prose
 from tests.llm.test_rows import brute_measures
 from tests.llm.test_search import brute_components
@@ -174,3 +175,10 @@ def test_surrogate_key_changes_the_replacement(spark):
     docs = spark.createDataFrame([("mail a.b@c.de",)], "text string")
     one, two = (surrogates.pseudonymised(docs, k).first().text for k in "xy")
     assert one != two
+
+
+def test_the_mixing_query_carries_the_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
+    got = QUERIES["op5_mixing"](spark, "/root/testdata/sf0.001").collect()
+    want = mixing.mixed(docs).collect()
+    assert sorted((r.position, r.doc_id, r.text_crc32) for r in got) == sorted((r.position, r.doc_id, zlib.crc32(r.text.encode())) for r in want)
