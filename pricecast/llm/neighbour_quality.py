@@ -37,12 +37,13 @@ PART_WEIGHTS = (0.5, 1.0, 1.0)
 """Of words, shapes and figures in a document's vector."""
 BLOCK = 256
 CACHED = 400_000
+CACHED_CHARS = 16_000_000
 
 _runs = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
     return _runs.sub(r"\1", "".join(kinds))
 
 
@@ -52,6 +53,7 @@ class Terms(dict):
     def __init__(self):
         super().__init__()
         self.word, self.shape = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.chars = 0
 
     def __missing__(self, w: str) -> int:
         n = len(self)
@@ -60,6 +62,7 @@ class Terms(dict):
         self.word[n] = zlib.crc32(w.lower().encode("utf-8", "replace")) % WORDS
         self.shape[n] = WORDS + zlib.crc32(shape(w).encode("utf-8", "replace")) % SHAPES
         self[w] = n
+        self.chars += len(w)
         return n
 
 
@@ -69,7 +72,7 @@ _terms = Terms()
 def counts(texts: list[str]) -> np.ndarray:
     """Terms of at most ``BLOCK`` documents, one row each."""
     global _terms
-    if len(_terms) > CACHED:
+    if len(_terms) > CACHED or _terms.chars > CACHED_CHARS:
         _terms = Terms()
     known = _terms
     out = np.zeros((len(texts), TERMS), np.float32)

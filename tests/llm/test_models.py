@@ -145,3 +145,14 @@ def test_toxicity_over_all_words_at_the_edges(labelled, awkward, no_docs, spark)
     assert len(rows) == 13 and all(0 <= r["_score"] <= 1 for r in rows)
     few = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert all(len(r.neighbours) <= 2 for r in toxicity.score(awkward, toxicity.fit_whole(awkward, few)).collect())
+
+
+def test_the_shape_is_that_of_the_whole_word(monkeypatch):
+    assert neighbour_quality.shape("a" * 64 + "0#" * 2) == "a0#0#"
+    long, longer = "x" * 70, "x" * 70 + "7"
+    monkeypatch.setattr(neighbour_quality, "CACHED_CHARS", 10)
+    x = neighbour_quality.counts([long, longer])
+    shapes = x[:, neighbour_quality.WORDS : neighbour_quality.WORDS + neighbour_quality.SHAPES]
+    assert (shapes[0] != shapes[1]).any()
+    again = neighbour_quality.counts([longer])
+    assert set(neighbour_quality._terms) == {longer} and (again[0] == x[1]).all()
