@@ -504,3 +504,34 @@ def _(i):
     made = features.derived_features(wide_table(i), settle=settle).select("timestamp", "hour", *columns)
     made = settle(made)
     return scaling.apply(made, scaling.fit(made, columns), columns)
+
+
+_ALL_DERIVED = {
+    "load_mw": "load_mw",
+    **_DERIVED,
+    "spread_dalmp_regup": "price_DALMP - price_RegUp",
+    "spread_dalmp_regdown": "price_DALMP - price_RegDown",
+    "spread_dalmp_rrs": "price_DALMP - price_RRS",
+    **_crossed_sql(_CROSSED),
+    **{n: n for n in _VOL_NAMES},
+}
+
+
+def _standard_sql(c):
+    return f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END, 6) + 0 AS {c}"
+
+
+@query(
+    "features_scaled_whole",
+    "X-18",
+    sql=f"""
+    SELECT timestamp, hour, {", ".join(_standard_sql(c) for c in _ALL_DERIVED)}
+    FROM (SELECT timestamp, hour, {", ".join(f"{e} AS {n}" for n, e in _ALL_DERIVED.items())}
+          FROM ({_volatility_sql(_WIDE, _VOLATILE, config.VOLATILITY_ROWS)}))""",
+)
+def _(i):
+    wide = wide_table(i)
+    made = features.derived_features(wide, settle=settle)
+    columns = ["load_mw", *[c for c in made.columns if c not in wide.columns]]
+    made = settle(made.select("timestamp", "hour", *columns))
+    return scaling.apply(made, scaling.fit(made, columns), columns)

@@ -59,3 +59,19 @@ def test_every_blueprint_row_is_covered():
 def test_no_cross_join_in_the_plan(spark, name):
     plan = registered.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+@pytest.mark.parametrize(
+    "name, whole",
+    [
+        ("features_scaled_whole", lambda r: {"volatility_price_RRS_168h", "spread_dalmp_rtlmp", "weekend_x_price_RRS"} <= set(r)),
+    ],
+)
+def test_the_whole_result_equals_sql(spark, name, whole):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    want = db.execute(registered.oracle_sql()[name]).df()
+    got = registered.queries()[name](spark, FOLDER).toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and whole(got)
+    assert len(got) > 0 and rows(got) == rows(want)
