@@ -196,6 +196,27 @@ def _(i):
     return aligned["price"]
 
 
+_LOAD_GRID = """
+    SELECT NULL::VARCHAR AS product, g.timestamp, l.load_mw AS price FROM (SELECT unnest(generate_series((SELECT min(timestamp) FROM v_ticks)
+         - INTERVAL 3 HOUR, (SELECT max(timestamp) FROM v_ticks), INTERVAL 1 HOUR)) AS timestamp) g
+    LEFT JOIN (SELECT timestamp - INTERVAL 3 HOUR AS timestamp, load_mw FROM v_system_load) l ON l.timestamp = g.timestamp"""
+
+
+@query(
+    "feeds_aligned_both",
+    "G-02",
+    sql=f"""
+    SELECT 'price' AS feed, product, timestamp, price AS value FROM ({_BLENDED.format(_BLEND.format(_UNION_GRID))})
+    UNION ALL SELECT 'load', product, timestamp, price FROM ({_BLENDED.format(_BLEND.format(_LOAD_GRID))})""",
+)
+def _(i):
+    early = i.kept("system_load").select((F.col("timestamp") - hours(3)).alias("timestamp"), "load_mw")
+    aligned = align.align({"price": (i.kept("hourly"), ("product",)), "load": (early, ())}, settle=settle)
+    price = aligned["price"].select(F.lit("price").alias("feed"), "product", "timestamp", F.col("price").alias("value"))
+    load = aligned["load"].select(F.lit("load").alias("feed"), F.lit(None).cast("string").alias("product"), "timestamp", F.col("load_mw").alias("value"))
+    return price.unionByName(load)
+
+
 @query(
     "hour_grid",
     "G-06",
