@@ -84,6 +84,15 @@ def pair_ensembles(df: DataFrame, first: str, second: str, id_column: str = "ens
     return one(first, "first_point").join(one(second, "second_point"), ["product", "timestamp"])
 
 
+def pair_all_ensembles(df: DataFrame, id_column: str = "ensemble_id") -> DataFrame:
+    """All ordered pairs of different ensembles at equal (product, timestamp)."""
+
+    def side(alias: str) -> DataFrame:
+        return df.select("product", "timestamp", F.col(id_column).alias(alias), F.col("point_forecast").alias(f"{alias}_point"))
+
+    return side("first").join(side("second"), ["product", "timestamp"]).where(F.col("first") != F.col("second"))
+
+
 def nearest(
     targets: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, target_time: str = "target"
 ) -> DataFrame:

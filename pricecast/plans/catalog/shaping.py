@@ -347,6 +347,19 @@ def _(i):
     )
 
 
+@query(
+    "ensembles_paired_ordered",
+    "J-05",
+    sql="""
+    WITH nodes AS (SELECT node, product, timestamp, round(avg(price), 12) AS p FROM v_ticks GROUP BY ALL)
+    SELECT a.node AS first, b.node AS second, a.product, a.timestamp, a.p AS first_point, b.p AS second_point
+    FROM nodes a JOIN nodes b ON a.product = b.product AND a.timestamp = b.timestamp AND a.node <> b.node""",
+    doubles="first_point second_point",
+)
+def _(i):
+    return joins.pair_all_ensembles(settle(node_ensembles(i)))
+
+
 def node_ensembles(i):
     """The prices of each node as an ensemble of its own."""
     return i.ticks.groupBy(F.col("node").alias("ensemble_id"), "product", "timestamp").agg(

@@ -66,6 +66,7 @@ def test_no_cross_join_in_the_plan(spark, name):
     [
         ("features_scaled_whole", lambda r: {"volatility_price_RRS_168h", "spread_dalmp_rtlmp", "weekend_x_price_RRS"} <= set(r)),
         ("feeds_aligned_both", lambda r: set(r["feed"]) == {"price", "load"}),
+        ("ensembles_paired_ordered", lambda r: {*zip(r["first"], r["second"])} == {*zip(r["second"], r["first"])}),
     ],
 )
 def test_the_whole_result_equals_sql(spark, name, whole):
