@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricecast.llm import chat, mixing, near_dedup, nearest, neighbour_quality, pieces, quality_rules, surrogates, token_store, toxicity
+from pricecast.llm import (
+    chat,
+    mixing,
+    near_dedup,
+    nearest,
+    neighbour_quality,
+    pieces,
+    quality_rules,
+    ranked_search,
+    surrogates,
+    token_store,
+    toxicity,
+)
 from pricecast.llm.common import held_out, table
 from pricecast.sources.scratch import settle
 
@@ -199,3 +211,42 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     read = pieces.encode(docs, model, decodes_into="decodes")
     return read.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "decodes")
+
+
+@register
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return ranked_search.ranked(docs, table(spark, folder, "benchmark", "item_id", "text"), 20)
+
+
+SQL["op12_ranked_search"] = r"""
+WITH items AS (
+  SELECT item_id, text FROM benchmark
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY text NULLS FIRST) = 1),
+cut AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items)
+  GROUP BY ALL),
+sized AS (SELECT doc, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM cut WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM sized),
+held AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, totals GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN sized USING (doc), totals
+  GROUP BY ALL),
+placed AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
