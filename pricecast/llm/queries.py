@@ -14,6 +14,7 @@ from pricecast.llm import (
     near_dedup,
     nearest,
     neighbour_quality,
+    packing,
     pieces,
     quality_rules,
     ranked_search,
@@ -250,3 +251,12 @@ placed AS (
   FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
 """
+
+
+@register
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
