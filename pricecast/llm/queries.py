@@ -16,6 +16,7 @@ from pricecast.llm import (
     neighbour_quality,
     packing,
     pieces,
+    prefix_trie,
     quality_rules,
     ranked_search,
     surrogates,
@@ -214,6 +215,52 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "decodes")
 
 
+@register
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
+# The checksum of a conversation's decimal id is worked out byte by byte from the table of the standard polynomial.
+SQL["op11_prefix_trie"] = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(i))),
+ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 4 AS h
+  FROM ids, crc),
+given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM given),
+rebuilt AS (
+  SELECT heads.conv_id, i AS place, role, text FROM heads JOIN turns ON turns.conv_id = base WHERE i <= h
+  UNION ALL SELECT heads.conv_id, i + 3, role, text FROM heads JOIN turns ON turns.conv_id = heads.conv_id WHERE i > h),
+keyed AS (
+  SELECT conv_id, row_number() OVER w AS depth, CAST(len(regexp_extract_all(text, '[^ 	-]+')) AS BIGINT) AS words,
+         md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS key
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+paths AS (
+  SELECT conv_id, depth, words, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM keyed
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM ids),
+nodes AS (
+  SELECT key, min(depth) AS depth, min(up) AS up, min(words) AS words, count(*) AS n_convs, min(conv_id) AS conv_id
+  FROM paths GROUP BY key),
+children AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+totals AS (
+  SELECT paths.key, count(*) FILTER (WHERE children.key IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * nodes.words) AS BIGINT) AS saved_tokens
+  FROM nodes LEFT JOIN children USING (key) JOIN paths ON paths.conv_id = nodes.conv_id AND paths.depth <= nodes.depth
+  GROUP BY paths.key),
+lasts AS (SELECT conv_id, max_by(key, depth) AS key FROM paths GROUP BY conv_id),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM lasts GROUP BY key)
+SELECT nodes.conv_id, nodes.depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes JOIN totals USING (key) LEFT JOIN children USING (key) LEFT JOIN ends USING (key)
+LEFT JOIN nodes parent ON parent.key = nodes.up
+"""
+
+
 @register
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
