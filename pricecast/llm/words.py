@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
@@ -17,7 +17,8 @@ from pricecast.llm.token_store import OTHER_SPACE, Numbered
 
 # Without the dotted capital I (U+0130), whose lower case ends in a mark that is not a letter.
 PART = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[,.!?;:#$%&*|])|[^ \\n]+")
-REMEMBERED = 300_000
+MARK = re.compile("[\u0300-\u036f]")
+REMEMBERED = 500_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -31,6 +32,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.start_over()
 
     @staticmethod
@@ -64,9 +66,21 @@ class WordEncoder:
         new = list(islice(self.numbers, len(self.starts) - 1, None))
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        # Many parts in one call, with a bar between them: it is a token of its own, and no other text gives its id.
+        barred = [i for i, part in enumerate(new) if "|" in part]
+        plain = [part for part in new if "|" not in part] if barred else new
+        joined = [" | ".join(plain[at : at + 256]) for at in range(0, len(plain), 256)]
+        flat = np.fromiter(chain.from_iterable([*e.ids, self.bar] for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(flat == self.bar)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = flat[flat != self.bar]
+        if len(sizes) != len(plain):
+            raise ValueError("a part does not end at its bar")
+        if barred:
+            own = [self.tokenizer.encode(new[i], add_special_tokens=False).ids for i in barred]
+            at = np.array(barred) - np.arange(len(barred))
+            flat = np.insert(flat, np.repeat(np.r_[0, np.cumsum(sizes)][at], [len(o) for o in own]), [i for o in own for i in o])
+            sizes = np.insert(sizes, at, [len(o) for o in own])
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes)]
         self.ids = np.concatenate([self.ids, flat])
 
@@ -74,22 +88,32 @@ class WordEncoder:
         if len(self.numbers) > REMEMBERED:
             self.forget()
         known = self.numbers.__getitem__
-        own = [None if OTHER_SPACE.search(t) else [*map(known, PART.findall(t))] for t in texts]
+        own = [None if OTHER_SPACE.search(t) else [*map(known, PART.findall(lowered(t)))] for t in texts]
         self.learn()
-        counted = np.zeros(len(self.numbers), np.int64)
-        counted[: len(self.uses)] = self.uses
-        out = []
+        at = np.fromiter(chain.from_iterable(o for o in own if o), np.int64)
+        seen = np.bincount(at, minlength=len(self.numbers))
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
+        sizes = self.starts[at + 1] - self.starts[at]
+        flat, ends = gathered(self.ids, self.starts[at], sizes), np.r_[0, np.cumsum(sizes)]
+        out, done = [], 0
         for t, numbers in zip(texts, own, strict=True):
             if numbers is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.array(numbers, np.int64)
-            np.add.at(counted, at, 1)
-            out.append(gathered(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at]))
-        self.uses = counted
+            out.append(flat[ends[done] : ends[done + len(numbers)]])
+            done += len(numbers)
         return out
 
 
+def lowered(text: str) -> str:
+    """ASCII capitals in lower case, as the tokenizer has them anyway: fewer different parts.
+
+    Not before marks that may join them: some pairs of letter and mark are one character in lower case only.
+    """
+    return text if MARK.search(text) else text.encode().lower().decode()
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``starts``, one after the other."""
     before = np.cumsum(sizes) - sizes
