@@ -67,3 +67,55 @@ def _(i):
         .groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome"))
         .agg(F.count(F.lit(1)).alias("row_count"), F.sum("price").alias("total"))
     )
+
+
+# Three arrivals. The second brings a part of the first again: within the delay of two days that is a repetition, before it is
+# late. The third does so with both, and has records of the first days that were never seen.
+_THIRDS = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")]
+_NEW_ID = 1_000_000_000_000
+
+
+def _arrivals(i):
+    rows = i.ticks.select(
+        F.col("ts").alias("timestamp"),
+        F.when(F.col("event_id") % 89 == 0, "Other").otherwise(F.col("product")).alias("product"),
+        "price",
+        "node",
+        "event_id",
+    )
+    first, second, third = (rows.where((F.col("timestamp") >= a) & (F.col("timestamp") < b)) for a, b in _THIRDS)
+    unseen = first.where("event_id % 7 = 0").withColumn("event_id", F.col("event_id") + _NEW_ID)
+    e = F.col("event_id")
+    yield first.unionByName(first.where(e % 2 == 0))
+    yield second.unionByName(first.where(e % 3 == 0))
+    yield third.unionByName(first.where(e % 5 == 0)).unionByName(second.where(e % 4 == 0)).unionByName(unseen)
+
+
+@query(
+    "stream_feed_arrivals",
+    "K-01",
+    sql=f"""
+    WITH rows AS (
+      SELECT ts AS timestamp, price, event_id, CASE WHEN event_id % 89 = 0 THEN 'unknown product' ELSE 'accepted' END AS outcome FROM v_ticks),
+    first AS (SELECT * FROM rows WHERE timestamp < '{_THIRDS[0][1]}'),
+    second AS (SELECT * FROM rows WHERE timestamp >= '{_THIRDS[1][0]}' AND timestamp < '{_THIRDS[1][1]}'),
+    third AS (SELECT * FROM rows WHERE timestamp >= '{_THIRDS[2][0]}'),
+    marks AS (SELECT (SELECT date_trunc('milliseconds', max(timestamp)) FROM first) - INTERVAL 2 DAY AS m1,
+                     (SELECT date_trunc('milliseconds', max(timestamp)) FROM second) - INTERVAL 2 DAY AS m2),
+    late AS (
+      SELECT * REPLACE ('late' AS outcome) FROM first, marks WHERE event_id % 3 = 0 AND timestamp <= m1
+      UNION ALL SELECT * REPLACE ('late' AS outcome) FROM first, marks WHERE event_id % 5 = 0
+      UNION ALL SELECT * REPLACE ('late' AS outcome) FROM second, marks WHERE event_id % 4 = 0 AND timestamp <= m2
+      UNION ALL SELECT * REPLACE ('late' AS outcome, event_id + {_NEW_ID} AS event_id) FROM first, marks WHERE event_id % 7 = 0)
+    SELECT outcome, event_id, timestamp, round(price, 6) AS price FROM (
+      SELECT * FROM rows UNION ALL SELECT timestamp, price, event_id, outcome FROM late)""",
+)
+def _(i):
+    out = new_folder(i.spark, "arrivals")
+    schema = "timestamp timestamp, product string, price double, node string, event_id long"
+    for rows in _arrivals(i):
+        rows.write.mode("append").parquet(f"{out}/raw")
+        raw = i.spark.readStream.schema(schema).parquet(f"{out}/raw")
+        feeds.land(raw, "price", ["event_id"], f"{out}/good", f"{out}/bad", f"{out}/checkpoint").awaitTermination()
+    both = [i.spark.read.schema(f"{schema}, reason string").option("recursiveFileLookup", True).parquet(f"{out}/{p}") for p in ("good", "bad")]
+    return both[0].unionByName(both[1]).select(F.coalesce("reason", F.lit("accepted")).alias("outcome"), "event_id", "timestamp", "price")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -33,43 +32,45 @@ def land(
 ) -> StreamingQuery:
     """Append clean rows to one table and rejected rows, each with its reason, to another.
 
-    A record counts once: repeated keys are dropped within a batch and against what landed in the ``delay`` before
-    the newest record of earlier batches. A row older than that can no longer be told from a repetition; it goes to
-    the rejected rows with the reason ``late``. Each batch is worked out once, under its own number, and
-    overwrites it when retried, so a lost executor or driver doubles nothing.
+    A record counts once: its keys are kept in the state store of the stream until the watermark, ``delay`` behind the
+    newest record, has passed its time and the delay once more, and repetitions are dropped there. No batch reads
+    what earlier ones landed. A row that is older than the watermark can no longer be told from a repetition; it
+    goes to the rejected rows with the reason ``late``, once for its keys and batch. A row without a time is judged within
+    its batch. Each batch is worked out once, under its own number, and overwrites it when retried, so a lost executor or
+    driver doubles nothing.
+
+    The stream drops late rows without a word. To keep them, the rows pass a second time beside the stateful
+    operator, and those at or before the watermark of the batch are taken; the newest time so far is a one-row table
+    per batch beside the checkpoint.
     """
     spark = raw.sparkSession
-
-    def landed(path: str, number: int) -> DataFrame | None:
-        """Earlier batches, without anything a failed try of this one has left."""
-        try:
-            return spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
-        except AnalysisException as problem:
-            if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+    newest_of = f"{checkpoint.rstrip('/')}-newest"
+    rows = raw.withColumn("_event", F.col("timestamp").cast("timestamp"))
+    once = rows.withWatermark("_event", delay).dropDuplicatesWithinWatermark(list(keys))
+    both = once.withColumn("_once", F.lit(True)).unionByName(rows.withColumn("_once", F.lit(False)))
 
     def store(batch: DataFrame, number: int) -> None:
-        event = F.col("timestamp").cast("timestamp")
-        fresh = batch.dropDuplicates(list(keys))
-        before = landed(good_path, number)
-        late = F.lit(False)
-        if before is not None:
-            newest = before.agg(F.max(event)).first()[0]
-            if newest is not None:
-                oldest = F.lit(newest) - F.expr(f"interval {delay}")
-                late = F.coalesce(event < oldest, F.lit(False))
-                fresh = fresh.join(before.where(event >= oldest).select(*keys), list(keys), "left_anti")
-        good, bad = normalize.split_records(fresh.where(~late), feed, products)
-        reasons = bad.schema["reason"].dataType
-        good = good.withColumn("reason", F.lit(None).cast(reasons))
-        tardy = fresh.where(late).select(*(fresh[c] if c in fresh.columns else F.lit("late").alias(c) for c in bad.columns))
-        told = settle(good.unionByName(bad, allowMissingColumns=True).unionByName(tardy, allowMissingColumns=True))
-        told.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        told.where("reason IS NOT NULL").select(*bad.columns).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        before = spark.read.parquet(f"{newest_of}/batch={number - 1}").first()["newest"] if number else None
+        # The engine's watermark begins at the epoch and counts whole milliseconds.
+        newest = F.timestamp_millis(F.lit(before).cast("long"))
+        watermark = F.greatest(F.timestamp_millis(F.lit(0)), newest - F.expr(f"interval {delay}"))
+        late = F.coalesce(~F.col("_once") & (F.col("_event") <= watermark), F.lit(False))
+        seen = Observation()
+        told = settle(batch.observe(seen, F.max(F.unix_millis("_event")).alias("newest")).where(F.col("_once") | late).withColumn("_late", late))
+        known = [n for n in (before, seen.get["newest"]) if n is not None]
+        latest = spark.createDataFrame([(max(known, default=None),)], "newest long")
+        latest.write.mode("overwrite").parquet(f"{newest_of}/batch={number}")
+
+        fresh = told.where("NOT _late").drop("_event", "_once", "_late")
+        good, bad = normalize.split_records(fresh, feed, products)
+        tardy = normalize.standard_names(told.where("_late").dropDuplicates(list(keys))).withColumn("reason", F.lit("late"))
+        tardy = tardy.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in bad.schema.fields])
+        good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        bad.unionByName(tardy).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
 
     return (
-        raw.writeStream.foreachBatch(store)
+        both.writeStream.foreachBatch(store)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
