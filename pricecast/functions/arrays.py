@@ -25,6 +25,17 @@ def sorted_percentile(ordered: Column, q: float) -> Column:
     return below + (above - below) * (place - low)
 
 
+def count_below(ordered: Column, value: Column, most: int) -> Column:
+    """How many items of a rising array of at most ``most`` items lie below the value, by binary search."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+
+    def step(found: Column, size: Column) -> Column:
+        return F.when(F.get(ordered, found + size - 1) < value, found + size).otherwise(found)
+
+    # Beyond the end of the array ``get`` is null, and the step is not taken.
+    return F.when(ordered.isNotNull(), F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step))
+
+
 def percentile(items: Column, q: float) -> Column:
     return sorted_percentile(F.sort_array(items), q)
 

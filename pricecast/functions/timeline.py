@@ -6,17 +6,26 @@ needs from its past either as a one-row summary per earlier chunk (fills) or as
 copies of the rows just before it (trailing windows, lags). Results
 are those of the unsplit window.
 
+Chunks have a fixed length in time, made for hourly rows. Where that would put too many rows of a key into one chunk
+(``Chunks.by_count``), the chunk is cut again at quantiles of its own times, found from counts, so that a series that
+is dense in one day is many tasks as well. Rows of one key and one time stay together. A trailing window is cut no
+finer than its own length: the rows of one frame have to meet.
+
 Contract: key columns are not null, and ``ts`` orders the rows of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricecast.functions import arrays
+from pricecast.sources.scratch import Settle, as_is
+
 MICROS = 1_000_000
 HOUR = 3600
 DAY = 24 * HOUR
@@ -29,9 +38,62 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _chunked(df: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
-    t = micros(F.col(ts))
-    return df.withColumns({"_t": t, "_chunk": F.floor(t / F.lit(chunk_seconds * MICROS))})
+# What one task may well sort; cuts for more rows than this times MOST_CUTS are made for fewer, larger chunks.
+ROWS_PER_CHUNK = 1_000_000
+MOST_CUTS = 1_000_000
+MOST_PIECES = 4096
+
+
+@dataclass(frozen=True)
+class Chunks:
+    """Time chunks of ``seconds``; ``cuts`` has the keys, ``_coarse`` and ``_cuts`` (times, rising) of dense ones."""
+
+    seconds: int
+    cuts: DataFrame | None = None
+
+    @staticmethod
+    def by_count(
+        df: DataFrame,
+        keys: Sequence[str],
+        ts: str,
+        settle: Settle | None,
+        rows: int | None = None,
+        seconds: int = CHUNK_SECONDS,
+    ) -> Chunks:
+        """Chunks of at most about ``rows`` rows: counts by key and chunk, then quantiles of the times in dense chunks.
+
+        Without a way to settle them (``None``, or ``as_is``, which keeps one lazy plan), chunks are of fixed length.
+        Cuts are settled: every branch of a plan has to see the same ones. There is at most one per ``rows`` rows
+        and at most MOST_CUTS in all, so they can be sent to all tasks.
+        """
+        if settle in (None, as_is):
+            return Chunks(seconds)
+        rows = rows or ROWS_PER_CHUNK
+        placed = Chunks(seconds).place(df.select(*keys, ts), keys, ts).withColumnRenamed("_chunk", "_coarse")
+        local = [*keys, "_coarse"]
+        sizes = placed.groupBy(*local).agg(F.count(F.lit(1)).alias("_n"))
+        most, total = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+        rows = max(rows, -(-total // MOST_CUTS))
+        if most <= rows:
+            return Chunks(seconds)
+        pieces = min(MOST_PIECES, -(-most // rows))
+        steps = [i / pieces for i in range(1, pieces)]
+        dense = placed.join(F.broadcast(sizes.where(F.col("_n") > rows).select(*local)), local, "left_semi")
+        found = dense.groupBy(*local).agg(F.percentile_approx("_t", steps, 10 * pieces).alias("_all"), F.count(F.lit(1)).alias("_n"))
+        # A chunk with fewer rows takes every second, third … cut.
+        stride = F.greatest(F.lit(1), F.floor(F.lit(pieces * rows) / F.col("_n")))
+        cuts = F.array_distinct(F.filter("_all", lambda c, i: (i + 1) % stride == 0))
+        return Chunks(seconds, settle(found.select(*local, cuts.alias("_cuts"))))
+
+    def place(self, df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+        """Add ``_t`` (microseconds) and ``_chunk``, which grows with the time."""
+        t = micros(F.col(ts))
+        coarse = F.floor(t / F.lit(self.seconds * MICROS))
+        if self.cuts is None:
+            return df.withColumns({"_t": t, "_chunk": coarse})
+        placed = df.withColumns({"_t": t, "_coarse": coarse}).join(F.broadcast(self.cuts), [*keys, "_coarse"], "left")
+        inside = F.coalesce(arrays.count_below(F.col("_cuts"), F.col("_t"), MOST_PIECES), F.lit(0))
+        return placed.select(*df.columns, "_t", (F.col("_coarse") * MOST_PIECES + inside).alias("_chunk"))
 
 
 def neighbours(
@@ -44,13 +106,14 @@ def neighbours(
     chunk_seconds: int = CHUNK_SECONDS,
     strict: bool = False,
     times: bool = False,
+    chunks: Chunks | None = None,
 ) -> DataFrame:
     """Add the closest non-null value before (``prev_*``) and after (``next_*``), with ``times`` also when.
 
     A row counts as its own neighbour unless ``strict``. Within a chunk this is a window; across chunks
     the first and last values of each chunk are carried over.
     """
-    base = _chunked(df, ts, chunk_seconds)
+    base = (chunks or Chunks(chunk_seconds)).place(df, keys, ts)
     local = [*keys, "_chunk"]
 
     def up_to(ordered):
@@ -90,21 +153,27 @@ def fill(
     cols: Sequence[str],
     order: Sequence[str] = ("forward",),
     chunk_seconds: int = CHUNK_SECONDS,
+    chunks: Chunks | None = None,
 ) -> DataFrame:
     """Fill nulls from the same series: each direction in turn, as listed in ``order``."""
     side = {"forward": "prev", "backward": "next"}
     near = neighbours(
-        df, keys, ts, cols, "forward" in order, "backward" in order, chunk_seconds=chunk_seconds
+        df, keys, ts, cols, "forward" in order, "backward" in order, chunk_seconds=chunk_seconds, chunks=chunks
     )
     filled = {c: F.coalesce(*[F.col(f"{side[o]}_{c}") for o in order]) for c in cols}
     return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def interpolate(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], chunk_seconds: int = CHUNK_SECONDS
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    cols: Sequence[str],
+    chunk_seconds: int = CHUNK_SECONDS,
+    chunks: Chunks | None = None,
 ) -> DataFrame:
     """Time-weighted linear interpolation; leading nulls stay, trailing nulls repeat the last value."""
-    near = neighbours(df, keys, ts, cols, chunk_seconds=chunk_seconds, times=True)
+    near = neighbours(df, keys, ts, cols, chunk_seconds=chunk_seconds, times=True, chunks=chunks)
 
     def blend(c: str) -> Column:
         before, after = F.col(f"prev_{c}"), F.col(f"next_{c}")
@@ -124,16 +193,38 @@ def trailing(
     keys: Sequence[str],
     ts: str,
     exprs: dict[str, tuple[int, Callable[[], Column]]],
+    settle: Settle | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Aggregates over (t − seconds, t]: ``{name: (seconds, lambda: F.avg("price"))}``.
 
-    Rows near the end of a block are copied to the next block, which drops them again.
+    Rows near the end of a block are copied to the next block, which drops them again. With ``settle``, blocks are
+    counted first, and one of more than ``rows`` rows is cut into blocks as long as the longest window.
     """
     reach = max(seconds for seconds, _ in exprs.values()) * MICROS
-    length = BLOCK_LOOKBACKS * reach
-    placed = df.withColumn("_t", micros(F.col(ts))).withColumn("_home", F.floor(F.col("_t") / F.lit(length)))
-    near_end = F.col("_t") > (F.col("_home") + 1) * length - reach
-    copied = placed.withColumn("_block", _own_and_next(near_end))
+    # Blocks are numbered by the time of their last look-back.
+    step = F.floor(micros(F.col(ts)) / F.lit(reach))
+    placed = df.withColumns({"_t": micros(F.col(ts)), "_step": step, "_coarse": F.floor(step / F.lit(BLOCK_LOOKBACKS))})
+    dense = None
+    if settle not in (None, as_is):
+        sizes = placed.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_n"))
+        dense = settle(sizes.where(F.col("_n") > (rows or ROWS_PER_CHUNK)).select(*keys, "_coarse", F.lit(True).alias("_dense")))
+        # No more rows than the table has dense blocks; where there are very many, the join is left to their size.
+        placed = placed.join(dense, [*keys, "_coarse"], "left")
+    last = (F.col("_coarse") + 1) * BLOCK_LOOKBACKS - 1
+    placed = placed.withColumn("_home", F.when(F.col("_dense"), F.col("_step")).otherwise(last) if dense is not None else last)
+    near_end = F.col("_step") == F.col("_home")
+    first_of_next = F.col("_home") + 1
+    if dense is not None:
+        # The next block, in the same coarse one or not, ends with its first look-back only if it is dense itself.
+        ahead = dense.select(*keys, (F.col("_coarse") - 1).alias("_coarse"), F.col("_dense").alias("_next_dense"))
+        placed = placed.join(ahead, [*keys, "_coarse"], "left")
+        inside = F.col("_dense") & (F.col("_step") < last)
+        next_block = F.when(inside | F.col("_next_dense"), first_of_next).otherwise(last + BLOCK_LOOKBACKS)
+    else:
+        next_block = last + BLOCK_LOOKBACKS
+    own = F.col("_home")
+    copied = placed.withColumn("_block", F.explode(F.when(near_end, F.array(own, next_block)).otherwise(F.array(own))))
 
     def frame(seconds: int):
         w = W.partitionBy(*keys, "_block").orderBy("_t")
@@ -143,11 +234,6 @@ def trailing(
     return found.where("_block = _home").select(*df.columns, *exprs)
 
 
-def _own_and_next(near_end: Column) -> Column:
-    home = F.col("_home")
-    return F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)))
-
-
 def row_windows(
     df: DataFrame,
     keys: Sequence[str],
@@ -158,6 +244,8 @@ def row_windows(
     ties: Sequence[str] = (),
     step_seconds: int = HOUR,
     chunk_seconds: int | None = None,
+    settle: Settle | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Lags and row frames that look at most ``rows_back`` rows back, over ``columns``.
 
@@ -166,10 +254,12 @@ def row_windows(
 
     Each chunk is preceded by the last rows of the chunks before it: the rows themselves are
     shuffled once, and only ``rows_back`` rows of each chunk travel again. ``step_seconds`` is the usual
-    distance of rows: it sets the length of chunks, so that these copies stay few.
+    distance of rows: it sets the length of chunks, so that these copies stay few. With ``settle``, chunks of more than
+    ``rows`` rows (or 64 times ``rows_back``, if that is more) are cut by their counts.
     """
-    length = max(CHUNK_SECONDS, BLOCK_LOOKBACKS * rows_back * step_seconds)
-    base = _chunked(df, ts, chunk_seconds or length)
+    length = chunk_seconds or max(CHUNK_SECONDS, BLOCK_LOOKBACKS * rows_back * step_seconds)
+    chunks = Chunks.by_count(df, keys, ts, settle, max(rows or ROWS_PER_CHUNK, BLOCK_LOOKBACKS * rows_back), length)
+    base = chunks.place(df, keys, ts)
     local = [*keys, "_chunk"]
     used = list(dict.fromkeys([*keys, "_t", "_chunk", *ties, *columns]))
     latest_first = W.partitionBy(*local).orderBy(F.desc("_t"), *[F.desc(c) for c in ties])
@@ -209,6 +299,7 @@ def shift_rows(
     shifts: dict[str, tuple[str, int]],
     ties: Sequence[str] = (),
     step_seconds: int = HOUR,
+    settle: Settle | None = None,
 ) -> DataFrame:
     """``{new: (column, k)}``: the value k rows earlier in the series."""
     reach = max(k for _, k in shifts.values())
@@ -217,4 +308,4 @@ def shift_rows(
     def lagged(w):
         return {new: F.lag(c, k).over(w()) for new, (c, k) in shifts.items()}
 
-    return row_windows(df, keys, ts, reach, lagged, columns, ties, step_seconds)
+    return row_windows(df, keys, ts, reach, lagged, columns, ties, step_seconds, settle=settle)

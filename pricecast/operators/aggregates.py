@@ -39,7 +39,7 @@ def price_statistics(df: DataFrame, settle: Settle = as_is) -> DataFrame:
     return attach(df.select("product", "timestamp").distinct(), settle(figures), ["product"])
 
 
-def rolling_price_statistics(df: DataFrame, seconds: int) -> DataFrame:
+def rolling_price_statistics(df: DataFrame, seconds: int, settle: Settle = as_is) -> DataFrame:
     """The same figures over a trailing time window per product."""
     return trailing(
         df,
@@ -51,6 +51,7 @@ def rolling_price_statistics(df: DataFrame, seconds: int) -> DataFrame:
             "price_min": (seconds, lambda: F.min("price")),
             "price_max": (seconds, lambda: F.max("price")),
         },
+        settle,
     )
 
 

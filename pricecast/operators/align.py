@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast import config
-from pricecast.functions.timeline import fill, interpolate
+from pricecast.functions.timeline import Chunks, fill, interpolate
 from pricecast.sources.scratch import Settle, as_is
 
 HOUR = "1 hour"
@@ -105,10 +105,11 @@ def align(
         kinds = dict(df.dtypes)
         numeric = [c for c in values if kinds[c] in ("double", "float", "int", "bigint")]
         other = [c for c in values if c not in numeric]
+        chunks = Chunks.by_count(grid, keys, "timestamp", settle)
         if numeric:
-            placed = interpolate(placed, keys, "timestamp", numeric)
+            placed = interpolate(placed, keys, "timestamp", numeric, chunks=chunks)
         if other:
-            placed = fill(placed, keys, "timestamp", other)
+            placed = fill(placed, keys, "timestamp", other, chunks=chunks)
         result[name] = placed
     return result
 

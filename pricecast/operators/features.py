@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast import config
-from pricecast.functions.timeline import DAY, HOUR, fill, neighbours, row_windows, shift_rows, trailing
+from pricecast.functions.timeline import DAY, HOUR, Chunks, fill, neighbours, row_windows, shift_rows, trailing
 from pricecast.operators import reshape
 from pricecast.operators.joins import merge_features
 from pricecast.sources.scratch import Settle, as_is
@@ -44,7 +44,8 @@ def load_features(df: DataFrame, keys: Sequence[str] = (), settle: Settle = as_i
     """Change against the row before, and the share of the day's peak and mean; gaps filled back, then forward."""
     made = ["load_rate_of_change", "load_daily_peak", "load_daily_average"]
     # The change is taken between known values: a gap repeats the value before it.
-    lagged = neighbours(df, keys, "timestamp", ["load_mw"], backward=False, strict=True)
+    chunks = Chunks.by_count(df, keys, "timestamp", settle)
+    lagged = neighbours(df, keys, "timestamp", ["load_mw"], backward=False, strict=True, chunks=chunks)
     before = F.col("prev_load_mw")
     date = F.to_date("timestamp")
     daily = df.groupBy(*keys, date.alias("_date")).agg(
@@ -58,7 +59,7 @@ def load_features(df: DataFrame, keys: Sequence[str] = (), settle: Settle = as_i
         quotient(load, F.col("_peak")).alias(made[1]),
         quotient(load, F.col("_mean")).alias(made[2]),
     )
-    return fill(settle(featured), keys, "timestamp", ["load_mw", *made], ("backward", "forward"))
+    return fill(settle(featured), keys, "timestamp", ["load_mw", *made], ("backward", "forward"), chunks=chunks)
 
 
 def _total(columns: Sequence[str]) -> Column:
@@ -90,7 +91,8 @@ def generation_features(
     if green:
         made["renewable_ratio"] = quotient(_total(green), total)
     names = [*fuel_columns, *made]
-    filled = fill(settle(wide.withColumns(made)), keys, "timestamp", names, ("backward", "forward"))
+    wide = settle(wide.withColumns(made))
+    filled = fill(wide, keys, "timestamp", names, ("backward", "forward"), chunks=Chunks.by_count(wide, keys, "timestamp", settle))
     return filled.fillna(0.0, names)
 
 
@@ -105,12 +107,13 @@ def price_features(
         rolled[f"{c}_volatility_24h"] = (DAY, lambda c=c: F.stddev_samp(c))
         rolled[f"{c}_ma_24h"] = (DAY, lambda c=c: F.avg(c))
         rolled[f"{c}_ma_7d"] = (7 * DAY, lambda c=c: F.avg(c))
-    made = trailing(wide, keys, "timestamp", rolled)
+    made = trailing(wide, keys, "timestamp", rolled, settle)
     names = [*columns, *rolled]
     if "DALMP" in products and "RTLMP" in products:
         made = made.withColumn("price_spread_DA_RT", F.col("price_DALMP") - F.col("price_RTLMP"))
         names.append("price_spread_DA_RT")
-    return fill(settle(made), keys, "timestamp", names, ("backward", "forward"))
+    made = settle(made)
+    return fill(made, keys, "timestamp", names, ("backward", "forward"), chunks=Chunks.by_count(made, keys, "timestamp", settle))
 
 
 def base_features(
@@ -171,8 +174,10 @@ def volatility(
         max(windows),
         lambda w: {n: F.stddev_samp(c).over(w(size)) for n, (c, size) in names.items()},
         columns,
+        settle=settle,
     )
-    forward = settle(fill(settle(rolled), keys, "timestamp", list(names)))
+    rolled = settle(rolled)
+    forward = settle(fill(rolled, keys, "timestamp", list(names), chunks=Chunks.by_count(rolled, keys, "timestamp", settle)))
     means = forward.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.avg(n).alias(f"_mean_{n}") for n in names]
     )
@@ -257,12 +262,13 @@ def lags(
     keys: Sequence[str] = (),
     ties: Sequence[str] = (),
     step_seconds: int = HOUR,
+    settle: Settle = as_is,
 ) -> DataFrame:
     """``<column>_lag_<k>``: the value k rows before, for all columns and k in one pass."""
     if any(not isinstance(k, int) or k <= 0 for k in periods):
         raise ValueError("lag periods are positive integers")
     wanted = {f"{c}_lag_{k}": (c, k) for c in columns for k in periods}
-    return shift_rows(df, keys, "timestamp", wanted, ties, step_seconds)
+    return shift_rows(df, keys, "timestamp", wanted, ties, step_seconds, settle)
 
 
 def pair_columns(columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> dict[str, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast import config
-from pricecast.functions.timeline import neighbours
+from pricecast.functions.timeline import Chunks, neighbours
 from pricecast.operators import align, reshape
 from pricecast.sources.scratch import Settle, as_is
 
@@ -94,7 +94,7 @@ def pair_all_ensembles(df: DataFrame, id_column: str = "ensemble_id") -> DataFra
 
 
 def nearest(
-    targets: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, target_time: str = "target"
+    targets: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, target_time: str = "target", settle: Settle = as_is
 ) -> DataFrame:
     """The row closest in time to each target; the earlier row wins a tie.
 
@@ -108,7 +108,9 @@ def nearest(
     # Rows at one time are reduced to one before they are ordered.
     single = points.groupBy(*keys, "_at").agg(F.min("_row").alias("_row"))
     line = marks.unionByName(single, allowMissingColumns=True)
-    near = neighbours(line, keys, "_at", ["_row"], times=True).where("_target")
+    line = settle(line)
+    chunks = Chunks.by_count(line, keys, "_at", settle)
+    near = neighbours(line, keys, "_at", ["_row"], times=True, chunks=chunks).where("_target")
     earlier = F.col("_t") - F.col("prev__row_at")
     later = F.col("next__row_at") - F.col("_t")
     use_next = F.col("prev__row").isNull() | (later < earlier)

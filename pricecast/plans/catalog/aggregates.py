@@ -45,12 +45,12 @@ def _rolling_sql(span, source="v_hourly"):
 
 @query("rolling_day_statistics", "X-13", sql=_rolling_sql("23:59:59.999999"), doubles="price price_max price_min")
 def _(i):
-    return agg.rolling_price_statistics(i.hourly, 24 * 3600)
+    return agg.rolling_price_statistics(i.kept("hourly"), 24 * 3600, settle)
 
 
 @query("rolling_week_statistics", "X-13", sql=_rolling_sql("167:59:59.999999"), doubles="price price_max price_min")
 def _(i):
-    return agg.rolling_price_statistics(i.hourly, 7 * 24 * 3600)
+    return agg.rolling_price_statistics(i.kept("hourly"), 7 * 24 * 3600, settle)
 
 
 @query(

@@ -302,7 +302,7 @@ def _(i):
     FROM v_load WINDOW w AS (PARTITION BY region ORDER BY timestamp)""",
 )
 def _(i):
-    return features.lags(i.kept("load"), ["load_mw"], keys=["region"])
+    return features.lags(i.kept("load"), ["load_mw"], keys=["region"], settle=settle)
 
 
 @query(

@@ -169,7 +169,9 @@ _BLENDED = """
 
 @query("prices_filled_forward", "G-03", sql=f"SELECT product, timestamp, last_value(price IGNORE NULLS) {_UP} AS price FROM ({_GRID})", doubles="price")
 def _(i):
-    return timeline.fill(_gappy(i), ["product"], "timestamp", ["price"])
+    rows = settle(_gappy(i))
+    chunks = timeline.Chunks.by_count(rows, ["product"], "timestamp", settle)
+    return timeline.fill(rows, ["product"], "timestamp", ["price"], chunks=chunks)
 
 
 @query("prices_filled_backward", "G-04", sql=f"SELECT product, timestamp, first_value(price IGNORE NULLS) {_DOWN} AS price FROM ({_GRID})", doubles="price")
@@ -179,7 +181,10 @@ def _(i):
 
 @query("prices_interpolated", "G-05", sql=_BLENDED.format(_BLEND.format(_GRID)))
 def _(i):
-    return timeline.interpolate(_gappy(i), ["product"], "timestamp", ["price"])
+    rows = settle(_gappy(i))
+    # So few rows per chunk that the days of a product are several tasks.
+    chunks = timeline.Chunks.by_count(rows, ["product"], "timestamp", settle, rows=100)
+    return timeline.interpolate(rows, ["product"], "timestamp", ["price"], chunks=chunks)
 
 
 _UNION_GRID = """
@@ -380,7 +385,7 @@ def node_ensembles(i):
 )
 def _(i):
     targets = i.ticks.select("event_id", "product", F.col("ts").alias("target"))
-    return joins.nearest(targets, i.shown, ["product"], "point_forecast")
+    return joins.nearest(targets, i.shown, ["product"], "point_forecast", settle=settle)
 
 
 @query(

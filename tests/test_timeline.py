@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricecast.functions import timeline
 from pricecast.functions.quantiles import exact_quantiles
+from pricecast.sources.scratch import settle
 
 HOUR = 3600
 
@@ -108,3 +109,59 @@ def test_exact_quantiles_equal_numpy(spark):
     found = {r["key"]: [r[n] for n in qs] for r in got.collect()}
     for key, vs in data.items():
         np.testing.assert_allclose(found[key], np.quantile(vs, list(qs.values())), rtol=1e-12)
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """One key with all rows of a day, many of them at the same times, and another with one row a month."""
+    rng = np.random.default_rng(9)
+    seconds = np.sort(rng.integers(0, 86_400, 4000))
+    hot = pd.DataFrame({"key": "hot", "timestamp": pd.Timestamp("2024-03-05") + pd.to_timedelta(seconds, "s")})
+    cold = pd.DataFrame({"key": "cold", "timestamp": pd.date_range("2023-01-01", periods=24, freq="30D")})
+    both = pd.concat([hot, cold], ignore_index=True)
+    both["id"] = np.arange(len(both))
+    both["x"] = np.where(rng.random(len(both)) < 0.4, np.nan, rng.normal(0, 10, len(both)).round(3))
+    df = spark.createDataFrame(both.astype({"timestamp": "datetime64[us]"})).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    return df.repartition(3)
+
+
+def same(a, b, *columns):
+    left, right = (d.select("id", *columns).toPandas().sort_values("id").reset_index(drop=True) for d in (a, b))
+    pd.testing.assert_frame_equal(left, right, check_exact=False, rtol=1e-9)
+
+
+def test_a_dense_day_is_cut_by_counts(dense):
+    chunks = timeline.Chunks.by_count(dense, ["key"], "timestamp", settle, rows=200)
+    sizes = {(r["key"], r["_chunk"]): r["count"] for r in chunks.place(dense, ["key"], "timestamp").groupBy("key", "_chunk").count().collect()}
+    hot = [n for (key, _), n in sizes.items() if key == "hot"]
+    assert len(hot) >= 15 and max(hot) <= 300
+    placed = chunks.place(dense, ["key"], "timestamp")
+    ordered = placed.where("key = 'hot'").groupBy("_chunk").agg(F.min("_t"), F.max("_t")).orderBy("_chunk").collect()
+    assert all(a[2] < b[1] for a, b in zip(ordered, ordered[1:]))
+    assert timeline.Chunks.by_count(dense, ["key"], "timestamp", settle).cuts is None
+    assert timeline.Chunks.by_count(dense.limit(0), ["key"], "timestamp", settle).cuts is None
+
+
+def test_results_do_not_depend_on_cuts_by_count(dense, monkeypatch):
+    chunks = timeline.Chunks.by_count(dense, ["key"], "timestamp", settle, rows=200)
+    for strict in (False, True):
+        # Rows of one time have no order among themselves, so only times with one row are compared.
+        once = dense.dropDuplicates(["key", "timestamp"])
+        plain = timeline.neighbours(once, ["key"], "timestamp", ["x"], strict=strict, times=True)
+        split = timeline.neighbours(once, ["key"], "timestamp", ["x"], strict=strict, times=True, chunks=chunks)
+        same(plain, split, "prev_x", "next_x", "prev_x_at", "next_x_at")
+    same(timeline.interpolate(once, ["key"], "timestamp", ["x"]), timeline.interpolate(once, ["key"], "timestamp", ["x"], chunks=chunks), "x")
+    wanted = {"before": ("x", 3), "long_before": ("x", 70)}
+    plain = timeline.shift_rows(dense, ["key"], "timestamp", wanted, ["id"])
+    monkeypatch.setattr(timeline, "ROWS_PER_CHUNK", 200)
+    monkeypatch.setattr(timeline, "BLOCK_LOOKBACKS", 2)
+    same(plain, timeline.shift_rows(dense, ["key"], "timestamp", wanted, ["id"], settle=settle), "before", "long_before")
+
+
+@pytest.mark.parametrize("blocks", [2, 64])
+def test_trailing_windows_in_dense_blocks(dense, blocks, monkeypatch):
+    exprs = {"mean": (3600, lambda: F.avg("x")), "n": (600, lambda: F.count("x")), "most": (3600, lambda: F.max("x"))}
+    plain = timeline.trailing(dense, ["key"], "timestamp", exprs)
+    monkeypatch.setattr(timeline, "BLOCK_LOOKBACKS", blocks)
+    for rows in (1, 150, 10_000):
+        same(plain, timeline.trailing(dense, ["key"], "timestamp", exprs, settle, rows=rows), "mean", "n", "most")
