@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricecast import config
-from pricecast.functions import randomness
+from pricecast.functions import gauss, randomness
 
 Sampler = Callable[[Column, Column, Column, int, int], Column]
 
@@ -46,27 +44,30 @@ def skewed(point: Column, std: Column, key: Column, seed: int, count: int, shape
     return F.zip_with(sizes, others, one)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _inverse_truncated(u: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    """Quantiles of the standard normal between two standardised bounds."""
-    unit = NormalDist()
-
-    def row(us, a, b):
-        start, end = unit.cdf(a), unit.cdf(b)
-        eps = 1e-15
-        return [min(max(unit.inv_cdf(min(max(start + x * (end - start), eps), 1 - eps)), a), b) for x in us]
-
-    return pd.Series([row(us, a, b) for us, a, b in zip(u, low, high)])
+# Probabilities nearer to 0 or 1 count as this.
+EDGE = 1e-15
+DEVIATIONS = 3.0
 
 
 def truncated(
     point: Column, std: Column, key: Column, seed: int, count: int, low: Column | None = None, high: Column | None = None
 ) -> Column:
     """Normal cut to [low, high], by default three deviations either side."""
-    below = (low - point) / std if low is not None else F.lit(-3.0)
-    above = (high - point) / std if high is not None else F.lit(3.0)
-    uniforms = _draws(seed, key, count, randomness.uniform)
-    return F.transform(_inverse_truncated(uniforms, below, above), lambda z: point + std * z)
+    least = (low - point) / std if low is not None else F.lit(-DEVIATIONS)
+    most = (high - point) / std if high is not None else F.lit(DEVIATIONS)
+    # Probabilities of the default bounds are known beforehand.
+    start = gauss.below(least) if low is not None else F.lit(NormalDist().cdf(-DEVIATIONS))
+    end = gauss.below(most) if high is not None else F.lit(NormalDist().cdf(DEVIATIONS))
+
+    def drawn(ends: Column) -> Column:
+        def one(digest: Column) -> Column:
+            p = ends["start"] + randomness.uniform(digest) * (ends["end"] - ends["start"])
+            z = gauss.quantile(F.least(F.greatest(p, F.lit(EDGE)), F.lit(1 - EDGE)))
+            return point + std * F.least(F.greatest(z, ends["least"]), ends["most"])
+
+        return _draws(seed, key, count, one)
+
+    return gauss.bound(F.struct(start.alias("start"), end.alias("end"), least.alias("least"), most.alias("most")), drawn)
 
 
 DISTRIBUTIONS: dict[str, Sampler] = {

@@ -1,8 +1,11 @@
 """Linear models, uncertainty and samples."""
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from pricecast.config import RunSettings
+from pricecast.functions import gauss
 from pricecast.operators import models, sampling, uncertainty
 from pricecast.plans import daily
 from pricecast.plans.inputs import FUELS, PRODUCTS
@@ -364,7 +367,35 @@ for _name, _row in {"normal": "D-N", "lognormal": "D-L", "skewed_normal": "D-S"}
         return _drawn(i, default=name)
 
 
-@query("samples_truncated_normal", "D-T")
+def _polynomial(coefficients, x):
+    out = f"{coefficients[-1]!r}::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _ratio(of, x):
+    return f"{_polynomial(of[0], x)} / {_polynomial(of[1], x)}"
+
+
+_ENDS = (NormalDist().cdf(-3), NormalDist().cdf(3))
+
+
+@query(
+    "samples_truncated_normal",
+    "D-T",
+    sql=f"""
+    WITH uniform AS (
+      SELECT product, timestamp, point_forecast, i, {_ENDS[0]!r}::DOUBLE + {_unit(_HASH.format(extra=""), 1)} * {_ENDS[1] - _ENDS[0]!r}::DOUBLE AS p
+      FROM v_shown, (SELECT unnest(range(1, {_COUNT + 1})) AS i)),
+    placed AS (SELECT *, p - 0.5::DOUBLE AS q, 0.180625::DOUBLE - (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS c,
+                      sqrt(-ln(least(p, 1 - p))) - 1.6::DOUBLE AS t FROM uniform),
+    quantiles AS (
+      SELECT *, CASE WHEN abs(q) <= 0.425::DOUBLE THEN q * {_ratio(gauss.CENTRE, "c")} ELSE sign(q) * {_ratio(gauss.TAIL, "t")} END AS z
+      FROM placed)
+    SELECT product, timestamp, i, round({_held("x")}, 4) AS x FROM (
+      SELECT product, timestamp, i, point_forecast + 8 * greatest(least(z, 3), -3) AS x FROM quantiles)""",
+)
 def _(i):
     return _drawn(i, default="truncated_normal")
 

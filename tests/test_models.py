@@ -1,7 +1,10 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pricecast.functions import gauss
 from pricecast.operators import models, sampling, scaling
 
 
@@ -76,3 +79,26 @@ def test_unusable_rows_are_rejected(frame, at):
     rows = frame("product string, timestamp string, point_forecast double, std double", [("DALMP", at(0), 50.0, 5.0), ("DALMP", at(1), float("nan"), 5.0), ("DALMP", at(2), 50.0, 0.0), ("X", at(3), 50.0, 1.0), ("DALMP", at(4), None, 1.0)])
     good, bad = sampling.split_inputs(rows)
     assert good.count() == 1 and bad.count() == 4
+
+
+def test_normal_columns_equal_the_standard_library(spark):
+    unit = NormalDist()
+    p = [1e-300, 1e-15, 1e-9, 1e-6, 0.001, 0.02, 0.074, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.9999, 1 - 1e-12]
+    x = [-38.0, -12.0, -7.1, -7.07, -3.0, -0.5, 0.0, 1e-9, 0.3, 2.0, 5.0, 7.2, 9.0]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select("p", gauss.quantile(F.col("p"))).collect()
+    assert all(q == pytest.approx(unit.inv_cdf(v), rel=1e-13, abs=1e-15) for v, q in got)
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", gauss.below(F.col("x"))).collect()
+    assert all(q == pytest.approx(unit.cdf(v), rel=1e-9, abs=1e-15) for v, q in got)
+
+
+def test_truncated_samples_lie_between_their_bounds(spark):
+    rows = spark.createDataFrame([("a", 10.0, 2.0, 9.0, 10.5), ("b", -5.0, 1.0, 0.0, 3.0)], "k string, p double, s double, lo double, hi double")
+    drawn = rows.select("*", sampling.truncated(F.col("p"), F.col("s"), F.col("k"), 3, 400, F.col("lo"), F.col("hi")).alias("x"))
+    assert "Python" not in drawn._jdf.queryExecution().toString()
+    for r in drawn.collect():
+        unit = NormalDist(r.p, r.s)
+        a, b = unit.cdf(r.lo), unit.cdf(r.hi)
+        spread = np.sort([(unit.cdf(v) - a) / (b - a) for v in r.x])
+        assert r.lo <= min(r.x) and max(r.x) <= r.hi
+        # Back in probabilities the samples are even: the greatest distance from the diagonal stays small.
+        assert np.abs(spread - (np.arange(400) + 0.5) / 400).max() < 0.09
