@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricecast.functions.arrays import bound
+
 # Rational approximations of the normal quantile (Wichura, algorithm AS 241, PPND16): numerators and
 # denominators, lowest power first, for the centre, for tails up to sqrt(-ln p) = 5, and beyond.
 CENTRE = (
@@ -35,11 +37,6 @@ HART = (
 HART_END = 7.07106781186547
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once per row, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def polynomial(coefficients: Sequence[float], x: Column) -> Column:
     out = F.lit(coefficients[-1])
     for c in reversed(coefficients[:-1]):

@@ -146,32 +146,60 @@ def sample_statistics(df: DataFrame) -> DataFrame:
     return df.select("timestamp", "product", *[c.alias(f"sample_{n}") for n, c in figures.items()])
 
 
-def aggregate_forecasts(df: DataFrame, how: str = "mean") -> DataFrame:
+# Samples of a row, at most; and copies of one hour whose arrays may meet in one row.
+MOST_SAMPLES = 1 << 30
+MOST_COPIES = 1000
+
+
+def aggregate_forecasts(df: DataFrame, how: str = "mean", settle: Settle = as_is, most_copies: int = MOST_COPIES) -> DataFrame:
     """Several forecasts of one (product, hour) as one: elementwise mean or median of points and samples.
 
-    Point and samples travel in one array; the groups are (product, hour, element), which the map
-    side combines, so many copies of one hour do not meet in one task.
+    Point and samples travel in one array, and the copies of an hour meet as arrays: each task sends one block
+    per product and hour. Hours with more than ``most_copies`` copies are merged element by element instead, in groups
+    (product, hour, element), so that no block grows without bound. A null element does not count.
     """
     keys = ["product", "timestamp"]
     if how not in ("mean", "median"):
         raise ValueError(f"unknown method: {how}")
-    packed = F.concat(F.array("point_forecast"), "samples")
-    elements = df.select(*keys, "is_fallback", F.posexplode(packed).alias("_pos", "_x"))
+    packed = df.select(*keys, "is_fallback", F.concat(F.array("point_forecast"), "samples").alias("_all"))
+    packed = settle(packed)
+    many = settle(packed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_copies).drop("_n"))
+    merged = _merged_blocks(packed.join(many, keys, "left_anti"), keys, how)
+    if settle is as_is or not many.isEmpty():
+        merged = merged.unionByName(_merged_elements(packed.join(many, keys, "left_semi"), keys, how, settle))
+    return merged.select(
+        *keys,
+        F.get("_all", F.lit(0)).alias("point_forecast"),
+        F.slice("_all", F.lit(2), F.size("_all") - 1).alias("samples"),
+        "is_fallback",
+    )
+
+
+def _merged_blocks(packed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """All copies of an hour in one row, looked at position by position."""
+    blocks = packed.groupBy(*keys).agg(F.collect_list("_all").alias("_blocks"), F.bool_or("is_fallback").alias("is_fallback"))
+    middle = arrays.mean if how == "mean" else lambda x: arrays.percentile(x, 0.5)
+
+    def at(position: Column) -> Column:
+        cell = F.filter(F.transform("_blocks", lambda b: F.get(b, position)), lambda x: x.isNotNull())
+        return arrays.bound(cell, lambda x: F.when(F.size(x) > 0, middle(x)))
+
+    longest = F.array_max(F.transform("_blocks", F.size))
+    return blocks.select(*keys, "is_fallback", F.transform(F.sequence(F.lit(0), longest - 1), at).alias("_all"))
+
+
+def _merged_elements(packed: DataFrame, keys: Sequence[str], how: str, settle: Settle) -> DataFrame:
+    """A row per element, combined on the map side: for hours with very many copies."""
+    elements = packed.select(*keys, "is_fallback", F.posexplode("_all").alias("_pos", "_x"))
     cell = [*keys, "_pos"]
     merged = elements.groupBy(*cell).agg(F.avg("_x").alias("_x"), F.bool_or("is_fallback").alias("is_fallback"))
     if how == "median":
-        merged = merged.drop("_x").join(exact_quantiles(elements, cell, "_x", {"_x": 0.5}), cell)
+        merged = merged.drop("_x").join(exact_quantiles(elements, cell, "_x", {"_x": 0.5}, settle), cell, "left")
     # One array per (product, hour): as long as the sample count.
-    back = merged.groupBy(*keys).agg(
+    return merged.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda e: e["_x"]).alias("_all"),
         F.bool_or("is_fallback").alias("is_fallback"),
     )
-    return back.select(
-        *keys,
-        F.get("_all", F.lit(0)).alias("point_forecast"),
-        F.slice("_all", F.lit(2), F.size("_all") - 1).alias("samples"),
-        "is_fallback",
-    )
 
 
 def fallback_figures(df: DataFrame) -> DataFrame:
@@ -221,7 +249,7 @@ def completeness(df: DataFrame, products: Sequence[str], hours: int = 24) -> Dat
 def histogram(df: DataFrame, bins: int = config.HISTOGRAM_BINS) -> DataFrame:
     """Density of the samples per forecast row, in equal bins between the least and the greatest.
 
-    Each row counts its own samples: the array never leaves its row, only the bins come out.
+    Each row counts its own samples: the array never leaves its row, only the bins come out. Null samples count nowhere.
     """
     low, high = F.array_min("samples"), F.array_max("samples")
     width = (F.col("_high") - F.col("_low")) / bins
@@ -234,15 +262,20 @@ def histogram(df: DataFrame, bins: int = config.HISTOGRAM_BINS) -> DataFrame:
     edges = df.select("timestamp", "product", "samples", low.alias("_low"), high.alias("_high")).withColumn(
         "_width", width
     )
-    placed = edges.withColumn("_places", place).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    count = F.size(F.filter("_places", lambda p: p == F.col("bin")))
+    # The places are sorted once and cut at the bins by binary search.
+    up_to = arrays.bound(
+        F.sort_array(place), lambda p: F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda b: arrays.count_below(p, b, MOST_SAMPLES))
+    )
+    counted = edges.select("timestamp", "product", "_low", "_width", F.size("samples").alias("_n"), up_to.alias("_up_to"))
+    placed = counted.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    count = F.get("_up_to", F.col("bin") + 1) - F.get("_up_to", F.col("bin"))
     return placed.select(
         "timestamp",
         "product",
         "bin",
         (F.col("_low") + F.col("bin") * F.col("_width")).alias("bin_start"),
         count.alias("sample_count"),
-        F.when(F.col("_width") > 0, count / (F.size("samples") * F.col("_width"))).alias("density"),
+        F.when(F.col("_width") > 0, count / (F.col("_n") * F.col("_width"))).alias("density"),
     )
 
 

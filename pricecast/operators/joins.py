@@ -127,22 +127,29 @@ def days_back(
     index: DataFrame,
     max_days: int = config.FALLBACK_DAYS,
     keys: Sequence[str] = ("product",),
+    settle: Settle = as_is,
 ) -> DataFrame:
-    """The newest index row dated 1..``max_days`` before each ``target_date``.
+    """The newest index row dated 1..``max_days`` before each distinct ``target_date``.
 
-    The candidate dates are listed, so the search is an equi-join on (key, date).
+    Targets and index rows are put on one line and each target looks at the last row before its day: the cost does
+    not depend on ``max_days``. Of several index rows of one key and date the greatest counts; null keys match nothing.
     """
-    ages = F.explode(F.sequence(F.lit(1), F.lit(max_days)))
-    dated = targets.withColumn("_age", ages).withColumn(
-        "forecast_date", F.date_sub("target_date", F.col("_age"))
-    )
-    hits = dated.join(index, [*keys, "forecast_date"])
     rest = [c for c in index.columns if c not in keys]
-    best = hits.groupBy(*targets.columns).agg(
-        F.min("_age").alias("age_days"),
-        F.min_by(F.struct(*rest), "_age").alias("_source"),
+    known = [F.col(k).isNotNull() for k in keys]
+    sources = index.where(reduce(lambda a, b: a & b, known, F.col("forecast_date").isNotNull()))
+    single = sources.groupBy(*keys, F.col("forecast_date").cast("timestamp").alias("_at")).agg(F.max(F.struct(*rest)).alias("_source"))
+    # A target stands right before its own day.
+    before = F.col("target_date").cast("timestamp") - F.expr("interval 1 microsecond")
+    marks = targets.distinct().select(*targets.columns, before.alias("_at"), F.lit(True).alias("_target"))
+    line = settle(marks.unionByName(single, allowMissingColumns=True))
+    chunks = Chunks.by_count(line, keys, "_at", settle)
+    near = neighbours(line, keys, "_at", ["_source"], backward=False, chunks=chunks).where("_target")
+    age = F.datediff("target_date", F.col("prev__source.forecast_date"))
+    return (
+        near.withColumn("age_days", age)
+        .where(F.col("age_days").between(1, max_days))
+        .select(*targets.columns, "age_days", *[F.col(f"prev__source.{c}").alias(c) for c in rest])
     )
-    return best.select(*targets.columns, "age_days", *[F.col(f"_source.{c}").alias(c) for c in rest])
 
 
 def product_table(spark) -> DataFrame:

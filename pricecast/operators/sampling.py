@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast import config
-from pricecast.functions import gauss, randomness
+from pricecast.functions import arrays, gauss, randomness
 
 Sampler = Callable[[Column, Column, Column, int, int], Column]
 
@@ -67,7 +67,7 @@ def truncated(
 
         return _draws(seed, key, count, one)
 
-    return gauss.bound(F.struct(start.alias("start"), end.alias("end"), least.alias("least"), most.alias("most")), drawn)
+    return arrays.bound(F.struct(start.alias("start"), end.alias("end"), least.alias("least"), most.alias("most")), drawn)
 
 
 DISTRIBUTIONS: dict[str, Sampler] = {

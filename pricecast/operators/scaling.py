@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pricecast.functions.quantiles import exact_quantiles
 from pricecast.sources.scratch import Settle, as_is
 
+# A scale that is no more than this share of the largest value is what rounding leaves of a constant.
+ROUNDING = 1e-12
+
 METHODS = ("standard", "minmax", "robust", "none")
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -53,7 +56,11 @@ def fit(
     normalizer_id: str = "default",
     settle: Settle = as_is,
 ) -> DataFrame:
-    """Scaler table. Columns that are not numeric or hold only nulls are left out; a zero scale counts as 1."""
+    """Scaler table. Columns that are not numeric or hold only nulls are left out.
+
+    A zero scale counts as 1, and so does one that is zero but for rounding errors: the values are one and the same
+    number to twelve digits, and dividing by what is left would only enlarge the noise.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     used = numeric_columns(df, columns)
@@ -75,7 +82,7 @@ def fit(
         "column",
         F.lit(method).alias("method"),
         centre.alias("center"),
-        F.when(scale == 0, 1.0).otherwise(scale).alias("scale"),
+        F.when(scale <= ROUNDING * F.greatest(F.abs("min"), F.abs("max")), 1.0).otherwise(scale).alias("scale"),
         "mean",
         "std",
         "min",

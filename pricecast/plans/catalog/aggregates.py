@@ -213,7 +213,7 @@ def _merged_sql(function):
 
 
 def _merged(i, how):
-    rows = agg.aggregate_forecasts(i.copies, how)
+    rows = agg.aggregate_forecasts(i.copies, how, settle)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         "product",

@@ -518,7 +518,7 @@ _ALL_DERIVED = {
 
 
 def _standard_sql(c):
-    return f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END, 6) + 0 AS {c}"
+    return f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () <= 1e-12 * greatest(abs(min({c}) OVER ()), abs(max({c}) OVER ())) THEN 1 ELSE stddev_pop({c}) OVER () END, 6) + 0 AS {c}"
 
 
 @query(

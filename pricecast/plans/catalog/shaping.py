@@ -388,22 +388,25 @@ def _(i):
     return joins.nearest(targets, i.shown, ["product"], "point_forecast", settle=settle)
 
 
-@query(
-    "earlier_forecast_search",
-    "J-07",
-    sql="""
+def _earlier_sql(ahead, back):
+    return f"""
     SELECT t.product, t.target_date, date_diff('day', i.forecast_date, t.target_date) AS age_days, i.forecast_date
-    FROM (SELECT DISTINCT product, date_trunc('day', timestamp + INTERVAL 96 HOUR) AS target_date FROM v_ticks) t
+    FROM (SELECT DISTINCT product, date_trunc('day', timestamp + INTERVAL {ahead} HOUR) AS target_date FROM v_ticks) t
     JOIN (SELECT * FROM v_index WHERE horizon_hours = 24) i ON i.product = t.product
-     AND i.forecast_date BETWEEN t.target_date - INTERVAL 7 DAY AND t.target_date - INTERVAL 1 DAY
-    QUALIFY row_number() OVER (PARTITION BY t.product, t.target_date ORDER BY i.forecast_date DESC) = 1""",
-)
-def _(i):
-    from pricecast.sources.store import index_of
+     AND i.forecast_date BETWEEN t.target_date - INTERVAL {back} DAY AND t.target_date - INTERVAL 1 DAY
+    QUALIFY row_number() OVER (PARTITION BY t.product, t.target_date ORDER BY i.forecast_date DESC) = 1"""
+
+
+# A week back for targets four days ahead; a year back for targets two hundred days ahead. The plans are the same.
+for _name, _ahead, _back in (("earlier_forecast_search", 96, 7), ("earlier_forecast_search_year", 4800, 365)):
+
+    @query(_name, "J-07", sql=_earlier_sql(_ahead, _back))
+    def _(i, ahead=_ahead, back=_back):
+        from pricecast.sources.store import index_of
 
-    targets = i.kept("stored").select("product", F.to_date(F.col("timestamp") + hours(96)).alias("target_date")).distinct()
-    index = index_of(i.kept("stored")).where("horizon_hours = 24")
-    return joins.days_back(targets, index).select("product", "target_date", "age_days", "forecast_date")
+        targets = i.kept("stored").select("product", F.to_date(F.col("timestamp") + hours(ahead)).alias("target_date"))
+        index = index_of(i.kept("stored")).where("horizon_hours = 24")
+        return joins.days_back(targets, index, back, settle=settle).select("product", "target_date", "age_days", "forecast_date")
 
 
 @query(

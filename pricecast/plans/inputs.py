@@ -88,7 +88,10 @@ class Inputs:
 
     @cached_property
     def system_generation(self) -> DataFrame:
-        return self.ticks.groupBy("fuel_type", "timestamp").agg(F.round(F.sum("price"), 2).alias("generation_mw"))
+        """One to three times the ticks of the hour, so that generation does not follow the load."""
+        made = self.ticks.groupBy("fuel_type", "timestamp").agg(F.round(F.sum("price"), 2).alias("_sum"))
+        times = 1 + (F.hour("timestamp") + F.length("fuel_type")) % 3
+        return made.select("fuel_type", "timestamp", (F.col("_sum") * times).alias("generation_mw"))
 
     @cached_property
     def pairs(self) -> DataFrame:

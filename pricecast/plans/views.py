@@ -26,7 +26,8 @@ VIEWS = {
         SELECT region, fuel_type, timestamp, round(sum(price), 2) AS generation_mw
         FROM v_by_region GROUP BY ALL""",
     "v_system_generation": """
-        SELECT fuel_type, timestamp, round(sum(price), 2) AS generation_mw FROM v_ticks GROUP BY ALL""",
+        SELECT fuel_type, timestamp, mw * (1 + (hour(timestamp) + length(fuel_type)) % 3) AS generation_mw
+        FROM (SELECT fuel_type, timestamp, round(sum(price), 2) AS mw FROM v_ticks GROUP BY ALL)""",
     "v_pairs": """
         SELECT a.product, a.timestamp, a.price AS actual, b.price AS forecast FROM v_hourly a
         JOIN v_hourly b ON a.product = b.product AND a.timestamp = b.timestamp + INTERVAL 24 HOUR""",
