@@ -2,76 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pricecast.functions import least_squares
+from pricecast.functions.arrays import bound
 
 GROUP = ("product", "hour")
 
 
+# Up to so many columns each pair is an aggregate of its own, in one pass.
+FEW_COLUMNS = 8
+
+
 def moments(df: DataFrame, features: Sequence[str], target: str, groups: Sequence[str] = GROUP) -> DataFrame:
-    """Means and central cross products of features and target per group.
+    """Means and central cross products (upper triangle) of features and target per group.
 
-    ``covar_pop`` combines on the map side and is centred, so a group of any size costs one
-    row of (k+1)(k+4)/2 numbers in the shuffle.
+    Sums combine on the map side, so a group of any size costs one row of (k+1)(k+4)/2 numbers in the shuffle. Few
+    columns take one pass of ``covar_pop``. For many, whose pairs would be thousands of expressions, one aggregate
+    finds the means as a vector, and a second pass sums the products of the centred columns as a vector.
     """
     columns = [*features, target]
-    as_double = df.select(*groups, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     n = len(columns)
-    gaps = sum((F.when(F.col(f"_x{i}").isNull(), 1).otherwise(0) for i in range(n)), F.lit(0))
-    means = F.array(*[F.avg(f"_x{i}") for i in range(n)])
-    products = F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i in range(n) for j in range(i, n)])
-    return as_double.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum(gaps).alias("null_count"),
-        means.alias("means"),
-        products.alias("cross"),
-    )
-
-
-# Smallest share of the largest eigenvalue that still counts: below it, rounding errors decide.
-RANK_TOLERANCE = 1e-10
-
-
-def _slopes(cov: np.ndarray, with_target: np.ndarray) -> np.ndarray:
-    """Solution of the normal equations; the one of least norm if features depend on each other.
-
-    Whether they do is judged on correlations, so that features of very different size are kept.
-    """
-    size = np.sqrt(np.diag(cov))
-    if (size > 0).all():
-        correlation = cov / np.outer(size, size)
-        if np.linalg.eigvalsh(correlation)[0] > RANK_TOLERANCE:
-            return np.linalg.solve(correlation, with_target / size) / size
-    return np.linalg.pinv(cov, rcond=RANK_TOLERANCE, hermitian=True) @ with_target
-
-
-def _solve(feature_count: int):
-    k = feature_count
-    upper = np.triu_indices(k + 1)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fits = []
-            for means, cross in zip(pdf["means"], pdf["cross"]):
-                c = np.zeros((k + 1, k + 1))
-                c[upper] = np.asarray(cross, dtype=float)
-                c = c + np.triu(c, 1).T
-                slope = _slopes(c[:k, :k], c[:k, k])
-                error = max(c[k, k] - 2 * slope @ c[:k, k] + slope @ c[:k, :k] @ slope, 0.0)
-                r2 = 1.0 - error / c[k, k] if c[k, k] > 0 else float(error <= 1e-12)
-                fits.append((slope.tolist(), float(means[k] - slope @ np.asarray(means[:k])), float(error**0.5), float(r2)))
-            out = pdf.drop(columns=["means", "cross", "null_count"])
-            for i, name in enumerate(("coefficients", "intercept", "rmse", "r2")):
-                out[name] = [f[i] for f in fits]
-            yield out
-
-    return solve
+    as_double = df.select(*groups, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    gaps = F.size(F.filter(F.array(*[F.col(f"_x{i}") for i in range(n)]), lambda x: x.isNull()))
+    counts = [F.count(F.lit(1)).alias("row_count"), F.sum(gaps).alias("null_count")]
+    if n <= FEW_COLUMNS:
+        means = F.array(*[F.avg(f"_x{i}") for i in range(n)])
+        products = F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i in range(n) for j in range(i, n)])
+        return as_double.groupBy(*groups).agg(*counts, means.alias("means"), products.alias("cross"))
+
+    def mean_of(vectors: Column) -> Column:
+        return vector_to_array(Summarizer.mean(array_to_vector(vectors)))
+
+    # Nulls count as zero here; a group that has any is an error later.
+    rows = as_double.select(*groups, F.array(*[F.coalesce(f"_x{i}", F.lit(0.0)) for i in range(n)]).alias("_x"), gaps.alias("_gaps"))
+    first = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("row_count"), F.sum("_gaps").alias("null_count"), mean_of(F.col("_x")).alias("means"))
+    centred = rows.join(first.select(*groups, "means"), list(groups)).select(*groups, F.zip_with("_x", "means", lambda x, m: x - m).alias("_c"))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    products = F.flatten(F.transform(every, lambda i: F.transform(F.slice("_c", i + 1, F.lit(n)), lambda x: x * F.get("_c", i))))
+    second = centred.groupBy(*groups).agg(mean_of(products).alias("cross"))
+    return first.join(second, list(groups))
 
 
 def train(
@@ -79,31 +55,39 @@ def train(
 ) -> DataFrame:
     """Least squares with intercept per group; a null in the data is an error.
 
-    Only the k × k solve runs in Python, on one row per group and without a shuffle of its own.
+    The normal equations of a group are solved inside its row (``least_squares``); features that depend on each other get
+    the solution of least norm.
     """
+    k = len(features)
     summed = moments(df, features, target, groups)
     message = F.concat(F.lit("nulls in training data: "), F.col("null_count").cast("string"))
     checked = summed.withColumn(
         "row_count", F.when(F.col("null_count") > 0, F.raise_error(message).cast("bigint")).otherwise(F.col("row_count"))
     )
-    keys = [f for f in summed.schema.fields if f.name in groups]
-    schema = T.StructType(
-        [
-            *keys,
-            T.StructField("row_count", T.LongType()),
-            T.StructField("coefficients", T.ArrayType(T.DoubleType())),
-            T.StructField("intercept", T.DoubleType()),
-            T.StructField("rmse", T.DoubleType()),
-            T.StructField("r2", T.DoubleType()),
-        ]
-    )
-    fitted = checked.mapInPandas(_solve(len(features)), schema)
-    return fitted.select(
+    every = F.sequence(F.lit(0), F.lit(k - 1))
+
+    def fitted(c: Column) -> Column:
+        def told(slope: Column) -> Column:
+            to_target = F.get(c, k)
+            explained = F.aggregate(every, F.lit(0.0), lambda s, i: s + F.get(slope, i) * least_squares.dot(slope, F.get(c, i)))
+            total = F.get(to_target, k)
+            error = F.greatest(total - 2 * least_squares.dot(slope, to_target) + explained, F.lit(0.0))
+            return F.struct(
+                slope.alias("coefficients"),
+                (F.get("means", F.lit(k)) - least_squares.dot(slope, F.col("means"))).alias("intercept"),
+                F.sqrt(error).alias("rmse"),
+                F.when(total > 0, 1 - error / total).otherwise((error <= 1e-12).cast("double")).alias("r2"),
+            )
+
+        return bound(least_squares.slopes(c, k), told)
+
+    found = checked.select(*groups, "row_count", bound(least_squares.unpacked(F.col("cross"), k + 1), fitted).alias("_fit"))
+    return found.select(
         *groups,
         F.array(*[F.lit(f) for f in features]).alias("feature_names"),
-        "coefficients",
-        "intercept",
-        F.create_map(F.lit("rmse"), F.col("rmse"), F.lit("r2"), F.col("r2")).alias("metrics"),
+        "_fit.coefficients",
+        "_fit.intercept",
+        F.create_map(F.lit("rmse"), F.col("_fit.rmse"), F.lit("r2"), F.col("_fit.r2")).alias("metrics"),
         "row_count",
         (created_at if created_at is not None else F.lit(None).cast("timestamp")).alias("created_at"),
     )

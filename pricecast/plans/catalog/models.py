@@ -69,10 +69,34 @@ def _(i):
     return rounded(fitted, "coefficient", "intercept", "rmse", digits=3)
 
 
-@query("models_many_features", "M-01")
+_MANY = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _elimination_sql(features, target, group, source):
+    """Gaussian elimination on the covariances, a step per feature, then the unknowns from the last to the first."""
+    columns, k = [*features, target], len(features)
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    first = ", ".join(f"covar_pop({columns[i]}, {columns[j]}) AS a{i}_{j}" for i, j in cells)
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(columns))
+    steps = [f"s0 AS (SELECT {group}, {means}, {first} FROM {source} GROUP BY {group})"]
+    for p in range(k):
+        changed = ", ".join(f"a{i}_{j} - a{p}_{i} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i, j in cells if i > p)
+        steps.append(f"s{p + 1} AS (SELECT * REPLACE ({changed}) FROM s{p})")
+    for n, i in enumerate(reversed(range(k))):
+        known = "".join(f" - a{i}_{j} * b{j}" for j in range(i + 1, k))
+        steps.append(f"t{n} AS (SELECT *, (a{i}_{k}{known}) / a{i}_{i} AS b{i} FROM {f't{n - 1}' if n else f's{k}'})")
+    intercept = f"m{k}" + "".join(f" - b{i} * m{i}" for i in range(k))
+    rows = " UNION ALL ".join(
+        f"SELECT {group}, '{f}' AS feature, round(b{i}, 3) + 0 AS coefficient, round(abs(b{i}), 3) AS importance, round({intercept}, 3) + 0 AS intercept FROM t{k - 1}"
+        for i, f in enumerate(features)
+    )
+    return f"WITH {', '.join(steps)} {rows}"
+
+
+@query("models_many_features", "M-01", "M-03", sql=_elimination_sql(_MANY, "l_extendedprice", "l_suppkey", "lineitem"))
 def _(i):
-    fitted = _trained(i, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], ["l_suppkey"])
-    return models.coefficient_report(fitted, ["l_suppkey"])
+    fitted = _trained(i, _MANY, ["l_suppkey"])
+    return rounded(models.coefficient_report(fitted, ["l_suppkey"]), "coefficient", "importance", "intercept", digits=3)
 
 
 @query(

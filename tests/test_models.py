@@ -102,3 +102,28 @@ def test_truncated_samples_lie_between_their_bounds(spark):
         assert r.lo <= min(r.x) and max(r.x) <= r.hi
         # Back in probabilities the samples are even: the greatest distance from the diagonal stays small.
         assert np.abs(spread - (np.arange(400) + 0.5) / 400).max() < 0.09
+
+
+@pytest.mark.parametrize("k, dependent", [(7, ()), (9, (3, 8)), (60, ()), (60, (10, 11, 59))])
+def test_many_features_equal_numpy(spark, k, dependent):
+    rng = np.random.default_rng(k)
+    rows, want = [], {}
+    for hour in range(3):
+        x = rng.normal(0, 1, (4 * k, k)) * rng.uniform(0.1, 1e4, k) + rng.uniform(-1e5, 1e5, k)
+        for d in dependent:
+            x[:, d] = x[:, 0] - 2 * x[:, 1] if d % 2 else 7.0  # a combination of others, or a constant
+        y = x @ rng.normal(0, 1, k) / 100 + rng.normal(0, 1, len(x))
+        centred, target = x - x.mean(0), y - y.mean()
+        want[hour] = np.linalg.lstsq(centred, target, rcond=1e-9)[0], x, y
+        rows += [("P", hour, *map(float, xs), float(v)) for xs, v in zip(x, y)]
+    names = [f"f{i}" for i in range(k)]
+    df = spark.createDataFrame(rows, ["product", "hour", *names, "y"])
+    trained = models.train(df, names, "y")
+    assert "Python" not in trained._jdf.queryExecution().executedPlan().toString()
+    for r in trained.collect():
+        slope, x, y = want[r.hour]
+        np.testing.assert_allclose(r.coefficients, slope, rtol=1e-4, atol=1e-7)
+        left = y - x @ np.array(r.coefficients) - r.intercept
+        assert r.metrics["rmse"] == pytest.approx(np.sqrt((left**2).mean()), rel=1e-5)
+        # Residuals are orthogonal to every feature.
+        assert np.abs(((x - x.mean(0)) / (x.std(0) + 1e-9) * left[:, None]).mean(0)).max() < 1e-5
