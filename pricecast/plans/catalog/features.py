@@ -123,7 +123,7 @@ def _(i):
     return features.price_features(i.ticks.select("timestamp", "product", "price"), PRODUCTS, settle=settle)
 
 
-_BASE_SQL = f"""
+BASE_SQL = f"""
     SELECT timestamp, load_mw, {_LOAD_MADE.replace(" ", ", ")}, hour(timestamp) AS hour,
            isodow(timestamp) - 1 AS day_of_week, month(timestamp) AS month, (isodow(timestamp) >= 6)::BIGINT AS is_weekend,
            0::BIGINT AS is_holiday, {_GEN_MADE.replace(" ", ", ")}, {", ".join(_PRICE_MADE)}
@@ -137,7 +137,7 @@ def base_table(i):
     return features.base_features(i.kept("system_load"), prices, i.system_generation, PRODUCTS, FUELS, settle=settle)
 
 
-@query("base_features", "X-05", sql=_all_rounded(_BASE_SQL, _BASE_DOUBLES))
+@query("base_features", "X-05", sql=_all_rounded(BASE_SQL, _BASE_DOUBLES))
 def _(i):
     return base_table(i)
 

@@ -4,10 +4,12 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from pricecast import config
 from pricecast.config import RunSettings
 from pricecast.functions import gauss
 from pricecast.operators import models, sampling, uncertainty
 from pricecast.plans import daily
+from pricecast.plans.catalog.features import BASE_SQL
 from pricecast.plans.inputs import FUELS, PRODUCTS
 from pricecast.plans.registry import query, rounded
 from pricecast.sources.scratch import new_folder, settle
@@ -525,10 +527,45 @@ def _(i):
     return rounded(known.select("run_time", "timestamp", "product", "point_forecast"), "point_forecast")
 
 
-@query("forecast_backfill", "R-02", "M-08", "M-09")
+# The model of a run that does not depend on any order: features, fits, points, spreads, draws by their digests.
+_TABLE = f"SELECT timestamp, hour(timestamp) AS hour, load_mw, total_generation, {', '.join(f'price_{p}' for p in PRODUCTS)} FROM ({BASE_SQL})"
+_RUNS = """
+    SELECT DISTINCT date_trunc('day', timestamp) + INTERVAL 7 HOUR AS run_time FROM v_ticks
+    WHERE date_trunc('day', timestamp) <= (SELECT max(date_trunc('day', timestamp)) FROM v_ticks) - INTERVAL 3 DAY"""
+_RUN_HASH = _HASH.format(extra="").replace("'7|'", f"'{_SETTINGS.seed}|'")
+_RUN_PARTS = f"""
+    base AS MATERIALIZED ({_TABLE}),
+    learnt AS ({" UNION ALL ".join(f"SELECT hour, load_mw, total_generation, '{p}' AS product, price_{p} AS price FROM base" for p in PRODUCTS)}),
+    fit AS ({_FIT.format(groups="product, hour", x1="load_mw", x2="total_generation", y="price", source="(SELECT * FROM learnt WHERE price IS NOT NULL AND load_mw IS NOT NULL AND total_generation IS NOT NULL)")}),
+    runs AS ({_RUNS}),
+    points AS (
+      SELECT run_time, date_trunc('day', run_time) + INTERVAL 1 DAY AS forecast_date, t.timestamp, f.product, f.hour,
+             my + b1 * (load_mw - m1) + b2 * (total_generation - m2) AS point_forecast
+      FROM (SELECT run_time, date_trunc('day', run_time) + INTERVAL 1 DAY + h.h * INTERVAL 1 HOUR AS timestamp FROM runs, range({_SETTINGS.horizon_hours}) h(h)) t
+      JOIN base USING (timestamp) JOIN fit f ON f.hour = base.hour),
+    spread AS (
+      SELECT points.*, ({_SPREADS["residuals"][1]}) * {_FACTOR.replace("CASE product", "CASE points.product")} AS std
+      FROM points LEFT JOIN ({_SUMMARY}) s ON s.product = points.product AND s.hour = points.hour WHERE point_forecast IS NOT NULL),
+    draws AS MATERIALIZED (
+      SELECT product, timestamp, i, sqrt(-2.0::DOUBLE * ln({_unit(_RUN_HASH, 1)})) * cos(2.0::DOUBLE * pi() * {_unit(_RUN_HASH, 14)}) AS z
+      FROM (SELECT DISTINCT product, timestamp FROM spread WHERE std > 0), (SELECT unnest(range(1, {_SETTINGS.sample_count + 1})) AS i))"""
+
+
+@query(
+    "forecast_backfill",
+    "R-02",
+    "M-08",
+    "M-09",
+    sql=f"""
+    WITH {_RUN_PARTS},
+    ends AS (SELECT product, timestamp, count(*) AS n, min(z) AS least, max(z) AS greatest FROM draws GROUP BY ALL)
+    SELECT forecast_date, timestamp, product, round(point_forecast, 4) AS point_forecast, n AS sample_count,
+           round({_held("point_forecast + std * least")}, 4) AS least_sample, round({_held("point_forecast + std * greatest")}, 4) AS greatest_sample
+    FROM spread JOIN ends USING (product, timestamp) WHERE std > 0""",
+)
 def _(i):
     made = all_forecasts(i)
-    return made.select(
+    shown = made.select(
         "forecast_date",
         "timestamp",
         "product",
@@ -537,9 +574,50 @@ def _(i):
         F.array_min("samples").alias("least_sample"),
         F.array_max("samples").alias("greatest_sample"),
     )
+    return rounded(shown, "point_forecast", "least_sample", "greatest_sample")
+
+
+_LOST = PRODUCTS[-1]
+_CHECKED = ", ".join(f"('{p}', {a}::DOUBLE, {b}::DOUBLE, {t}::DOUBLE)" for p, (a, b, t) in config.PLAUSIBLE_LIMITS.items())
+_CATEGORIES = "['schema', 'completeness', 'plausibility', 'consistency', 'all']"
 
 
-@query("forecast_daily_run", "R-01", "S-11")
+@query(
+    "forecast_daily_run",
+    "R-01",
+    "S-11",
+    sql=f"""
+    WITH {_RUN_PARTS},
+    two AS (SELECT max(run_time) AS last, max(run_time) - INTERVAL 1 DAY AS before FROM runs),
+    -- The lost product has the forecast of the day before, a day later.
+    final AS MATERIALIZED (
+      SELECT timestamp AS drawn_at, timestamp, product, point_forecast, std FROM spread, two
+      WHERE run_time = last AND product <> '{_LOST}' AND std > 0
+      UNION ALL SELECT timestamp, timestamp + INTERVAL 1 DAY, product, point_forecast, std FROM spread, two
+      WHERE run_time = before AND product = '{_LOST}' AND std > 0),
+    limits AS (SELECT * FROM (VALUES {_CHECKED}) l(product, lo, hi, t)),
+    samples AS (
+      SELECT f.product, {_held("point_forecast + std * z").replace("product IN", "f.product IN")} AS x
+      FROM final f JOIN draws d ON d.product = f.product AND d.timestamp = drawn_at),
+    moved AS (SELECT *, lag(point_forecast) OVER (PARTITION BY product ORDER BY timestamp) AS earlier FROM final),
+    found AS (
+      SELECT 'completeness' AS category FROM (
+        SELECT p.product, date_trunc('day', last) + INTERVAL 1 DAY + h.h * INTERVAL 1 HOUR AS timestamp
+        FROM two, range({_SETTINGS.horizon_hours}) h(h), (SELECT unnest({PRODUCTS}) AS product) p
+        EXCEPT SELECT product, timestamp FROM final)
+      UNION ALL SELECT 'plausibility' FROM final JOIN limits USING (product) WHERE NOT (point_forecast BETWEEN lo AND hi)
+      UNION ALL SELECT 'plausibility' FROM samples JOIN limits USING (product) WHERE NOT (x BETWEEN lo AND hi)
+      UNION ALL SELECT 'plausibility' FROM final JOIN limits USING (product)
+        JOIN (SELECT product, avg(point_forecast) AS m, stddev_samp(point_forecast) AS s FROM final GROUP BY product) USING (product)
+        WHERE s >= 1e-8 AND abs(point_forecast - m) > t * s
+      UNION ALL SELECT 'consistency' FROM final a JOIN final b ON a.timestamp = b.timestamp AND a.product IN ('DALMP', 'RTLMP')
+        AND b.product IN ('RegUp', 'RegDown', 'RRS', 'NSRS') WHERE NOT a.point_forecast > b.point_forecast
+      UNION ALL SELECT 'consistency' FROM moved WHERE abs(point_forecast - earlier) / abs(nullif(earlier, 0)) > 0.3::DOUBLE)
+    SELECT date_trunc('day', last) + INTERVAL 1 DAY AS forecast_date, c.category, count(f.category) AS violations,
+           count(f.category) = 0 AS is_valid, 0::BIGINT AS without_source
+    FROM two, (SELECT unnest({_CATEGORIES}) AS category) c LEFT JOIN found f ON f.category = c.category OR c.category = 'all'
+    GROUP BY last, c.category""",
+)
 def _(i):
     """The run of the last day after that of the day before; one product has lost its models and falls back."""
     table = daily.feature_table(_feeds(i), _SETTINGS)
