@@ -8,6 +8,7 @@ from pricecast.operators import align, normalize, present, reshape, topk
 from pricecast.plans.inputs import FUELS, PRODUCTS, hours
 from pricecast.plans.registry import query
 from pricecast.sources import feeds
+from pricecast.sources.scratch import new_folder
 
 _EVENTS = T.StructType(
     [
@@ -55,6 +56,64 @@ def _(i):
     )
 
 
+# Price records as text, some of them broken: a time or price that is none, a line that breaks off, a field too many.
+_PRICE_RECORDS = T.StructType(
+    [
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("product", T.StringType()),
+        T.StructField("price", T.DoubleType()),
+        T.StructField("node", T.StringType()),
+        T.StructField("event_id", T.LongType()),
+    ]
+)
+_LINES = {
+    "csv": """
+        CASE WHEN event_id % 79 = 0 THEN concat(stamp, ',', product)
+             WHEN event_id % 71 = 0 THEN concat(stamp, ',', product, ',', amount, ',"', node, '",', event_id, ',more')
+             ELSE concat(stamp, ',', product, ',', amount, ',"', node, '",', event_id) END""",
+    "json": """
+        CASE WHEN event_id % 79 = 0 THEN concat('{"timestamp": "', stamp, '", "product": "', product)
+             ELSE concat('{"timestamp": "', stamp, '", "product": "', product, '", "price": ',
+                         CASE WHEN amount = 'n/a' THEN '"n/a"' ELSE amount END, ', "node": "', node, '", "event_id": ', event_id, '}') END""",
+}
+_LINE_PARTS = """
+    SELECT event_id, price, ts, CASE WHEN event_id % 83 = 0 THEN 'soon' ELSE {time} END AS stamp, node,
+           CASE WHEN event_id % 89 = 0 THEN 'Other' ELSE lower(product) END AS product,
+           CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE {amount} END AS amount
+    FROM {ticks}"""
+
+
+def _lines_sql(kind):
+    broken = "event_id % 79 = 0 OR event_id % 83 = 0 OR event_id % 97 = 0" + (" OR event_id % 71 = 0" if kind == "csv" else "")
+    parts = _LINE_PARTS.format(time="strftime(ts, '%Y-%m-%d %H:%M:%S')", amount="printf('%.2f', price)", ticks="v_ticks")
+    return f"""
+    SELECT CASE WHEN {broken} THEN 'malformed record' WHEN event_id % 89 = 0 THEN 'unknown product' ELSE 'accepted' END AS outcome,
+           CASE WHEN {broken} THEN {_LINES[kind]} END AS record,
+           CASE WHEN NOT ({broken}) THEN event_id END AS event_id,
+           CASE WHEN NOT ({broken}) THEN round(price, 2) END AS price
+    FROM ({parts})"""
+
+
+for _kind in _LINES:
+
+    @query(f"feed_{_kind}_with_rejects", "S-01", "N-05", sql=_lines_sql(_kind))
+    def _(i, kind=_kind):
+        parts = _LINE_PARTS.format(time="date_format(ts, 'yyyy-MM-dd HH:mm:ss')", amount="format_string('%.2f', price)", ticks="{ticks}")
+        path = new_folder(i.spark, kind)
+        i.spark.sql(parts, ticks=i.ticks).select(F.expr(_LINES[kind]).alias("value")).write.text(path)
+        good, rejected = feeds.read_clean(i.spark, path, "price", _PRICE_RECORDS, kind, header=False)
+        refused = F.col("reason") != "malformed record"
+        kept = F.from_json("record", "event_id long, price double")
+        told = rejected.select(
+            F.col("reason").alias("outcome"),
+            F.when(~refused, F.col("record")).alias("record"),
+            F.when(refused, kept["event_id"]).alias("event_id"),
+            F.when(refused, kept["price"]).alias("price"),
+        )
+        none = F.lit(None).cast("string").alias("record")
+        return good.select(F.lit("accepted").alias("outcome"), none, "event_id", "price").unionByName(told)
+
+
 @query(
     "feed_time_range",
     "S-02",

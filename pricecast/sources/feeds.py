@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pricecast import config, schemas
 from pricecast.operators import align, normalize, validate
-from pricecast.sources.scratch import Settle, as_is
+from pricecast.sources.scratch import Settle, as_is, settle
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
@@ -20,6 +20,55 @@ def read(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parq
     return spark.read.schema(schema).format(kind).load(path)
 
 
+CORRUPT = "_corrupt_record"
+REJECTED = ["reason", "record", "file", "block_start"]
+
+
+def read_records(
+    spark: SparkSession, path: str, schema: T.StructType, kind: str, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected) of CSV or JSON Lines files.
+
+    A line that does not parse, lacks fields, has too many or holds a value of another type is a rejected row: why, the
+    line as it stands in the file, the file, and where in the file the block begins that a task read it from. Records
+    come with ``file``. Nothing is lost: each line of the files is in one of the two frames. The lines are parsed once, with
+    all columns (a parser that skips columns does not see what is wrong with them), into a table in the shared folder.
+    """
+    if kind not in ("csv", "json"):
+        raise ValueError(f"unknown kind of text feed: {kind}")
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if kind == "csv":
+        reader = reader.option("header", header)
+    lines = reader.format(kind).load(path).select(
+        *schema.names, CORRUPT, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start")
+    )
+    lines = settle(lines)
+    broken = lines.where(F.col(CORRUPT).isNotNull())
+    rejected = broken.select(F.lit("malformed record").alias("reason"), F.col(CORRUPT).alias("record"), "file", "block_start")
+    return lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "block_start"), rejected
+
+
+def read_clean(
+    spark: SparkSession,
+    path: str,
+    feed: str,
+    schema: T.StructType,
+    kind: str,
+    header: bool = True,
+    products: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Like ``read_records``, with the rules of the feed: cleaned records, and all rejected ones in one form.
+
+    A record that parses but breaks a rule is kept as JSON of its fields.
+    """
+    records, malformed = read_records(spark, path, schema, kind, header)
+    good, bad = normalize.split_records(records, feed, products)
+    fields = [c for c in bad.columns if c not in ("reason", "file")]
+    refused = bad.select("reason", F.to_json(F.struct(*fields)).alias("record"), "file", F.lit(None).cast("long").alias("block_start"))
+    return good, malformed.unionByName(refused)
+
+
 def open_envelope(text: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
     """``{"data": [records]}`` documents, one per row → one row per record."""
     envelope = T.StructType([T.StructField("data", T.ArrayType(schema))])

@@ -166,3 +166,26 @@ def test_export_leaves_out_samples(spark, stored, tmp_path):
     store.export_range(store.read(spark, stored), str(tmp_path / "csv"), "2024-01-02", "2024-01-02", "DALMP")
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.count() == 24 and "samples" not in back.columns and "Forecast Value" in back.columns
+
+
+def test_broken_lines_are_rejected_with_their_place(spark, tmp_path):
+    good = "2024-01-01 05:00:00,5.5,r"
+    lines = [good, "soon,5.5,r", "2024-01-01 06:00:00,much,r", "2024-01-01 06:00:00", f"{good},more", '"2024-01-01 07:00:00",1.0,"a,b"', ",,"]
+    (tmp_path / "load.csv").write_text("\n".join(["timestamp,load_mw,region", *lines]) + "\n")
+    records, rejected = feeds.read_records(spark, str(tmp_path / "load.csv"), schemas.LOAD, "csv")
+    assert sorted(r["region"] or "" for r in records.collect()) == ["", "a,b", "r"]
+    found = rejected.collect()
+    assert sorted(r["record"] for r in found) == sorted(lines[1:5])
+    assert {r["reason"] for r in found} == {"malformed record"} and all(r["file"].endswith("load.csv") and r["block_start"] == 0 for r in found)
+    # Counting alone does not let the parser skip columns.
+    assert records.count() == 3 and rejected.count() == 4
+
+    rows = ['{"timestamp": "2024-01-01T05:00:00", "load_mw": 5.5, "region": "r"}', '{"load_mw": "x"}', '{"load_mw": 1.0', "[]", "{}"]
+    (tmp_path / "load.json").write_text("\n".join(rows))
+    records, rejected = feeds.read_records(spark, str(tmp_path / "load.json"), schemas.LOAD, "json")
+    assert {r["record"] for r in rejected.collect()} >= {rows[1], rows[2]}
+    assert records.where("load_mw = 5.5").count() == 1 and records.where("load_mw = 1.0").count() == 0
+    clean, refused = feeds.read_clean(spark, str(tmp_path / "load.csv"), "load", schemas.LOAD, "csv")
+    assert clean.count() == 2 and {r["reason"] for r in refused.collect()} == {"malformed record", "bad timestamp"}
+    (tmp_path / "none.csv").write_text("timestamp,load_mw,region\n")
+    assert [d.count() for d in feeds.read_clean(spark, str(tmp_path / "none.csv"), "load", schemas.LOAD, "csv")] == [0, 0]
