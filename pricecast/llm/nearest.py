@@ -2,7 +2,8 @@
 
 Queries and candidates are dealt into blocks; every (query block, candidate block) pair is one tile. In a tile the
 vectors are quantised to int8, one product of two int8 matrices gives all distances, and the quantisation errors of
-both sides bound how far each of them can be off (triangle inequality). Only pairs whose lower bound does not exceed
+both sides bound how far each of them can be off (triangle inequality); a power of two per tile keeps the squares of
+very large and very small components within a double. Only pairs whose lower bound does not exceed
 the k-th smallest upper bound of their query survive; they are computed again from the original vectors in
 double precision, and the k best of the tile go on. The tiles' heaps are merged by a limit inside each map task and
 one by query. The result is exact: no pair is left out that could be among the k nearest, ties included.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 RESULT = "query_id long, vec_id long, score double"
 SLACK = 1e-6
 """Relative room for the rounding of the bounds themselves."""
+SMALLEST = 1e-140
+"""Room, in parts of the largest component of a tile, for squares too small for a double."""
 
 
 def usable(vector: Column) -> Column:
@@ -49,17 +52,34 @@ def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of row pairs, the squares added in the order of the components."""
+    """Of row pairs, the squares added in the order of the components.
+
+    Where these leave the range of a double, components are first brought near one by a power of two.
+    """
     total = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        total += (x[:, i] - y[:, i]) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(x.shape[1]):
+            total += (x[:, i] - y[:, i]) ** 2
+    out = np.sqrt(total)
+    beyond = np.flatnonzero(~(total < 1e300) | ((total < 1e-250) & (x != y).any(axis=1)))
+    if len(beyond):
+        a, b = x[beyond], y[beyond]
+        power = np.frexp(np.maximum(np.abs(a), np.abs(b)).max(axis=1))[1] + 1
+        a, b = (np.ldexp(v, -power[:, None]) for v in (a, b))
+        # Tiny differences of large vectors: once more, by the size of the difference.
+        gap = a - b
+        size = np.frexp(np.abs(gap).max(axis=1))[1]
+        with np.errstate(over="ignore"):
+            out[beyond] = np.ldexp(np.sqrt((np.ldexp(gap, -size[:, None]) ** 2).sum(axis=1)), size + power)
+    return out
 
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one tile: query ids, candidate ids and distances of the k nearest of each query."""
-    qc, qs, qe = quantised(q)
-    cc, cs, ce = quantised(c)
+    # Bounds are worked out with the largest component of the tile near one, so that no square overflows.
+    power = -int(np.frexp(max(np.abs(q).max(), np.abs(c).max()))[1])
+    qc, qs, qe = quantised(np.ldexp(q, power))
+    cc, cs, ce = quantised(np.ldexp(c, power))
     # Products of int8 codes are whole numbers; this type holds their sums without rounding.
     exact = np.float32 if q.shape[1] * 127 * 127 < 2**24 else np.float64
     out: tuple[list, list, list] = ([], [], [])
@@ -71,7 +91,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         near = qn[part, None] + cn[None, :] - 2 * (qs[part, None] * cs[None, :]) * product
         scale = qn[part, None] + cn[None, :]
         near = np.sqrt(np.maximum(near, 0))
-        room = qe[part, None] + ce[None, :] + SLACK * np.sqrt(scale)
+        room = qe[part, None] + ce[None, :] + SLACK * np.sqrt(scale) + SMALLEST
         own = qid[part, None] == cid[None, :]
         high = np.where(own, np.inf, near + room)
         bound = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(high), np.inf)

@@ -15,7 +15,10 @@ joined with them, all others are replaced from their own row alone.
 Only SQL functions are used. Entities are aggregated before they are shuffled. Texts are shuffled only where there are
 exceptions, and then only if the table of texts that hold one is too large for adaptive execution to send out.
 
-Defined results: a null text stays null, an empty one empty; repeated rows are replaced alike; an empty table gives an
+Groups in patterns repeat a bounded number of times, since each round takes a place on the stack: a mail domain has at
+most 128 labels (as in the name system), what stands before the sign at most 256 characters.
+
+Defined results: very long texts are treated like others; a null text stays null, an empty one empty; repeated rows are replaced alike; an empty table gives an
 empty one; all columns are kept, the text is replaced in place, and the two added columns take free names.
 """
 
@@ -65,7 +68,7 @@ SECRET_KEYS = r"(?i:pass(?:word|wd)|pwd|secret|token|api[_-]?key|access[_-]?key)
 
 # By kind; where two could begin at a place of the text, the earlier one is tried first.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,256}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){0,126}\.[A-Za-z]{2,}",
     "secret": rf"(?=[PpSsTtAa]){SECRET_KEYS}\s{{0,2}}[=:]\s{{0,2}}\"?[0-9A-Za-z_+/-]{{8,}}+",
     "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|[0-9a-f]{32,64})(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
