@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +40,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_passing: list[list[str]] = []
+"""Of each open ``passing`` block, the folders of the tables settled in it."""
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet and go on from the written table: column pruning and known sizes included."""
-    spark = df.sparkSession
-    path = new_folder(spark, "table")
+    path = new_folder(df.sparkSession, "table")
+    if _passing:
+        _passing[-1].append(path)
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Settle]:
+    """A block whose settled tables are dropped at its end, so that a long run does not fill the shared folder.
+
+    The block gets a function that settles what is to stay. A frame that leaves it in another way must not read what is
+    dropped: nothing of it is kept elsewhere.
+    """
+    made: list[str] = []
+    _passing.append(made)
+    try:
+        yield lambda df: _written(df, new_folder(df.sparkSession, "table"))
+    finally:
+        _passing.remove(made)
+        for path in made:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,6 +1,7 @@
 """Round trips through the store, fallback, a whole run, streams and feed files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pricecast import schemas
 from pricecast.config import RunSettings
 from pricecast.operators import models, validate
 from pricecast.plans import daily
-from pricecast.sources import feeds, store
+from pricecast.sources import feeds, scratch, store
 from pricecast.streaming import feeds as streams
 
 
@@ -189,3 +190,17 @@ def test_broken_lines_are_rejected_with_their_place(spark, tmp_path):
     assert clean.count() == 2 and {r["reason"] for r in refused.collect()} == {"malformed record", "bad timestamp"}
     (tmp_path / "none.csv").write_text("timestamp,load_mw,region\n")
     assert [d.count() for d in feeds.read_clean(spark, str(tmp_path / "none.csv"), "load", schemas.LOAD, "csv")] == [0, 0]
+
+
+def test_tables_of_a_passing_block_are_dropped(spark):
+    before = {p.name for p in Path(scratch.shared_folder(spark).removeprefix("file:")).glob("table-*")}
+    with scratch.passing(spark) as keep:
+        inner = scratch.settle(spark.range(5))
+        with scratch.passing(spark) as keep_inner:
+            scratch.settle(inner)
+            nested = keep_inner(inner)
+        kept = keep(inner.join(nested, "id"))
+        assert inner.count() == 5
+    after = {p.name for p in Path(scratch.shared_folder(spark).removeprefix("file:")).glob("table-*")}
+    assert kept.count() == nested.count() == 5 and len(after - before) == 2
+    assert scratch.settle(kept).count() == 5
