@@ -24,13 +24,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows without an id stay.
+    """One document of each group of near duplicates stays, that with the smallest id; rows without an id stay.
 
-    Groups are those of five-word shingles at 0.8. An id that is repeated stays with all its rows if one of them stays.
+    Groups are those of five-word shingles at 0.8. Rows that share an id are judged each by its own text.
     """
-    judged = near_dedup.deduplicated(docs)
-    staying = judged.where("kept").select(F.col("doc_id").alias("_staying")).distinct()
-    return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
+    return near_dedup.one_of_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ Groups of near copies do not fall apart by branching. Every ``hub_every`` levels
 members of a bounded sample that agree most with those no hub covers yet. Members are confirmed against the hubs;
 nodes with one component left are closed, and pairs inside a component are not compared again. What is still large at the last level is compared block by block. No pair is capped away.
 
-Candidates are confirmed in two rounds: the best link of each component first, then all pairs that still lie in
-different components. Links inside a component cannot change the result.
+Candidates are confirmed in rounds. In the first two, each member of a node gives only its most similar partner in another
+component, so what leaves a node is linear in its members; the links found unite components and close nodes. Only then do
+all candidates that still lie in different components leave their nodes. Links inside a component cannot change the result.
 
 A pair at the threshold survives six levels of a tree with probability 0.47 or more and is found by one of 16 trees
 with probability over 0.999; the signature test (four standard errors) loses less than one in 10,000.
@@ -20,8 +21,8 @@ Shuffles carry (node, class) numbers; signatures travel only with classes that s
 candidates. Sets are 64-bit hashes of shingles.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows with a null id are linked
-with nothing and kept; rows that repeat an id are judged each by its own text; an empty table gives an empty one;
-other columns are not read.
+with nothing and kept; rows that repeat an id are judged each by its own text (classes have numbers of their own, ids
+only name the results); an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricecast.llm.components import components
-from pricecast.sources.scratch import settle
+from pricecast.sources.scratch import passing, settle
 
 CACHED = 400_000
 U = np.uint64
@@ -102,7 +103,7 @@ def seeds(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, digest and signature of every document, in full and by its low bytes; null for an empty set.
+    """doc_id, a hash of the text, n, digest and signature of every document, in full and by its low bytes; null for an empty set.
 
     Low bytes agree by chance once in 256 times, which only lets a few more candidates through.
     """
@@ -127,11 +128,11 @@ def signatures(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> D
                     rows[i], brief[i] = s.tobytes(), s.astype(np.uint8).tobytes()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part["doc_id"], "n": n, "digest": pa.array(digests, pa.binary()), "sig": pa.array(rows, pa.binary()), "brief": pa.array(brief, pa.binary())}
+                    {"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n": n, "digest": pa.array(digests, pa.binary()), "sig": pa.array(rows, pa.binary()), "brief": pa.array(brief, pa.binary())}
                 )
 
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(sign, "doc_id long, n long, digest binary, sig binary, brief binary")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return given.mapInArrow(sign, "doc_id long, text_hash long, n long, digest binary, sig binary, brief binary")
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -206,37 +207,52 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield rest
 
 
-def close_pairs(key: np.ndarray, t: pa.Table, settings: Settings) -> Iterator[pa.RecordBatch]:
+def close_pairs(key: np.ndarray, t: pa.Table, settings: Settings, best: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of different components; with ``best`` only the most similar one of each member."""
     ids, g, n = t["id"].to_numpy(), t["g"].to_numpy(), t["n"].to_numpy()
     brief = t["brief"].combine_chunks().to_pylist()
     sigs = np.frombuffer(b"".join(brief), np.uint8).reshape(-1, settings.coordinates)
-    least = settings.least_estimate
+    # Of each member so far: how alike its best partner is, and which row that is.
+    top, partner = np.zeros(len(ids)), np.full(len(ids), -1)
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
     for shift in range(1, len(ids)):
         i = np.flatnonzero(key[:-shift] == key[shift:])
         if not len(i):
-            return
+            break
         j = i + shift
         good = (g[i] != g[j]) & (100 * np.minimum(n[i], n[j]) >= settings.percent * np.maximum(n[i], n[j]))
         i, j = i[good], j[good]
         for at in range(0, len(i), 65536):
             a, b = i[at : at + 65536], j[at : at + 65536]
             alike = (sigs[a] == sigs[b]).mean(axis=1)
-            near = alike >= least
-            a, b = ids[a[near]], ids[b[near]]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "alike": alike[near]})
+            near = alike >= settings.least_estimate
+            a, b, alike = a[near], b[near], alike[near]
+            if not best:
+                yield pairs(a, b)
+                continue
+            # At one shift a row is the left one once and the right one once.
+            for own, other in ((a, b), (b, a)):
+                better = alike > top[own]
+                top[own[better]], partner[own[better]] = alike[better], other[better]
+    if best:
+        some = np.flatnonzero(partner >= 0)
+        yield pairs(some, partner[some])
 
 
-PAIRS = "a long, b long, alike double"
+PAIRS = "a long, b long"
 
 
-def compared(rows: DataFrame, key: str, settings: Settings) -> DataFrame:
+def compared(rows: DataFrame, key: str, settings: Settings, best: bool) -> DataFrame:
     """Candidate pairs among rows (key, id, g, n, brief) of equal key; keys have few rows each."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, key):
-            yield from close_pairs(t[key].to_numpy(), t, settings)
+            yield from close_pairs(t[key].to_numpy(), t, settings, best)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(compare, PAIRS)
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(compare, PAIRS).distinct()
 
 
 def hub_links(members: DataFrame, settings: Settings) -> DataFrame:
@@ -298,28 +314,29 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
-    """id, shingles of the documents listed: the filter thins the texts before anything is shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    """id, shingles of the classes listed (id, doc, digest): the filter thins the texts before anything is shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids.select(F.col("doc").alias("id"))))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(b["id"].is_valid())
-            at = (mixed(b["id"].to_numpy(zero_copy_only=False).astype(np.int64).view(U)) % U(FILTER_BITS)).astype(np.int64)
+            b = b.filter(b["doc"].is_valid())
+            at = (mixed(b["doc"].to_numpy(zero_copy_only=False).astype(np.int64).view(U)) % U(FILTER_BITS)).astype(np.int64)
             some = np.flatnonzero((bits.value[at >> 6] >> (at & 63)) & 1)
             for first in range(0, len(some), 256):
                 part = b.take(pa.array(some[first : first + 256]))
                 sets = [shingles(t, settings.shingle).tobytes() for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": part["id"],
+                        "doc": part["doc"],
                         "digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                         "shingles": pa.array(sets, pa.binary()),
                     }
                 )
 
-    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    made = given.mapInArrow(make, "id long, digest binary, shingles binary")
-    return settle(made.join(ids, ["id", "digest"], "left_semi").select("id", "shingles"))
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    made = given.mapInArrow(make, "doc long, digest binary, shingles binary")
+    # Rows that repeat an id and its text give one set; each class is asked for once, by its number.
+    return settle(made.dropDuplicates(["doc", "digest"]).join(ids, ["doc", "digest"]).select("id", "shingles"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -342,18 +359,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return settle(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def relabelled(rows: DataFrame, labels: DataFrame, column: str, into: str) -> DataFrame:
-    own = labels.select(F.col("id").alias(column), F.col("label").alias("_label"))
-    return rows.join(own, column, "left").withColumn(into, F.coalesce("_label", column)).drop("_label")
-
-
 def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, digest, n) and links (a, b) that connect what belongs together."""
-    classes = settle(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
-    )
+    """Classes (id, doc, digest, n) and links (a, b) that connect what belongs together.
+
+    A class is a set of shingles; ``id`` is its number, ``doc`` the smallest document id that has it.
+    """
+    by_set = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    classes = by_set.agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
+    classes = settle(classes.withColumn("id", F.monotonically_increasing_id()))
     signed = classes.select("id", "n", "sig", "brief", F.col("id").alias("g"))
-    ids = classes.select("id", "digest")
+    ids = classes.select("id", "doc", "digest")
     components_so_far = None
     members = settle(open_members(branched(signed.select("id", "sig"), settings)))
     small, links = [members.where(F.col("size") <= settings.leaf)], []
@@ -366,8 +381,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
             pairs = settle(hub_links(settle(large.join(signed, "id").select("node", "id", "g", "n", "sig")), settings))
             sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
             links.append(confirmed(pairs, sets, settings))
-            labels = settle(components(union(links)))
-            signed = settle(signed.join(labels, "id", "left").select("id", "n", "sig", "brief", F.coalesce("label", "id").alias("g")))
+            signed = settle(grouped(signed, links))
             components_so_far = signed.select("id", "g")
         if level >= settings.depth:
             large = open_members(large, signed.select("id", "g"))
@@ -376,18 +390,30 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
         members = settle(open_members(branched(large.join(signed, "id").select("node", "id", "sig"), settings), components_so_far))
         small.append(members.where(F.col("size") <= settings.leaf))
         level += 1
-    met = union([s.select("node", "id") for s in small]).join(signed, "id").select("node", "id", "g", "n", "brief")
-    pairs = settle(compared(met, "node", settings).groupBy("a", "b").agg(F.max("alike").alias("alike")))
-    sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
-    first = settle(best_links(pairs, signed.select("id", F.col("g").alias("label"))))
-    links.append(confirmed(first, sets, settings))
-    labels = settle(components(union(links)))
-    open_pairs = relabelled(relabelled(pairs, labels, "a", "ga"), labels, "b", "gb").where("ga <> gb").select("a", "b")
-    open_pairs = open_pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links.append(confirmed(open_pairs, sets, settings))
+    met = settle(union([s.select("node", "id") for s in small]))
+    tested = sets = None
+    for best in (True, True, False):
+        still_open = open_members(met, signed.select("id", "g")).select("node", "id", "g")
+        pairs = compared(still_open.join(signed.select("id", "n", "brief"), "id").select("node", "id", "g", "n", "brief"), "node", settings, best)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs)
+        if sets is None:
+            # Who has any candidate has a best one, so these are the sets of all later rounds as well.
+            sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links.append(confirmed(pairs, sets, settings))
+        if best:
+            signed = settle(grouped(signed, links))
     return classes, union(links)
 
 
+def grouped(signed: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The classes with their components ``g`` by all links so far."""
+    labels = settle(components(union(links)))
+    return signed.drop("g").join(labels, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label")
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -400,14 +426,6 @@ def involved(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return settle(ids.join(listed, "id", "left_semi"))
 
 
-def best_links(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The most promising pair of each component."""
-    named = relabelled(relabelled(pairs, labels, "a", "ga"), labels, "b", "gb")
-    edge = F.struct("alike", "a", "b")
-    both = named.select(F.explode(F.array("ga", "gb")).alias("g"), edge.alias("edge"))
-    return both.groupBy("g").agg(F.max("edge").alias("edge")).select("edge.a", "edge.b").distinct()
-
-
 def blocked(large: DataFrame, settings: Settings) -> DataFrame:
     """Members of the nodes that never became small, under a key for each pair of blocks of the node.
 
@@ -437,13 +455,52 @@ def blocked(large: DataFrame, settings: Settings) -> DataFrame:
     return rows.select(F.explode(meet).alias("node"), "id")
 
 
+def judged(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, cluster (a number of its group; null without a set or id), component_id, kept of every row."""
+    with passing(docs.sparkSession) as keep:
+        rows = settle(signatures(docs, settings, doc_id, text))
+        classes, links = linked_classes(docs, rows, settings, doc_id, text)
+        named = settle(grouped(classes.select("id", "digest", "doc"), [links]))
+        smallest = named.groupBy("g").agg(F.min("doc").alias("_found"))
+        of_set = named.join(smallest, "g").select("digest", F.col("g").alias("_cluster"), "_found")
+        placed = rows.select("doc_id", "text_hash", "n", "digest").join(of_set, "digest", "left")
+        has_id = F.col("doc_id").isNotNull()
+        # Without a class a document stands alone.
+        component = F.when(has_id, F.coalesce("_found", "doc_id"))
+        return keep(
+            placed.select(
+                "doc_id",
+                "text_hash",
+                F.col("n").alias("n_shingles"),
+                F.when(has_id, F.col("_cluster")).alias("cluster"),
+                component.alias("component_id"),
+                (~has_id | (F.col("doc_id") == component)).alias("kept"),
+            )
+        )
+
+
 def deduplicated(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows = settle(signatures(docs, settings, doc_id, text))
-    classes, links = linked_classes(docs, rows, settings, doc_id, text)
-    placed = rows.select("doc_id", "n", "digest").join(classes.select("digest", "id"), "digest", "left")
-    named = relabelled(placed, settle(components(links)), "id", "_found")
-    # Without a class a document stands alone.
-    placed = named.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_found", "doc_id")))
-    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return judged(docs, settings, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, and all that are linked with nothing.
+
+    Of a group the row with the smallest id stays, of several texts under that id the one with the smallest hash. Rows
+    without an id or without words stay all.
+    """
+    kept = judged(docs, settings, doc_id, text).where("kept")
+    one = kept.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("_rows"))
+    one = settle(one.select("one.*", "_rows"))
+    alone = kept.where("cluster IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("_rows"))
+    staying = one.unionByName(alone).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_rows").distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    several = one.where("_rows > 1")
+    if several.isEmpty():
+        return hashed.join(staying, same, "left_semi").select(*docs.columns)
+    # Only rows of an id that is kept more than once can repeat each other.
+    single = hashed.join(staying.where("_rows = 1"), same, "left_semi")
+    repeated = hashed.join(staying.where("_rows > 1"), same, "left_semi").dropDuplicates([doc_id, "_text_hash"])
+    return single.unionByName(repeated).select(*docs.columns)
