@@ -10,9 +10,10 @@ Groups of near copies do not fall apart by branching. Every ``hub_every`` levels
 members of a bounded sample that agree most with those no hub covers yet. Members are confirmed against the hubs;
 nodes with one component left are closed, and pairs inside a component are not compared again. What is still large at the last level is compared block by block. No pair is capped away.
 
-Candidates are confirmed in rounds. In the first two, each member of a node gives only its most similar partner in another
-component, so what leaves a node is linear in its members; the links found unite components and close nodes. Only then do
-all candidates that still lie in different components leave their nodes. Links inside a component cannot change the result.
+Candidates are confirmed in rounds. In the first ones, each member of a node gives only its most similar partner in another
+component, so what leaves a node is linear in its members, and of these the best one of each component is confirmed;
+the links found unite components and close nodes. Only then do all candidates that still lie in different components leave
+their nodes. Links inside a component cannot change the result.
 
 A pair at the threshold survives six levels of a tree with probability 0.47 or more and is found by one of 16 trees
 with probability over 0.999; the signature test (four standard errors) loses less than one in 10,000.
@@ -215,8 +216,9 @@ def close_pairs(key: np.ndarray, t: pa.Table, settings: Settings, best: bool) ->
     # Of each member so far: how alike its best partner is, and which row that is.
     top, partner = np.zeros(len(ids)), np.full(len(ids), -1)
 
-    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+    def pairs(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
+        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        return pa.RecordBatch.from_pydict({"a": ids[a], "b": ids[b], "ga": g[a], "gb": g[b], "alike": alike})
 
     for shift in range(1, len(ids)):
         i = np.flatnonzero(key[:-shift] == key[shift:])
@@ -231,7 +233,7 @@ def close_pairs(key: np.ndarray, t: pa.Table, settings: Settings, best: bool) ->
             near = alike >= settings.least_estimate
             a, b, alike = a[near], b[near], alike[near]
             if not best:
-                yield pairs(a, b)
+                yield pairs(a, b, alike)
                 continue
             # At one shift a row is the left one once and the right one once.
             for own, other in ((a, b), (b, a)):
@@ -239,10 +241,10 @@ def close_pairs(key: np.ndarray, t: pa.Table, settings: Settings, best: bool) ->
                 top[own[better]], partner[own[better]] = alike[better], other[better]
     if best:
         some = np.flatnonzero(partner >= 0)
-        yield pairs(some, partner[some])
+        yield pairs(some, partner[some], top[some])
 
 
-PAIRS = "a long, b long"
+PAIRS = "a long, b long, ga long, gb long, alike double"
 
 
 def compared(rows: DataFrame, key: str, settings: Settings, best: bool) -> DataFrame:
@@ -252,7 +254,14 @@ def compared(rows: DataFrame, key: str, settings: Settings, best: bool) -> DataF
         for t in runs_of(batches, key):
             yield from close_pairs(t[key].to_numpy(), t, settings, best)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(compare, PAIRS).distinct()
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(compare, PAIRS)
+
+
+def best_links(found: DataFrame) -> DataFrame:
+    """The most promising pair of each component."""
+    edge = F.struct("alike", "a", "b")
+    both = found.select(F.explode(F.array("ga", "gb")).alias("g"), edge.alias("edge"))
+    return both.groupBy("g").agg(F.max("edge").alias("edge")).select("edge.a", "edge.b").distinct()
 
 
 def hub_links(members: DataFrame, settings: Settings) -> DataFrame:
@@ -359,8 +368,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return settle(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, doc, digest, n) and links (a, b) that connect what belongs together.
+def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
+    """Classes (id, doc, digest) with their components ``g``.
 
     A class is a set of shingles; ``id`` is its number, ``doc`` the smallest document id that has it.
     """
@@ -371,7 +380,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
     ids = classes.select("id", "doc", "digest")
     components_so_far = None
     members = settle(open_members(branched(signed.select("id", "sig"), settings)))
-    small, links = [members.where(F.col("size") <= settings.leaf)], []
+    small = [members.where(F.col("size") <= settings.leaf)]
     level = settings.first_level
     while True:
         large = members.where(F.col("size") > settings.leaf).select("node", "id")
@@ -380,8 +389,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
         if level % settings.hub_every == 0:
             pairs = settle(hub_links(settle(large.join(signed, "id").select("node", "id", "g", "n", "sig")), settings))
             sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
-            links.append(confirmed(pairs, sets, settings))
-            signed = settle(grouped(signed, links))
+            signed = settle(grouped(signed, confirmed(pairs, sets, settings)))
             components_so_far = signed.select("id", "g")
         if level >= settings.depth:
             large = open_members(large, signed.select("id", "g"))
@@ -391,27 +399,31 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
         small.append(members.where(F.col("size") <= settings.leaf))
         level += 1
     met = settle(union([s.select("node", "id") for s in small]))
+    signed = signed.select("id", "n", "brief", "g")
     tested = sets = None
-    for best in (True, True, False):
+    for best in (True, True, True, False):
         still_open = open_members(met, signed.select("id", "g")).select("node", "id", "g")
-        pairs = compared(still_open.join(signed.select("id", "n", "brief"), "id").select("node", "id", "g", "n", "brief"), "node", settings, best)
+        found = compared(still_open.join(signed.select("id", "n", "brief"), "id").select("node", "id", "g", "n", "brief"), "node", settings, best)
+        if sets is None:
+            # Who has any candidate has a best one, so these are the sets of all later rounds as well.
+            found = settle(found)
+            sets = sets_of(docs, involved(found, ids), settings, doc_id, text)
+        pairs = best_links(found) if best else found.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
-        if sets is None:
-            # Who has any candidate has a best one, so these are the sets of all later rounds as well.
-            sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links.append(confirmed(pairs, sets, settings))
-        if best:
-            signed = settle(grouped(signed, links))
-    return classes, union(links)
+        signed = settle(grouped(signed, confirmed(pairs, sets, settings)))
+    return ids.join(signed.select("id", "g"), "id")
 
 
-def grouped(signed: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """The classes with their components ``g`` by all links so far."""
-    labels = settle(components(union(links)))
-    return signed.drop("g").join(labels, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label")
+def grouped(signed: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with their components ``g``, united by new links; links between the same components are one edge."""
+    of = signed.select("id", "g")
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(of.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    edges = ends.where("ga <> gb").select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
+    labels = settle(components(settle(edges))).withColumnRenamed("id", "g")
+    return signed.join(labels, "g", "left").withColumn("g", F.coalesce("label", "g")).drop("label")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -459,8 +471,7 @@ def judged(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     """doc_id, text_hash, n_shingles, cluster (a number of its group; null without a set or id), component_id, kept of every row."""
     with passing(docs.sparkSession) as keep:
         rows = settle(signatures(docs, settings, doc_id, text))
-        classes, links = linked_classes(docs, rows, settings, doc_id, text)
-        named = settle(grouped(classes.select("id", "digest", "doc"), [links]))
+        named = settle(linked_classes(docs, rows, settings, doc_id, text))
         smallest = named.groupBy("g").agg(F.min("doc").alias("_found"))
         of_set = named.join(smallest, "g").select("digest", F.col("g").alias("_cluster"), "_found")
         placed = rows.select("doc_id", "text_hash", "n", "digest").join(of_set, "digest", "left")
