@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from pricecast.sources.scratch import settle
 BLANK = "▁"
 WORD = re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 CACHED = 100_000
+REMEMBERED = 200_000
+"""Words outside the dictionary that a task keeps; it then begins anew."""
 
 
 @dataclass(frozen=True)
@@ -90,6 +93,23 @@ class Model:
     def longest(self) -> int:
         return max(map(len, self.ranks), default=1)
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of two neighbouring pieces whose union is a piece, and the id of that piece."""
+        found, width = [], len(self.pieces) + 1
+        for s, (_, i) in self.ranks.items():
+            for at in range(1, len(s)):
+                if (left := self.ranks.get(s[:at])) and (right := self.ranks.get(s[at:])):
+                    found.append((left[1] * width + right[1], i))
+        keys, ids = np.array(sorted(found), np.int64).reshape(-1, 2).T
+        return np.append(keys, np.iinfo(np.int64).max), np.append(ids, -1).astype(np.int32)
+
+    @cached_property
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted code points that are pieces, and their ids."""
+        codes, ids = np.array(sorted((ord(s), i) for s, (_, i) in self.ranks.items() if len(s) == 1), np.int64).reshape(-1, 2).T
+        return np.append(codes, 0x110000), np.append(ids, -1).astype(np.int32)
+
     def of_characters(self, s: str) -> list[int]:
         """A symbol no edge covers, as bytes."""
         found = self.ranks.get(s)
@@ -126,6 +146,80 @@ class Model:
             at = end[at]
         return out
 
+    def merged_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other and the number of each word's, by the same rule in all words at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        known, ids = self.characters
+        at = np.searchsorted(known, codes)
+        letters = np.where(known[at] == codes, ids[at], -1)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        strange = np.zeros(len(words), bool)
+        strange[np.searchsorted(ends, np.flatnonzero(letters < 0), side="right")] = True
+        strange |= (sizes > SHORT) | (sizes == 0)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for low, high in zip((0, *WIDTHS), WIDTHS, strict=False):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high) & ~strange)
+            for first in range(0, len(rows), 8192):
+                part = rows[first : first + 8192]
+                parts += [(part[who], n, flat) for who, n, flat in self.merged_rows(letters, starts[part], sizes[part], high)]
+        alone = np.flatnonzero(strange)
+        lists = [self.merged(words[i]) for i in alone]
+        if lists:
+            parts.append((alone, np.array(list(map(len, lists))), np.fromiter(chain.from_iterable(lists), np.int32)))
+        out_sizes = np.zeros(len(words), np.int64)
+        for who, n, _ in parts:
+            out_sizes[who] = n
+        out_starts = np.cumsum(out_sizes) - out_sizes
+        out = np.empty(int(out_sizes.sum()), np.int32)
+        for who, n, flat in parts:
+            out[np.repeat(out_starts[who] - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
+        return out, out_sizes
+
+    def merged_rows(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row numbers, sizes and ids of words of at most ``width`` letters, as they are done; each round merges once in every row."""
+        keys, merged = self.pairs
+        scores = np.append(np.array(self.scores, np.float64), NO_PIECE)
+        none = len(self.pieces)
+        columns = np.arange(width)
+
+        def union(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """The piece of each two neighbours, -1 for none; ``none`` stands behind the end of a word."""
+            key = left.astype(np.int64) * (none + 1) + right
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, merged[at], -1)
+
+        who = np.arange(len(sizes))
+        inside = columns < sizes[:, None]
+        parts = np.where(inside, letters[np.where(inside, starts[:, None] + columns, 0)], none)
+        parts = np.concatenate([parts, np.full((len(sizes), 1), none)], axis=1)
+        # Pair j is that of the parts j and j + 1.
+        pairs = union(parts[:, :-1], parts[:, 1:])
+        value = scores[pairs]
+        while len(who):
+            at = value.argmax(axis=1)
+            rows = np.arange(len(who))
+            more = value[rows, at] > NO_PIECE
+            if not more.all():
+                done = parts[~more]
+                filled = done != none
+                yield who[~more], filled.sum(axis=1), done[filled].astype(np.int32)
+                who, parts, pairs, value, at = who[more], parts[more], pairs[more], value[more], at[more]
+                rows = np.arange(len(who))
+            parts[rows, at] = pairs[rows, at]
+            behind = columns > at[:, None]
+            parts[:, :-1] = np.where(behind, parts[:, 1:], parts[:, :-1])
+            parts[:, -1] = none
+            behind = columns[:-1] >= at[:, None]
+            pairs[:, :-1] = np.where(behind, pairs[:, 1:], pairs[:, :-1])
+            value[:, :-1] = np.where(behind, value[:, 1:], value[:, :-1])
+            pairs[:, -1], value[:, -1] = -1, NO_PIECE
+            before = np.maximum(at - 1, 0)
+            for place in (before, at):
+                now = union(parts[rows, place], parts[rows, place + 1])
+                pairs[rows, place], value[rows, place] = now, scores[now]
+
     def best_path(self, word: str) -> list[int]:
         """The rule of ``viterbi`` for one word."""
         best: list[tuple[float, int]] = [(0.0, 0)] + [(-np.inf, 0)] * len(word)
@@ -142,6 +236,10 @@ class Model:
         return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.of_characters(word[a:b])]
 
 
+WIDTHS = (6, 8, 10, 12, 16, 24, 48)
+"""Words are merged together with others of about their length."""
+SHORT = WIDTHS[-1]
+NO_PIECE = float("-inf")
 UNKNOWN = -1e6
 """Score of a character without a piece on a path."""
 
@@ -267,28 +365,41 @@ class Known(dict):
 
     def __init__(self, model: Model, fold: str, words: list[str], starts: np.ndarray, ids: np.ndarray):
         super().__init__(zip(words, range(len(words)), strict=True))
-        self.rule = model.merged if fold == "merges" else model.best_path
-        self.fixed, self.fixed_starts, self.fixed_ids = len(words), starts, ids
+        self.model, self.fold = model, fold
         self.words = words
-        self.more: list[list[int]] = []
+        self.fixed_starts, self.fixed_ids = starts, ids
+        self.starts, self.ids = starts, ids
+        """Of each known word in ``ids``, and the end."""
 
     def __missing__(self, word: str) -> int:
-        self.more.append(self.rule(word))
-        n = self[word] = self.fixed + len(self.more) - 1
+        n = self[word] = len(self)
         return n
 
+    def learn(self) -> None:
+        """Encode the words that have a number but no ids yet."""
+        new = list(islice(reversed(self), len(self) - len(self.starts) + 1))[::-1]
+        if not new:
+            return
+        if self.fold == "merges":
+            ids, sizes = self.model.merged_many(new)
+        else:
+            lists = list(map(self.model.best_path, new))
+            ids, sizes = np.fromiter(chain.from_iterable(lists), np.int32), np.array(list(map(len, lists)))
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes)]
+        self.ids = np.concatenate([self.ids, ids])
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.more) > CACHED:
+        if len(self) > len(self.words) + REMEMBERED:
             self.clear()
-            self.update(zip(self.words, range(self.fixed), strict=True))
-            self.more = []
+            self.update(zip(self.words, range(len(self.words)), strict=True))
+            self.starts, self.ids = self.fixed_starts, self.fixed_ids
         numbers = []
         for t in texts:
             words = words_of(t)
             numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        sizes = np.r_[np.diff(self.fixed_starts), np.array([len(m) for m in self.more], np.int64)]
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate([self.fixed_ids, np.array([i for m in self.more for i in m], np.int32)])
+        self.learn()
+        starts, flat = self.starts, self.ids
+        sizes = np.diff(starts)
         out = []
         for own in numbers:
             n = sizes[own]
