@@ -31,7 +31,7 @@ from pricecast.sources.scratch import new_folder, settle
 
 # Cuts that the byte-level pattern makes in any text whose only white space is blanks and line feeds.
 # A word of Latin letters also ends before these signs.
-CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[,.!?;:#$%&*|])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
+CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?![^ \n,.!?;:#$%&*|])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 # Everything else that Python or the tokenizer may take for white space.
 OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CACHED = 350_000
@@ -145,10 +145,22 @@ class Encoder:
         return out
 
 
-BLOCKS = "shard int, block long, start long, doc_ids array<long>, sizes array<long>, ids binary"
+BLOCKS = "shard int, block long, start long, doc_ids array<long>, sizes array<long>, ids binary, counted array<struct<id:long,n:long>>"
+PACKED = pa.schema(
+    [
+        ("shard", pa.int32()),
+        ("block", pa.int64()),
+        ("start", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int64())),
+        ("ids", pa.binary()),
+        ("counted", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))),
+    ]
+)
 
 
 def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_id: str, text: str) -> DataFrame:
+    """The blocks of each shard, and behind them a row with how often each id occurs in the shard."""
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
@@ -161,8 +173,14 @@ def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_
         doc_ids: list = []
         held: list[np.ndarray] = []
         size = start = block = 0
+        total = np.zeros(0, np.int64)
 
         def row() -> pa.RecordBatch:
+            nonlocal total
+            ids = np.concatenate(held).astype("<u4")
+            found = np.bincount(ids, minlength=len(total))
+            found[: len(total)] += total
+            total = found
             return pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([shard], pa.int32()),
@@ -170,7 +188,8 @@ def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_
                     "start": [start],
                     "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
                     "sizes": pa.array([[len(h) for h in held]], pa.list_(pa.int64())),
-                    "ids": pa.array([np.concatenate(held).astype("<u4").tobytes()], pa.binary()),
+                    "ids": pa.array([ids.tobytes()], pa.binary()),
+                    "counted": pa.nulls(1, PACKED.field("counted").type),
                 }
             )
 
@@ -186,24 +205,19 @@ def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, doc_
                         doc_ids, held, start, block, size = [], [], start + size, block + 1, 0
         if held:
             yield row()
+        some = np.flatnonzero(total)
+        if len(some):
+            counts = pa.StructArray.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+            of_shard = {"shard": pa.array([shard], pa.int32()), "counted": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), counts)}
+            yield pa.RecordBatch.from_pydict({f.name: of_shard.get(f.name, pa.nulls(1, f.type)) for f in PACKED})
 
     return ordered.mapInArrow(pack, BLOCKS)
 
 
 def counts_of(blocks: DataFrame) -> DataFrame:
-    """id, n over all documents: counted in each task, then summed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                found = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": ids, "n": total[ids]})
-
-    return blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """id, n over all documents, summed over the counts of the shards."""
+    counted = blocks.where("counted IS NOT NULL").select(F.explode("counted").alias("c"))
+    return counted.groupBy("c.id").agg(F.sum("c.n").alias("n"))
 
 
 def write_tokens(
@@ -219,8 +233,8 @@ def write_tokens(
 ) -> None:
     """Encode all documents and write ``path``/frequencies and ``path``/records."""
     spark = docs.sparkSession
-    blocks = settle(blocks_of(docs, tokenizer, end_id, block_ids, doc_id, text))
-    counts_of(blocks).coalesce(1).write.parquet(f"{path}/frequencies")
+    made = settle(blocks_of(docs, tokenizer, end_id, block_ids, doc_id, text))
+    counts_of(made).coalesce(1).write.parquet(f"{path}/frequencies")
     table = spark.sparkContext.broadcast(frequencies(spark, path))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +248,7 @@ def write_tokens(
                     {"shard": pa.array([r["shard"]], pa.int32()), "block": [r["block"]], "n_ids": [len(ids)], "record": [record]}
                 )
 
+    blocks = made.where("counted IS NULL").drop("counted")
     blocks.mapInArrow(code, "shard int, block long, n_ids long, record binary").write.parquet(f"{path}/records")
 
 

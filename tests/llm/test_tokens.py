@@ -86,6 +86,27 @@ def test_pieces_equal_the_library(spark, processor, dictionary):
         assert r.decoded == (r.text or "").replace("▁", " ")
 
 
+def test_words_merged_together_equal_words_alone():
+    model, draw = pieces.Model.load(PIECES), random.Random(5)
+    letters = "▁ \n中abcdehtZ😀éñ,.12\ud800"
+    words = ["".join(draw.choice(letters) for _ in range(draw.choice([1, 2, 5, 6, 7, 13, 24, 48, 49, 90]))) for _ in range(3000)]
+    words += [w for t in scraps(500, 11) for w in pieces.words_of(t)] + ["", "t" * 48]
+    flat, sizes = model.merged_many(words)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [model.merged(w) for w in words]
+    assert [len(x) for x in model.merged_many([])] == [0, 0]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    model, texts = pieces.Model.load(PIECES), scraps(300, 12)
+    for fold, rule in (("merges", model.merged), ("viterbi", model.best_path)):
+        known = pieces.Known(model, fold, ["▁the"], np.array([0, len(rule("▁the"))]), np.array(rule("▁the"), np.int32))
+        for at in range(0, len(texts), 10):
+            for t, ids in zip(texts[at : at + 10], known.encode(texts[at : at + 10]), strict=True):
+                assert ids.tolist() == [i for w in pieces.words_of(t) for i in rule(w)]
+            assert len(known) == len(known.starts) - 1
+
+
 def test_viterbi_finds_the_best_path(spark):
     texts = scraps(60, 10)
     model = pieces.Model.load(PIECES)
