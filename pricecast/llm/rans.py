@@ -57,18 +57,24 @@ def encode(ids: np.ndarray, table: Frequencies, lanes: int, steps_per_segment: i
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     written = 0
+    symbols = ids.astype(np.intp)
+    shares, befores = table.share.take(symbols), table.before.take(symbols)
+    limits = shares << fits
     for step in range(steps - 1, -1, -1):
-        symbols = ids[step * lanes : (step + 1) * lanes]
-        n = len(symbols)
-        f, c, x = table.share[symbols], table.before[symbols], states[:n]
-        full = x >= (f << fits)
-        if full.any():
-            out = (x[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            words.append(out)
+        own = slice(step * lanes, (step + 1) * lanes)
+        f, c = shares[own], befores[own]
+        n = len(f)
+        x = states[:n]
+        full = np.flatnonzero(x >= limits[own])
+        if len(full):
+            out = x.take(full)
+            words.append(out.astype(np.uint32))
             written += len(out)
-            x = np.where(full, x >> WORD, x)
+            x[full] = out >> WORD
         q = x // f
-        states[:n] = (q << bits) + (x - q * f) + c
+        q *= (np.uint64(1) << bits) - f
+        q += c
+        x += q
         if step % steps_per_segment == 0:
             marks.append((written, states.copy()))
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
@@ -85,15 +91,18 @@ def decode(stream: np.ndarray, start: tuple[int, np.ndarray], n: int, table: Fre
         width = min(lanes, n - first)
         x = states[:width]
         slot = x & mask
-        symbols = by_slot[slot]
+        symbols = by_slot.take(slot.view(np.intp))
         out[first : first + width] = symbols
-        x = table.share[symbols] * (x >> bits) + slot - table.before[symbols]
-        low = x < LOW
-        take = int(np.count_nonzero(low))
+        places = symbols.astype(np.intp)
+        x >>= bits
+        x *= table.share.take(places)
+        x += slot
+        x -= table.before.take(places)
+        low = np.flatnonzero(x < LOW)
+        take = len(low)
         if take:
-            x[low] = (x[low] << WORD) | stream[at : at + take]
+            x[low] = (x.take(low) << WORD) | stream[at : at + take]
             at += take
-        states[:width] = x
     return out
 
 
