@@ -34,7 +34,7 @@ from pricecast.sources.scratch import new_folder, settle
 CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?![^ \n,.!?;:#$%&*|])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 # Everything else that Python or the tokenizer may take for white space.
 OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHED = 600_000
+CACHED = 350_000
 
 _encoders: dict[str, Encoder] = {}
 
