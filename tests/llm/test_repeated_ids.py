@@ -59,3 +59,42 @@ def test_candidates_of_a_group_of_similar_texts_stay_linear(spark, monkeypatch):
                 parent[max(x, y)] = min(x, y)
     assert got == {i: root(i) for i in range(len(texts))}
     assert sum(counted) < 40 * len(texts)
+
+
+def test_what_leaves_a_node_is_linear_in_its_members(spark, monkeypatch):
+    """Of 300 similar texts each goes with its set to the places of pairs of blocks, not to all its nodes."""
+    base = prose(8, 300).split()
+    texts = [edited(i, base, 1 + i % 7) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    settings = near_dedup.Settings(leaf=60)
+    met, real_links = [], near_dedup.linked_in_nodes
+
+    def linked_in_nodes(rows, settings):
+        met.append(rows.groupBy("id").count().agg(F.max("count"), F.sum("count")).first())
+        return real_links(rows, settings)
+
+    monkeypatch.setattr(near_dedup, "linked_in_nodes", linked_in_nodes)
+    got = {r.doc_id: r.component_id for r in near_dedup.deduplicated(df, settings).collect()}
+    assert len(met) == 1
+    sets = [near_dedup.shingles(t, 5) for t in texts]
+    common, n = near_dedup.common_counts(sets), np.array([len(x) for x in sets])
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(0, 300, 17) for j in range(300) if i != j)
+    linked = (100 * common >= 80 * (n[:, None] + n - common)) | np.eye(300, dtype=bool)
+    low, before = np.arange(300), None
+    while not np.array_equal(low, before):
+        low, before = np.where(linked, low, 300).min(axis=1), low
+    low = low.tolist()
+    assert got == dict(enumerate(low))
+    # Five blocks at most meet five others; a spanning forest has fewer links than members.
+    assert met[0][0] <= 2 * 5 and met[0][1] <= 10 * 300
+    a, b = near_dedup.forest(np.arange(300), np.arange(300), sets, settings)
+    assert len(a) < 300 and len(set(zip(a, b, strict=True))) == 300 - len(set(low))
+
+
+def test_each_member_meets_the_hub_most_like_it(spark):
+    settings = near_dedup.Settings(coordinates=8, trees=1)
+    sigs = [np.full(8, 1, np.uint32)] * 6
+    rows = [(5, i, i, 10, s.tobytes()) for i, s in enumerate(sigs)] + [(5, 6 + i, 6 + i, 10, np.r_[np.full(6, 1), 50 + i, 60 + i].astype(np.uint32).tobytes()) for i in range(6)]
+    members = spark.createDataFrame([(n, i, g, k, bytearray(s)) for n, i, g, k, s in rows], "node long, id long, g long, n long, sig binary")
+    pairs = near_dedup.hub_links(members, settings).collect()
+    assert 0 < len(pairs) <= len(rows)
