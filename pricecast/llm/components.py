@@ -7,7 +7,7 @@ edge table goes to the shared folder after each round. The number of rounds grow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricecast.sources.scratch import settle
@@ -15,23 +15,18 @@ from pricecast.sources.scratch import settle
 
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id reachable, for each id on an edge of ``a``, ``b`` (long)."""
-    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
-        """A written edge table and what tells whether it has changed, found while it is written."""
-        told = Observation()
-        state = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")]
-        return settle(df.distinct().observe(told, *state)), told.get
-
-    now, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # Stars are left if who has several neighbours is smaller than all of them.
+        if not near.where("n > 1 AND m < u").agg(F.count("*")).first()[0]:
+            roots = now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
+            return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
+        least = near.select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Every edge of ``large`` points from a vertex to a smaller one.
         large = settle(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before = state
-        now, state = kept(small.unionByName(least.select("u", F.col("m").alias("v"))))
-        if state == before:
-            roots = now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
-            return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
+        now = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

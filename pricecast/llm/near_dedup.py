@@ -6,7 +6,7 @@ the threshold expects one common child) is chosen, and the classes with the same
 child. A node with at most ``leaf`` classes is compared exhaustively by signature; larger nodes branch on. The
 estimates only select candidates; each link that counts is confirmed on the full sets.
 
-Groups of near copies do not fall apart by branching. Every ``hub_every`` levels the large nodes therefore get hubs:
+Groups of near copies do not fall apart by branching. Every ``hub_every`` levels above the last the large nodes therefore get hubs:
 members of a bounded sample that agree most with those no hub covers yet. Each member is confirmed against the hub most
 like it; nodes with one component left are closed, and pairs inside a component are not compared again. What is still large
 at the last level is compared block by block. No pair is capped away.
@@ -160,8 +160,8 @@ def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found_rows), np.concatenate(found)
 
 
-def branched(rows: DataFrame, settings: Settings) -> DataFrame:
-    """node, id of all children; rows without a column ``node`` come from the roots of all trees to the first level."""
+def branched(rows: DataFrame, settings: Settings, levels: int) -> DataFrame:
+    """node, id some levels below; rows without a column ``node`` start at the roots of all trees."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mixed(np.arange(1, settings.trees + 1, dtype=U))
@@ -169,9 +169,9 @@ def branched(rows: DataFrame, settings: Settings) -> DataFrame:
             sigs = matrix(batch["sig"], settings.coordinates)
             ids = batch["id"].to_numpy()
             if batch.schema.get_field_index("node") >= 0:
-                starts, levels = [batch["node"].to_numpy().view(U)], 1
+                starts = [batch["node"].to_numpy().view(U)]
             else:
-                starts, levels = [np.full(len(ids), root, U) for root in roots], settings.first_level
+                starts = [np.full(len(ids), root, U) for root in roots]
             for nodes in starts:
                 who = np.arange(len(ids))
                 for _ in range(levels):
@@ -195,6 +195,15 @@ def open_members(members: DataFrame, components: DataFrame | None = None) -> Dat
     return members.join(sizes.where("_low < _high").select("node", "size"), "node")
 
 
+def by_node(rows: DataFrame) -> DataFrame:
+    """Rows sorted by node, each node whole in one task.
+
+    A shuffle by the node alone would be left out behind a join on it, and adaptive execution may deal out the rows of such
+    a join anew.
+    """
+    return rows.repartition(F.xxhash64("node")).sortWithinPartitions("node")
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, from batches sorted by key. A run is bounded by what was sorted in."""
     rest = None
@@ -273,7 +282,7 @@ def compared(rows: DataFrame, settings: Settings) -> DataFrame:
         for t in runs_of(batches, "node"):
             yield best_partners(t["node"].to_numpy(), t, settings)
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "node long, a long, b long, ga long, gb long, alike double, root long")
+    return by_node(rows).mapInArrow(compare, "node long, a long, b long, ga long, gb long, alike double, root long")
 
 
 CELLS = 1 << 22
@@ -329,7 +338,7 @@ def linked_in_nodes(rows: DataFrame, settings: Settings) -> DataFrame:
                 a, b = forest(part["id"].to_numpy(), part["g"].to_numpy(), sets, settings)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(link, "a long, b long").distinct()
+    return by_node(rows).mapInArrow(link, "a long, b long").distinct()
 
 
 def best_links(found: DataFrame) -> DataFrame:
@@ -360,7 +369,7 @@ def hub_links(members: DataFrame, settings: Settings) -> DataFrame:
                     left &= alike[best] < settings.percent / 100
                 yield from part.select(["node", "id", "g", "n", "sig"]).take(sorted(picked)).to_batches()
 
-    hubs = drawn.repartition("node").sortWithinPartitions("node").mapInArrow(choose, members.select("node", "id", "g", "n", "sig").schema)
+    hubs = by_node(drawn).mapInArrow(choose, members.select("node", "id", "g", "n", "sig").schema)
     # One row of at most ``hubs`` hubs for each node.
     hubs = settle(hubs.groupBy("node").agg(F.collect_list(F.struct("id", "g", "n", "sig")).alias("hubs")))
 
@@ -462,25 +471,28 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings, doc_id:
     signed = classes.select("id", "n", "sig", "brief", F.col("id").alias("g"))
     ids = classes.select("id", "doc", "digest")
     components_so_far = None
-    members = settle(open_members(branched(signed.select("id", "sig"), settings)))
+    members = settle(open_members(branched(signed.select("id", "sig"), settings, settings.first_level)))
     small = [members.where(F.col("size") <= settings.leaf)]
     level = settings.first_level
     while True:
         large = members.where(F.col("size") > settings.leaf).select("node", "id")
         if large.isEmpty():
             break
+        if level >= settings.depth:
+            small.append(blocked(open_members(large, signed.select("id", "g")), settings))
+            break
         if level % settings.hub_every == 0:
             pairs = settle(hub_links(settle(large.join(signed, "id").select("node", "id", "g", "n", "sig")), settings))
             sets = sets_of(docs, involved(pairs, ids), settings, doc_id, text)
             signed = settle(grouped(signed, confirmed(pairs, sets, settings)))
             components_so_far = signed.select("id", "g")
-        if level >= settings.depth:
-            large = open_members(large, signed.select("id", "g"))
-            small.append(blocked(large, settings))
-            break
-        members = settle(open_members(branched(large.join(signed, "id").select("node", "id", "sig"), settings), components_so_far))
+        # To the next level with hubs at once: a dense group, which no level divides, leaves a row for each only there.
+        step = min(settings.hub_every - level % settings.hub_every, settings.depth - level)
+        if components_so_far is not None:
+            large = open_members(large, components_so_far).select("node", "id")
+        members = settle(open_members(branched(large.join(signed, "id").select("node", "id", "sig"), settings, step), components_so_far))
         small.append(members.where(F.col("size") <= settings.leaf))
-        level += 1
+        level += step
     met = settle(union([s.select("node", "id") for s in small]))
     signed = signed.select("id", "n", "brief", "g")
 

@@ -98,3 +98,24 @@ def test_each_member_meets_the_hub_most_like_it(spark):
     members = spark.createDataFrame([(n, i, g, k, bytearray(s)) for n, i, g, k, s in rows], "node long, id long, g long, n long, sig binary")
     pairs = near_dedup.hub_links(members, settings).collect()
     assert 0 < len(pairs) <= len(rows)
+
+
+def test_a_node_stays_whole_behind_a_join_on_it(spark):
+    """Without a shuffle of its own, rows of a node could be dealt to several tasks by a join turned into a broadcast."""
+    rows = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("node"))
+    joined = rows.join(rows.groupBy("node").count().hint("merge"), "node")
+    rows = joined.select("node", "id", F.col("id").alias("g"), F.col("id").alias("n"), F.lit(b"x" * 64).alias("brief"))
+    plan = near_dedup.compared(rows, near_dedup.Settings())._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+
+
+def test_levels_taken_at_once_equal_single_levels(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, bytearray(draw.integers(0, 3, 64).astype(np.uint32).tobytes())) for i in range(40)]
+    settings = near_dedup.Settings(trees=3)
+    signed = spark.createDataFrame(rows, "id long, sig binary")
+    one = near_dedup.branched(signed, settings, 1)
+    for _ in range(2):
+        one = near_dedup.branched(one.join(signed, "id").select("node", "id", "sig"), settings, 1)
+    at_once = near_dedup.branched(signed, settings, 3)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, at_once.collect()))
