@@ -7,8 +7,10 @@ stands out weighs 1 + z times as much, and no term is left out.
 The labelled vectors are laid out in blocks of similar examples; for each term the index has its postings by block
 and the largest weight in the block. A document's bound for a block is the product of its weights with these maxima,
 and a block is opened only if the bound exceeds the k-th cosine found so far, so the neighbours are exact. With all
-words, the terms of many examples are multiplied first; as no weight is negative, the k-th of these partial cosines is
-a floor of the k-th cosine, and a block's bound is its largest partial cosine plus the maxima of the other terms.
+words, the terms of many examples are multiplied first, in single precision with a bound of its error; as no weight is
+negative, the k-th of these partial cosines is a floor of the k-th cosine, and a block's bound is its largest partial
+cosine plus the maxima of the other terms. Examples of opened blocks that can be among the k nearest are multiplied
+again in double precision.
 Nearer examples weigh more; the pseudo-vote of the base rate keeps scores of distant documents low. The neighbours and
 their cosines are the evidence.
 
@@ -25,6 +27,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ from pricecast.llm.labelled import class_sizes, sample, training_labels
 from pricecast.sources.scratch import settle
 
 EDGES = re.compile(r"^\W+|\W+$")
+ASCII_EDGES = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
 CACHED = 400_000
 BLOCK = 64
 NEIGHBOURS = "array<struct<doc_id:long,cosine:double,label:int>>"
@@ -44,7 +48,9 @@ NEIGHBOURS = "array<struct<doc_id:long,cosine:double,label:int>>"
 
 def terms_of(token: str) -> tuple[str, str]:
     """The word in a token and, marked, its beginning."""
-    word = EDGES.sub("", token.lower())
+    word = token.lower().strip(ASCII_EDGES)
+    if not word.isalnum() and not (word[:1].isalnum() and word[-1:].isalnum()):
+        word = EDGES.sub("", word)
     return word, f"{word[:4]}*" if len(word) > 4 else ""
 
 
@@ -130,13 +136,17 @@ class Index:
 
 def sparse_counts(texts: list[str], numbers: Numbers, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and count, in the order of rows and terms."""
-    keys = [np.empty(0, np.int64)]
-    for row, text in enumerate(texts):
+    ids = [np.empty(0, np.int64)]
+    for text in texts:
         words = text.split()
-        for own in np.divmod(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), n_terms + 1):
-            keys.append(own[own < n_terms] + row * n_terms)
-    found, n = np.unique(np.concatenate(keys), return_counts=True)
-    return *np.divmod(found, max(n_terms, 1)), n
+        ids.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+    first = np.repeat(np.arange(len(texts)) * n_terms, [len(x) for x in ids[1:]])
+    keys = np.concatenate([(own + first)[own < n_terms] for own in np.divmod(np.concatenate(ids), n_terms + 1)])
+    if len(texts) * n_terms < 2**31:
+        # Half as wide, sorted in half the time.
+        keys = keys.astype(np.int32)
+    found, n = np.unique(keys, return_counts=True)
+    return *np.divmod(found.astype(np.int64), max(n_terms, 1)), n
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +165,9 @@ class WholeIndex:
     y: np.ndarray
     votes: np.ndarray
     common: np.ndarray
-    """Row in ``matrix`` of each term, or -1."""
+    """Column in ``matrix`` of each term, or -1."""
     matrix: np.ndarray
+    """Examples x terms of many examples."""
     pairs: np.ndarray
     """First pair (term, block) of each term, and the end."""
     blocks: np.ndarray
@@ -168,6 +179,17 @@ class WholeIndex:
     base: float
     k: int
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The matrix in single precision; made where it is used, not sent."""
+        return self.matrix.astype(np.float32)
+
+    @property
+    def product_error(self) -> float:
+        """Most by which a product of rows in single precision is off, as a share of it: no term is negative."""
+        steps = (self.matrix.shape[1] + 8) * 2.0**-24
+        return steps / (1 - steps)
+
     def vectors(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         v = (1 + np.log(counts)) * self.weights[terms]
         return v / np.maximum(np.sqrt(np.bincount(rows, v * v, n)), 1e-12)[rows]
@@ -179,28 +201,40 @@ class WholeIndex:
         k = min(self.k, n_examples)
         if not k:
             return cosines, places
-        row_of = self.common[terms]
-        q = np.zeros((n, len(self.matrix)))
-        q[rows[row_of >= 0], row_of[row_of >= 0]] = v[row_of >= 0]
-        found = q @ self.matrix
-        floor = np.partition(found, n_examples - k, axis=1)[:, n_examples - k]
-        bounds = np.maximum.reduceat(found, np.arange(0, n_examples, BLOCK), axis=1)
-        rows, terms, v = (x[row_of < 0] for x in (rows, terms, v))
+        column = self.common[terms]
+        many = column >= 0
+        q = np.zeros((n, self.matrix.shape[1]), np.float32)
+        q[rows[many], column[many]] = v[many]
+        found = q @ self.single.T
+        error = self.product_error
+        floor = np.partition(found, n_examples - k, axis=1)[:, n_examples - k] * (1 - error)
+        bounds = np.maximum.reduceat(found, np.arange(0, n_examples, BLOCK), axis=1) * (1 + 2 * error)
+        columns, own_ends, own_v = column[many], np.searchsorted(rows[many], np.arange(n + 1)), v[many]
+        rows, terms, v = (x[~many] for x in (rows, terms, v))
         ends = np.searchsorted(rows, np.arange(n + 1))
         for d in range(n):
             own, w = terms[ends[d] : ends[d + 1]], v[ends[d] : ends[d + 1]]
             pair, times = spans(self.pairs[own], self.pairs[own + 1])
             w, block = np.repeat(w, times), self.blocks[pair]
-            bound = bounds[d] + np.bincount(block, w * self.maxima[pair], bounds.shape[1])
-            opened = bound * (1 + 1e-9) >= floor[d]
-            kept = opened[block]
-            at, times = spans(self.postings[pair[kept]], self.postings[pair[kept] + 1])
-            cosine = found[d] + np.bincount(self.places[at], np.repeat(w[kept], times) * self.values[at], n_examples)
+            opened = (bounds[d] + np.bincount(block, w * self.maxima[pair], bounds.shape[1])) * (1 + 1e-9) >= floor[d]
+            kept = np.flatnonzero(opened[block])
+            pair = pair[kept]
+            at, times = spans(self.postings[pair], self.postings[pair + 1])
+            others = np.bincount(self.places[at], np.repeat(w[kept], times) * self.values[at], n_examples)
+            cosine = found[d] + others
+            # No true cosine is farther than this from the one found; rounding to 12 places is part of it.
+            off = 2 * error * bounds[d].max() + 1e-9
+            near = np.flatnonzero((cosine >= floor[d] - off) & (cosine > 0))
+            near = near[opened[near // BLOCK]]
+            if len(near) > k:
+                about = cosine[near]
+                near = near[about >= np.partition(about, len(near) - k)[len(near) - k] - 2 * off]
+            mine = slice(own_ends[d], own_ends[d + 1])
             # Equal vectors must tie, whatever the order of their sums.
-            cosine = np.where(np.repeat(opened, BLOCK)[:n_examples], np.round(cosine, 12), 0)
-            near = np.flatnonzero(cosine >= max(np.partition(cosine, n_examples - k)[n_examples - k], 1e-12))
-            near = near[np.argsort(-cosine[near], kind="stable")][:k]
-            cosines[d, : len(near)], places[d, : len(near)] = cosine[near], near
+            cosine = np.round(self.matrix[near[:, None], columns[mine]] @ own_v[mine] + others[near], 12)
+            order = np.argsort(-cosine, kind="stable")[:k]
+            order = order[cosine[order] >= 1e-12]
+            cosines[d, : len(order)], places[d, : len(order)] = cosine[order], near[order]
         return cosines, places
 
     def judge(self, texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,9 +351,9 @@ def fit_whole(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: st
     many = np.flatnonzero(held_by * 16 > len(ids))
     common = np.full(n_terms, -1, np.int64)
     common[many] = np.arange(len(many))
-    matrix = np.zeros((len(many), len(ids)))
+    matrix = np.zeros((len(ids), len(many)))
     dense = common[term] >= 0
-    matrix[common[term[dense]], place[dense]] = v[dense]
+    matrix[place[dense], common[term[dense]]] = v[dense]
     term, place, v = term[~dense], place[~dense], v[~dense]
     order = np.lexsort((place, term))
     term, place, v = term[order], place[order], v[order]
@@ -393,10 +427,10 @@ def score(docs: DataFrame, index: Index | WholeIndex, text: str = "text") -> Dat
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 scores, cosines, places = own.judge([t or "" for t in part[text].to_pylist()], numbers)
-                near = [
-                    [{"doc_id": int(own.doc_ids[p]), "cosine": float(c), "label": int(own.y[p])} for c, p in zip(cs, ps, strict=True) if p >= 0]
-                    for cs, ps in zip(cosines, places, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(scores), pa.array(near, kind)], names=[*names, column, evidence])
+                held = places >= 0
+                found = places[held]
+                near = pa.StructArray.from_arrays([pa.array(own.doc_ids[found]), pa.array(cosines[held]), pa.array(own.y[found].astype(np.int32))], fields=list(kind.value_type))
+                ends = pa.array(np.append(0, np.cumsum(held.sum(1))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(scores), pa.ListArray.from_arrays(ends, near, kind)], names=[*names, column, evidence])
 
     return docs.select(*names, text).mapInArrow(judge, schema)

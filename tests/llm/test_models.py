@@ -112,6 +112,61 @@ def test_toxicity_over_all_words_equals_all_cosines(labelled, spark):
     assert all((r.score >= 0.5) == bool(truth[r.doc_id]) for r in rows if r.doc_id in truth)
 
 
+def whole_index(x, k):
+    """The index of dense vectors; terms of more than a sixteenth of them are the matrix."""
+    n, n_terms = x.shape
+    n_blocks = -(-n // toxicity.BLOCK)
+    many = np.flatnonzero((x > 0).sum(0) * 16 > n)
+    common = np.full(n_terms, -1, np.int64)
+    common[many] = np.arange(len(many))
+    term, place = np.nonzero(np.where(common >= 0, 0, x).T)
+    v = x[place, term]
+    pair, starts = np.unique(term * n_blocks + place // toxicity.BLOCK, return_index=True)
+    pairs = np.searchsorted(pair // n_blocks, np.arange(n_terms + 1))
+    maxima = np.maximum.reduceat(v, starts)
+    return toxicity.WholeIndex({}, np.ones(n_terms), np.arange(n), np.zeros(n), np.ones(n), common, x[:, many], pairs, pair % n_blocks, maxima, np.append(starts, len(v)), place, v, 0.0, k)
+
+
+def unit(x):
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def test_neighbours_closer_than_single_precision_keep_their_order():
+    draw = np.random.default_rng(5)
+    n, k = 700, 9
+    share = np.append(np.full(30, 0.4), np.full(200, 0.02))
+    x = np.where(draw.random((n, 230)) < share, draw.random((n, 230)) + 0.1, 0)
+    # A hundred that differ by far less than single precision tells, some of them copies.
+    x[300:400] = x[300] * (1 + 1e-8 * draw.random((100, 230)))
+    x[350:360] = x[349]
+    x = unit(x)
+    index = whole_index(x, k)
+    assert index.single.dtype == np.float32 and 0 < (index.common >= 0).sum() < 230
+    q = unit(np.vstack([x[:20] + 0.1 * x[20:40], x[300:310] * (draw.random((10, 230)) + 0.5), np.zeros((1, 230)), np.eye(230)[200:202]]))
+    rows, terms = np.nonzero(q)
+    cosines, places = index.search(rows, terms, q[rows, terms], len(q))
+    for whole, c, p in zip(q @ x.T, cosines, places, strict=True):
+        order = np.argsort(-np.round(whole, 12), kind="stable")[:k]
+        order = order[whole[order] >= 1e-12]
+        np.testing.assert_allclose(c[: len(order)], whole[order], atol=2e-12)
+        assert (p[len(order) :] == -1).all() and (c[len(order) :] == 0).all()
+        # Equal to the last kept digit, two may change places.
+        np.testing.assert_allclose(whole[p[: len(order)]], whole[order], atol=2e-12)
+        assert len(set(p[: len(order)])) == len(order)
+    assert (np.diff(cosines, axis=1) <= 0).all()
+    tied = [(c, p) for c, p in zip(cosines, places, strict=True) if (np.diff(c[:k]) == 0).any()]
+    assert all(p[i] < p[i + 1] for c, p in tied for i in range(k - 1) if c[i] == c[i + 1] > 0)
+
+
+def test_words_are_cut_at_their_edges_and_plain_ones_without_the_pattern(monkeypatch):
+    tokens = ["Word", "word,", "(Don't)", "_a_", "--", "", "\u0130", "x\u0130", "\u00abna\u00efve\u00bb", ",\u00ab,x", "a#b##", "\u4e2d\u6587\u3002", "\u00b2x\u0301", "'\u2026'", "\x7fab\x00"]
+    for t in tokens:
+        word = toxicity.EDGES.sub("", t.lower())
+        assert toxicity.terms_of(t) == (word, f"{word[:4]}*" if len(word) > 4 else "")
+    monkeypatch.setattr(toxicity, "EDGES", None)
+    assert [toxicity.terms_of(t)[0] for t in ("Plain", "(plain),", "don't!", "\u00dcber.")] == ["plain", "plain", "don't", "\u00fcber"]
+
+
 def test_the_toxicity_query_compares_texts_without_toxic_words(spark):
     rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
